@@ -1,0 +1,42 @@
+"""Byte-level BPE by pieces: the split pattern cuts a text, and each distinct piece is encoded once per worker."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+import regex
+
+# The contractions and the order of alternatives of the public split pattern, for texts made of ASCII
+# (without the separators U+001C to U+001F) and Latin-1 letters only. Other texts take the pattern itself.
+_PLAIN = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
+
+CACHE_PIECES = 400_000
+
+
+class PieceEncoder:
+    """Encodes texts by their pieces; encode_missing gives the little-endian ids of a list of new pieces. The cache of
+    pieces is bounded: it starts afresh when full."""
+
+    def __init__(self, pattern: str, encode_missing: Callable[[list[str]], list[bytes]]):
+        self._slow = regex.compile(pattern)
+        self._missing = encode_missing
+        self._cache: dict[str, bytes] = {}
+
+    def split(self, text: str) -> list[str]:
+        return (self._slow if _PLAIN.search(text) else _FAST).findall(text)
+
+    def encode(self, text: str) -> list[bytes]:
+        """The ids of each piece, in order."""
+        pieces = self.split(text)
+        if len(self._cache) > CACHE_PIECES:
+            self._cache = {}
+        cache = self._cache
+        try:
+            return [cache[p] for p in pieces]
+        except KeyError:
+            new = list({p for p in pieces if p not in cache})
+            cache.update(zip(new, self._missing(new), strict=True))
+            return [cache[p] for p in pieces]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from helmwatch.llm import exact_dedup
+from helmwatch.llm import exact_dedup, lm_score, pii
 
 QUERIES = {
+    "op5_lm_score": lm_score.op5_lm_score,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op10_pii": pii.op10_pii,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
