@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from helmwatch.llm import exact_dedup, lm_score, pii
+from helmwatch.llm import exact_dedup, lm_score, packing, pii
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op5_lm_score": lm_score.op5_lm_score,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op10_pii": pii.op10_pii,
