@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from helmwatch.llm import bpe, exact_dedup, lm_score, packing, pii
+from helmwatch.llm import bpe, exact_dedup, lm_score, packing, pii, quality
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op5_lm_score": lm_score.op5_lm_score,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_quality": quality.op7_quality,
     "op8_bpe": bpe.op8_bpe,
     "op10_pii": pii.op10_pii,
 }
