@@ -72,7 +72,10 @@ def _scores(net: Network, tables: list[np.ndarray], data: np.ndarray, offsets: n
     sizes = np.diff(offsets)
     begins = offsets[:-1] - offsets[0] + np.arange(len(sizes)) * WIDTH
     padded = np.zeros(int(sizes.sum()) + len(sizes) * WIDTH + BLOCK, np.uint8)
-    padded[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)) * WIDTH, sizes)] = data
+    where = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)) * WIDTH, sizes)
+    padded[where] = data
+    between = np.ones(len(padded), dtype=bool)
+    between[where] = False
     starts, n = _block_starts(sizes, begins)
     ends = np.append(starts[1:], begins[-1] + max(int(sizes[-1]), 1))
     best = np.empty((len(starts), FILTERS), np.float32)
@@ -85,6 +88,7 @@ def _scores(net: Network, tables: list[np.ndarray], data: np.ndarray, offsets: n
         response = tables[0][pairs[: b - a]]
         for k, table in enumerate(tables[1:], 1):
             response += table[pairs[2 * k : 2 * k + b - a]]
+        response[between[a:b]] = -np.inf
         best[i:j] = np.maximum.reduceat(response, starts[i:j] - a, axis=0)
         i = j
     pooled, m = _chunked(best, n)
