@@ -25,7 +25,9 @@ BLOCK = 256
 SAMPLE_ROWS = 3000
 PARTS = 6
 PART_CHARS = 700
+#: At least so many passes over the sample and, for small samples, about so many gradient steps.
 EPOCHS = 8
+STEPS = 400
 BATCH = 64
 SPAN_BYTES = 1 << 18
 
@@ -116,7 +118,8 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     params = {"kernel": kernel, "bias": bias, "head": head, "offset": np.array([offset])}
     moments = {k: (np.zeros_like(v, dtype=np.float64), np.zeros_like(v, dtype=np.float64)) for k, v in params.items()}
     step, places = 0, np.arange(WIDTH)[:, None, None]
-    for epoch in range(EPOCHS):
+    epochs = min(max(EPOCHS, STEPS * BATCH // len(own)), 10 * EPOCHS)
+    for epoch in range(epochs):
         order = rng.permutation(len(own))
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
@@ -164,7 +167,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
                 a += 0.1 * g
                 b *= 0.99
                 b += 0.01 * g * g
-                rate = 0.03 * (1 - epoch / EPOCHS)
+                rate = 0.03 * (1 - epoch / epochs)
                 params[k] = (params[k] - rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)).astype(params[k].dtype)
     return Network(params["kernel"], params["bias"], params["head"], float(params["offset"][0]))
 

@@ -38,7 +38,8 @@ def test_held_out_accuracy(spark, network):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
     got = [(truth[r["doc_id"]], r["score"]) for r in quality.score(docs, network).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 and r["doc_id"] in truth]
-    assert np.mean([(s >= 0.5) == q for q, s in got]) > 0.95
+    right = [(s >= 0.5) == q for q, s in got]
+    assert np.mean(right) > 0.93 and np.mean([x for x, (q, _) in zip(right, got, strict=True) if q]) > 0.99
 
 
 def test_nothing_to_learn_from(spark, docs):
