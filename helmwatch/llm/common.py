@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,23 @@ def lower_ascii(text: Column) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def attach(rows: DataFrame, key: str, groups: DataFrame) -> DataFrame:
+    """Inner join of groups (one row per key) to rows. The join is on a value derived from the key, so both sides are
+    exchanged for the join itself, and adaptive execution can split a hot key's partition."""
+    left = rows.withColumn("_deal", F.xxhash64(key))
+    right = groups.withColumnRenamed(key, "_key").withColumn("_deal2", F.xxhash64("_key"))
+    return left.join(right, (F.col("_deal") == F.col("_deal2")) & (F.col(key) == F.col("_key"))).drop("_deal", "_deal2", "_key")
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as compressed differences, byte by byte: the leading bytes are mostly zero."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return len(keys).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from helmwatch.llm import bpe, exact_dedup, html_extract, lm_score, packing, pii, quality
+from helmwatch.llm import bpe, exact_dedup, html_extract, jaccard, lm_score, packing, pii, quality
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op3_jaccard": jaccard.op3_jaccard,
     "op4_html": html_extract.op4_html,
     "op5_lm_score": lm_score.op5_lm_score,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
