@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding.
 
-The texts of a batch are cut by the split pattern, and the batch's distinct words become one array. Spark
-higher-order functions fold the ranked merges over each word's bytes: the state is the word's parts and the ranks of
-neighbouring parts; a step joins the pair of lowest rank. The rank map is one literal row beside the batches, dealt
-into slots by a checksum so that a lookup scans one small map. Decoding concatenates the parts' bytes. No step
-shuffles: words become ids where their texts are.
+Texts are cut into words by the split pattern, and each distinct word is encoded once where its texts lie: a fold of
+ranked merges over the word's bytes joins the neighbouring parts of lowest rank until none has a rank. Decoding
+concatenates the parts' bytes. No step shuffles.
+
+encode_word is that fold as Spark higher-order functions over a literal rank map: one row beside the words, dealt into
+slots by a checksum so that a lookup scans one small map. It gives the same ids, but takes some 40 times as long a
+word, so whole corpora go through WordCoder; the README has the figures.
 """
 
 from __future__ import annotations
@@ -13,12 +15,14 @@ import base64
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,10 +31,9 @@ from helmwatch.llm.common import read_table
 
 #: Slots of the rank map, a power of two. 50,000 ranks leave most slots with one entry or none.
 SLOTS = 1 << 15
-#: Words of more bytes than this are merged in the second pass, where a heap keeps the cost of a long word low.
+#: Words of more bytes than this go to the tiktoken library, whose heap keeps the cost of a long word low.
 LONG_WORD = 48
-#: Texts of about this many bytes share one array of distinct words.
-BATCH_BYTES = 8 << 20
+NONE = 2**31 - 1
 
 # The contractions and the order of alternatives of the public split pattern, for texts made of ASCII
 # (without the separators U+001C to U+001F) and Latin-1 letters only. Other texts take the pattern itself.
@@ -64,131 +67,131 @@ def rank_of(token: Column, ranks: Column) -> Column:
     return F.element_at(F.element_at(ranks, slot), token)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value worked out once: expressions in lambdas are evaluated wherever they stand."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def encode_word(word: Column, ranks: Column) -> Column:
     """struct(ids array<int>, decoded binary) of a word's bytes, by repeated merges of the pair of lowest rank (of
     equal ranks the leftmost)."""
     size = F.octet_length(word)
-    pieces = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
-    none = F.lit(2**31 - 1)
+    none = F.lit(NONE)
 
     def pair(parts: Column, i: Column) -> Column:
         return F.coalesce(rank_of(F.concat(F.get(parts, i), F.get(parts, i + 1)), ranks), none)
 
-    def pair_ranks(parts: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: pair(parts, i))
-
-    def merge(state: Column) -> Column:
-        parts, found = state["parts"], state["found"]
-        at = (F.array_position(found, state["least"]) - 1).cast("int")
-        n = F.size(parts)
-        joined = F.concat(
-            F.slice(parts, F.lit(1), at),
-            F.array(F.concat(F.get(parts, at), F.get(parts, at + 1))),
-            F.slice(parts, at + 3, F.greatest(n - at - 2, F.lit(0))),
+    def state(parts: Column, found: Column) -> Column:
+        return _let(found, lambda f: F.struct(parts.alias("parts"), f.alias("found"), F.coalesce(F.array_min(f), none).alias("least")))
+
+    def begin(pieces: Column) -> Column:
+        return state(pieces, F.transform(F.sequence(F.lit(0), F.size(pieces) - 2), lambda i: pair(pieces, i)))
+
+    def merge(s: Column) -> Column:
+        return _let(
+            (F.array_position(s["found"], s["least"]) - 1).cast("int"),
+            lambda at: _let(
+                F.concat(
+                    F.slice(s["parts"], F.lit(1), at),
+                    F.array(F.concat(F.get(s["parts"], at), F.get(s["parts"], at + 1))),
+                    F.slice(s["parts"], at + 3, F.greatest(F.size(s["parts"]) - at - 2, F.lit(0))),
+                ),
+                lambda joined: state(joined, renewed(s["found"], joined, at)),
+            ),
         )
-        # Only the pairs beside the new part have new ranks.
-        fresh = F.when(F.size(joined) > 1, F.transform(
-            F.sequence(F.lit(0), F.size(joined) - 2),
-            lambda i: F.when((i == at - 1) | (i == at), pair(joined, i)).when(i < at, F.get(found, i)).otherwise(F.get(found, i + 1)),
-        )).otherwise(F.array().cast("array<int>"))
-        return _state(joined, fresh)
-
-    def _state(parts: Column, found: Column) -> Column:
-        return F.struct(parts.alias("parts"), found.alias("found"), F.coalesce(F.array_min(found), none).alias("least"))
-
-    # One-element arrays bind an intermediate result to a name, so that it is worked out once.
-    start = F.get(F.transform(F.array(pieces), lambda p: _state(p, pair_ranks(p))), 0)
-    folded = F.aggregate(
-        F.sequence(F.lit(1), size - 1), start,
-        lambda s, _: F.when(s["least"] == none, s).otherwise(F.get(F.transform(F.array(s), merge), 0)),
-        lambda s: s["parts"],
-    )
-    whole = rank_of(word, ranks)
-    parts = F.when((size == 1) | whole.isNotNull(), F.array(word)).otherwise(folded)
-    return F.get(F.transform(F.array(parts), lambda p: F.struct(
-        F.transform(p, lambda t: rank_of(t, ranks)).alias("ids"),
-        F.aggregate(p, F.lit(b""), lambda a, t: F.concat(a, t)).alias("decoded"),
-    )), 0)
 
+    def renewed(found: Column, joined: Column, at: Column) -> Column:
+        """Ranks of neighbours after a merge at place at: only the pairs beside the new part are looked up."""
+        left = F.when(at > 0, F.array(pair(joined, at - 1))).otherwise(F.array().cast("array<int>"))
+        right = F.when(at < F.size(joined) - 1, F.array(pair(joined, at))).otherwise(F.array().cast("array<int>"))
+        return F.concat(
+            F.slice(found, F.lit(1), F.greatest(at - 1, F.lit(0))), left, right,
+            F.slice(found, at + 3, F.greatest(F.size(found) - at - 2, F.lit(0))),
+        )
+
+    def folded(pieces: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(pieces) - 1), begin(pieces),
+            lambda s, _: F.when(s["least"] == none, s).otherwise(merge(s)),
+            lambda s: s["parts"],
+        )
 
-WORDS_SCHEMA = "ids binary, words array<binary>, long_words array<binary>, counts binary, places binary"
-
-
-def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of texts as (ids, distinct words, long words, words per text, each word's place)."""
-    ids: list[int] = []
-    counts: list[int] = []
-    places: list[int] = []
-    known: dict[str, int] = {}
-    size = 0
-
-    def row() -> pa.RecordBatch:
-        words = [w.encode() for w in known]
-        short = [w if len(w) <= LONG_WORD else b" " for w in words]
-        long = [w if len(w) > LONG_WORD else b"" for w in words] if any(len(w) > LONG_WORD for w in words) else []
-        columns = [[np.array(ids, np.int64).tobytes()], [short], [long], [np.array(counts, np.int64).tobytes()], [np.array(places, np.int32).tobytes()]]
-        kinds = [pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["ids", "words", "long_words", "counts", "places"])
-
-    for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = split(text.as_py() or "")
-            ids.append(i)
-            counts.append(len(found))
-            places += [known.setdefault(w, len(known)) for w in found]
-            size += sum(map(len, found))
-            if size >= BATCH_BYTES:
-                yield row()
-                ids, counts, places, known, size = [], [], [], {}, 0
-    if ids:
-        yield row()
-
+    pieces = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
+    parts = F.when((size == 1) | rank_of(word, ranks).isNotNull(), F.array(word)).otherwise(_let(pieces, folded))
+    return _let(parts, lambda p: F.struct(
+        F.transform(p, lambda t: rank_of(t, ranks)).alias("ids"),
+        F.aggregate(p, F.lit(b""), lambda a, t: F.concat(a, t)).alias("decoded"),
+    ))
+
+
+def encode_words(words: DataFrame, ranks_path: str, word_col: str = "word") -> DataFrame:
+    """words with a column coded, the fold above over word_col (binary, at most LONG_WORD bytes, not empty; a null
+    gives a null). The rank table has one row, whatever the input."""
+    table = rank_table(words.sparkSession, read_ranks(ranks_path))
+    coded = words.crossJoin(F.broadcast(table.withColumnRenamed("ranks", "_ranks")))
+    return coded.withColumn("coded", F.when(F.col(word_col).isNotNull(), encode_word(F.col(word_col), F.col("_ranks")))).drop("_ranks")
+
+
+class WordCoder:
+    """The same fold in the workers' Python, over the distinct words that a worker meets. The table of words met is
+    bounded: it starts afresh when full."""
+
+    LIMIT = 300_000
+
+    def __init__(self, ranks_path: str):
+        self.ranks = read_ranks(ranks_path)
+        self.library = tiktoken.Encoding("long", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+
+    def fold(self, word: bytes) -> list[int]:
+        rank = self.ranks.get
+        if (whole := rank(word)) is not None:
+            return [whole]
+        if len(word) > LONG_WORD:
+            return self.library._encode_single_piece(word)
+        parts = [word[i : i + 1] for i in range(len(word))]
+        found = [rank(word[i : i + 2], NONE) for i in range(len(word) - 1)]
+        while found and (least := min(found)) != NONE:
+            at = found.index(least)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del found[at]
+            if at:
+                found[at - 1] = rank(parts[at - 1] + parts[at], NONE)
+            if at < len(found):
+                found[at] = rank(parts[at] + parts[at + 1], NONE)
+        return [self.ranks[p] for p in parts]
+
+    def code(self, text: str) -> tuple[bytes, bytes]:
+        """A text's ids, as little-endian 32-bit integers, and the bytes they decode to."""
+        known = self.known
+        words = split(text)
+        for word in set(words).difference(known):
+            ids = self.fold(word.encode())
+            known[word] = array("I", ids).tobytes(), self.library.decode_bytes(ids)
+        pairs = [known[w] for w in words]
+        if len(known) > self.LIMIT:
+            self.known = {}
+        return b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
+
+
+_coders: dict[str, WordCoder] = {}
+
+
+def _coder(ranks_path: str) -> WordCoder:
+    if ranks_path not in _coders:
+        _coders[ranks_path] = WordCoder(ranks_path)
+    return _coders[ranks_path]
 
-def _spread(finish: Callable, schema: pa.Schema, ranks_path: str):
-    """From words' ids back to texts'; finish makes a row of (id, ids, decoded bytes)."""
 
+def _encoded(docs: DataFrame, ranks_path: str, id_col: str, text_col: str, finish: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(ranks_path)
         for batch in batches:
-            for r in range(len(batch)):
-                ids, counts, places = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in ((0, np.int64), (1, np.int64), (2, np.int32)))
-                coded = batch.column(3)[r].values
-                word_ids, decoded = coded.field("ids"), coded.field("decoded").to_pylist()
-                ends = word_ids.offsets.to_numpy() - word_ids.offsets[0].as_py()
-                flat = word_ids.flatten().to_numpy().astype("<u4")
-                pieces = [flat[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                for k, word in enumerate(batch.column(4)[r].as_py()):
-                    if word:
-                        pieces[k], decoded[k] = _long(word, ranks_path)
-                rows, at = [], 0
-                for i, n in zip(ids.tolist(), counts.tolist(), strict=True):
-                    own = places[at : at + n].tolist()
-                    at += n
-                    rows.append(finish(i, b"".join([pieces[p] for p in own]), b"".join([decoded[p] for p in own])))
+            rows = [finish(i, *coder.code(t.as_py() or "")) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return run
-
-
-_rank_files: dict[str, tuple] = {}
-
-
-def _long(word: bytes, ranks_path: str) -> tuple[bytes, bytes]:
-    import tiktoken
-
-    if ranks_path not in _rank_files:
-        ranks = read_ranks(ranks_path)
-        _rank_files[ranks_path] = (tiktoken.Encoding("long", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}),)
-    (encoding,) = _rank_files[ranks_path]
-    ids = encoding._encode_single_piece(word)
-    return np.array(ids, "<u4").tobytes(), encoding.decode_bytes(ids)
-
-
-def _encoded(docs: DataFrame, ranks_path: str, id_col: str, text_col: str, finish: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    words = rows.mapInArrow(_collect, WORDS_SCHEMA)
-    table = rank_table(docs.sparkSession, read_ranks(ranks_path))
-    coded = words.crossJoin(F.broadcast(table)).select("ids", "counts", "places", F.transform("words", lambda w: encode_word(w, F.col("ranks"))).alias("coded"), "long_words")
-    return coded.mapInArrow(_spread(finish, schema, ranks_path), ddl)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ddl)
 
 
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,6 +35,16 @@ def test_ids_and_bytes_equal_the_library(spark, docs, documents, library):
         assert bytes(r["decoded"]) == text.encode()
 
 
+def test_higher_order_fold_equals_the_library(spark, documents, library):
+    words = sorted({w for _, t in documents[::10] for w in bpe.split(t or "") if len(w.encode()) <= bpe.LONG_WORD})[::7]
+    table = spark.createDataFrame([(w.encode(),) for w in words] + [(None,)], "word binary")
+    for r in bpe.encode_words(table, PATH).collect():
+        if r["word"] is None:
+            assert r["coded"] is None
+        else:
+            assert r["coded"]["ids"] == library._encode_single_piece(bytes(r["word"])) and r["coded"]["decoded"] == r["word"]
+
+
 def test_digest(library):
     ids = np.array(library.encode_ordinary("Hello there"), "<u4")
     assert bpe._digest(5, ids.tobytes(), b"Hello there") == (5, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(b"Hello there").hexdigest())
