@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from helmwatch.llm import bpe, exact_dedup, html_extract, jaccard, lm_score, packing, pii, quality
+from helmwatch.llm import bpe, exact_dedup, html_extract, jaccard, lm_score, packing, pii, quality, substring_dedup
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_jaccard": jaccard.op3_jaccard,
     "op4_html": html_extract.op4_html,
     "op5_lm_score": lm_score.op5_lm_score,
