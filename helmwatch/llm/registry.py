@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helmwatch.llm import bpe, exact_dedup, html_extract, jaccard, lm_score, packing, pii, quality, substring_dedup
+from helmwatch.llm import bpe, exact_dedup, html_extract, jaccard, lm_score, media, packing, pii, quality, substring_dedup
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality": quality.op7_quality,
     "op8_bpe": bpe.op8_bpe,
+    "op9_media_copies": media.op9_media_copies,
     "op10_pii": pii.op10_pii,
 }
 ORACLES = {
