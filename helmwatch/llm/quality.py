@@ -209,6 +209,22 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
 
 
+def keep(docs: DataFrame, network: Network, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs with a score of threshold or more, with all their columns, in one pass without a shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(network)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = held.value.pair_tables()
+        for batch in batches:
+            data, offsets = utf8(batch.column(at))
+            found = [_scores(held.value, tables, data[offsets[a] : offsets[b]], offsets[a : b + 1]) for a, b in chunks(offsets, SPAN_BYTES)]
+            if found:
+                yield batch.filter(pa.array(np.concatenate(found) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 HELD_OUT = "crc32(cast(doc_id AS string)) % 3 = 1"
 
 
