@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helmwatch.llm.common import read_table, written
+from helmwatch.llm.common import pack_sorted, read_table, unpack_sorted, written
 from helmwatch.llm.textscan import chunks, mix, utf8, words
 
 BLOCK_BYTES = 24 << 20
@@ -66,7 +66,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner[ends] = False
         stream[inner] = hashes
         vocab, stream = np.unique(stream, return_inverse=True)
-        return _table(BLOCK_SCHEMA, [((part << 32) | number, _pack(ids), _pack(train), _pack(lengths.astype(np.int64)), _pack(stream.astype(np.int32)), vocab.tobytes())])
+        return _table(BLOCK_SCHEMA, [((part << 32) | number, _pack(ids), _pack(train), _pack(lengths.astype(np.int64)), _pack(stream.astype(np.int32)), pack_sorted(vocab))])
 
     for batch in batches:
         data, offsets = utf8(batch.column(2))
@@ -112,7 +112,7 @@ def _asker(bits: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                stream, vocab = _unpack(row["stream"], np.int32), np.frombuffer(row["vocab"], np.uint64)
+                stream, vocab = _unpack(row["stream"], np.int32), unpack_sorted(row["vocab"])
                 train = np.repeat(_unpack(row["train"], np.uint8), _unpack(row["lengths"], np.int64))
                 for kind, keys, counts in (
                     (1, vocab, np.bincount(stream[train > 0], minlength=len(vocab))),
@@ -120,7 +120,7 @@ def _asker(bits: int):
                 ):
                     at = _cuts(keys, bits)
                     counts = counts.astype(np.uint32)
-                    yield _table(ASK_SCHEMA, [(b, row["bid"], kind, keys[s:e].tobytes(), _pack(counts[s:e])) for b, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if e > s])
+                    yield _table(ASK_SCHEMA, [(b, row["bid"], kind, pack_sorted(keys[s:e]), _pack(counts[s:e])) for b, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if e > s])
 
     return ask
 
@@ -133,7 +133,8 @@ def _tell(table: pa.Table) -> pa.Table:
         own = [r for r in rows if r["kind"] == kind]
         if not own:
             continue
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in own])
+        asked = [unpack_sorted(r["keys"]) for r in own]
+        keys = np.concatenate(asked)
         counts = np.concatenate([_unpack(r["counts"], np.uint32) for r in own]).astype(np.int64)
         order = np.argsort(keys)
         first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
@@ -142,7 +143,7 @@ def _tell(table: pa.Table) -> pa.Table:
         totals[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
         at = 0
         for i, r in enumerate(own):
-            n = len(r["keys"]) // 8
+            n = len(asked[i])
             whole = (int(sums.sum()) if kind == 1 else 0, int((sums > 0).sum()) if kind == 1 else 0, int((sums == 1).sum()) if kind == 2 else 0) if i == 0 else (0, 0, 0)
             out.append((r["bid"], kind, r["bucket"], _pack(totals[at : at + n]), *whole))
             at += n
@@ -153,7 +154,7 @@ def _scorer(tokens: int, types: int, singles: int):
     def score(blocks: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for row in blocks.to_pylist():
-            stream, vocab, lengths = _unpack(row["stream"], np.int32), np.frombuffer(row["vocab"], np.uint64), _unpack(row["lengths"], np.int64)
+            stream, vocab, lengths = _unpack(row["stream"], np.int32), unpack_sorted(row["vocab"]), _unpack(row["lengths"], np.int64)
             answers = sorted((r["kind"], r["bucket"], r["totals"]) for r in told.select(["kind", "bucket", "totals"]).to_pylist())
             count, paired = (np.concatenate([_unpack(t, np.int64) for k, _, t in answers if k == kind]) for kind in (1, 2))
             _, codes, _ = _bigrams(stream, vocab, None)
