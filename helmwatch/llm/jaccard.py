@@ -10,10 +10,10 @@ hash. Two sets above the threshold share a shingle among the first quarter of bo
    frequent, such as the original of edited copies).
 3. Leaders are joined with their lists: candidates' sets, in global order from the frequent end, form a prefix tree
    that the leader's set traverses, sharing partial overlaps and pruning subtrees that can no longer reach the
-   threshold by the lengths that remain.
-4. Links make components by alternating star contraction. In lists whose members then still lie in different
-   components, the pairs across components that remain are joined the same way, so no link is lost; pairs within a
-   component need no test.
+   threshold by the lengths that remain. Links make components by alternating star contraction.
+4. Three rounds: every class with the most central of its leaders; then, in lists whose members still lie in different
+   components, the list's leader with the others; then all pairs across components that are left in such lists. Pairs
+   within a component need no test, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ TABLE_BITS = 20
 BLOCK_BYTES = 24 << 20
 BUCKET_ROWS = 1 << 20
 GROUP = 256
+BROADCAST_ROWS = 1 << 20
 _STEPS = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(SHINGLE)]
 
 
@@ -176,11 +177,11 @@ def _poster(held, bits: int):
     return post
 
 
-LIST_SCHEMA = "list long, leader long, cls long"
+LIST_SCHEMA = "list long, leader long, centre int, cls long"
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """The lists of a bucket's shared shingles: (list, leader, cls). Shingles with the same classes make one list."""
+    """The lists of a bucket's shared shingles: (list, leader, centre, cls). Shingles with the same classes make one list."""
     rows = sorted(table.to_pylist(), key=lambda r: (r["classes"], r["tokens"]))
     tokens = np.concatenate([unpack_sorted(r["tokens"]) for r in rows])
     classes = np.concatenate([np.frombuffer(r["classes"], np.int64) for r in rows])
@@ -194,10 +195,10 @@ def _lists(table: pa.Table) -> pa.Table:
     order = order[shared]
     tokens, classes, centre = tokens[order], classes[order], centre[order]
     order = np.lexsort((classes, -centre, tokens))
-    tokens, classes = tokens[order], classes[order]
+    tokens, classes, centre = tokens[order], classes[order], centre[order]
     first = np.ones(len(tokens), dtype=bool)
     first[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
-    tokens, classes = tokens[first], classes[first]
+    tokens, classes, centre = tokens[first], classes[first], centre[first]
     starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(tokens)))
     ids = np.add.reduceat(mix(classes.view(np.uint64)), starts).view(np.int64) if len(starts) else np.zeros(0, np.int64)
@@ -205,16 +206,17 @@ def _lists(table: pa.Table) -> pa.Table:
     pick = pick[sizes[pick] > 1]
     size = sizes[pick]
     take = np.repeat(starts[pick], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    return pa.table({"list": np.repeat(ids[pick], size), "leader": np.repeat(classes[starts[pick]], size), "cls": classes[take]})
+    return pa.table({"list": np.repeat(ids[pick], size), "leader": np.repeat(classes[starts[pick]], size), "centre": np.repeat(centre[starts[pick]], size), "cls": classes[take]})
 
 
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
+        data, offsets = utf8(batch.column(3))
         for a, b in chunks(offsets):
             tokens, sizes = _sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             at = np.append(0, np.cumsum(sizes)).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sizes, pa.int64()), pa.array([tokens[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["cls", "n", "tokens"])
+            sets = pa.array([tokens[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k)[a:b] for k in range(3)), sets], names=["probe", "salt", "cls", "tokens"])
 
 
 class PrefixTree:
@@ -291,13 +293,26 @@ def _joiner(held):
     return join
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, held) -> DataFrame:
-    """The links among pairs (probe, cls). A probe with many partners meets them in several groups."""
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, held) -> DataFrame:
+    """The links among pairs (probe, cls), written. A probe with many partners meets them in several groups.
+
+    Sets are made anew from a class's text where it lies. The classes to load are broadcast to the texts while they
+    are few, and joined by a shuffle beyond that."""
     degree = pairs.groupBy("probe").agg(F.count("*").alias("_n"))
     salted = attach(pairs, "probe", degree).select("probe", "cls", F.pmod(F.xxhash64("cls"), F.ceil(F.col("_n") / GROUP).cast("long")).alias("salt"))
     members = salted.union(salted.select("probe", F.col("probe").alias("cls"), "salt").distinct())
-    with_sets = members.join(sets.select(F.col("cls").alias("_c"), "tokens"), F.col("cls") == F.col("_c")).select("probe", "salt", "cls", "tokens")
-    return with_sets.groupBy("probe", "salt").applyInArrow(_joiner(held), "a long, b long")
+    wanted = written(members.join(classes.select("cls", "doc"), "cls").select("doc", "probe", "salt", "cls"), "pairs-to-test")
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = rows.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("doc")).select("probe", "salt", "cls", "text")
+    loaded = texts.mapInArrow(_load, "probe long, salt long, cls long, tokens binary")
+    return written(loaded.groupBy("probe", "salt").applyInArrow(_joiner(held), "a long, b long"), "links")
+
+
+def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists whose members lie in different components, with each member's root."""
+    labelled = lists.join(roots, F.col("cls") == F.col("node"), "left").select("list", "leader", "cls", F.coalesce("root", "cls").alias("root"))
+    mixed = labelled.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
+    return written(labelled.join(mixed, "list", "left_semi"), "open-lists")
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
@@ -331,27 +346,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = written(rows.mapInArrow(_count, COUNT_SCHEMA), "shingle-counts")
     held = spark.sparkContext.broadcast(frequency_table(counted))
     own = counted.where("part IS NULL").select("doc", "n", "cls")
-    classes = written(own.where("n > 0").groupBy("cls").agg(F.min("doc").alias("doc")), "shingle-classes")
+    classes = written(own.where("n > 0").groupBy("cls").agg(F.min("doc").alias("doc"), F.max("n").alias("n")), "shingle-classes")
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(int(total) // (DEN * BUCKET_ROWS // (DEN - NUM)), 1).bit_length()
     posted = rows.select("text").mapInArrow(_poster(held, bits), "bucket long, tokens binary, classes binary, centre binary")
     lists = written(posted.groupBy("bucket").applyInArrow(_lists, LIST_SCHEMA).dropDuplicates(["list", "cls"]), "shingle-lists")
 
-    wanted = lists.select("cls").distinct().join(classes, "cls").select("cls", F.col("doc").alias("_doc"))
-    sets = written(rows.join(wanted, F.col("id") == F.col("_doc")).select("cls", "text").mapInArrow(_load, "cls long, n long, tokens binary"), "shingle-sets")
-    stars = lists.where("cls <> leader").select(F.col("leader").alias("probe"), "cls").distinct()
-    links = written(_verified(stars, sets, held), "star-links")
-    roots = components(links, "star-components")
-
-    labelled = lists.join(roots, F.col("cls") == F.col("node"), "left").select("list", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = labelled.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
-    left = written(labelled.join(mixed, "list", "left_semi").join(sets.select("cls", "n"), "cls"), "open-lists")
-    a, b = (left.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "root", "n"))) for s in "xy")
-    across = a.join(b, "list").where((F.col("root_x") < F.col("root_y")) & (DEN * F.least("n_x", "n_y") >= NUM * F.greatest("n_x", "n_y")))
-    pairs = across.select(F.least("cls_x", "cls_y").alias("probe"), F.greatest("cls_x", "cls_y").alias("cls")).distinct()
-    tested = stars.select(F.least("probe", "cls").alias("probe"), F.greatest("probe", "cls").alias("cls"))
-    more = _verified(pairs.join(tested, ["probe", "cls"], "left_anti"), sets, held)
-    ends = components(links.union(more), "components")
+    stars = lists.where("cls <> leader")
+    pairs = stars.groupBy("cls").agg(F.max(F.struct("centre", "leader")).alias("m")).select(F.col("m.leader").alias("probe"), "cls")
+    tested = pairs = written(pairs, "first-pairs")
+    links = _verified(pairs, rows, classes, held)
+    for whole in (False, True):
+        left = _open(lists, components(links, "components"))
+        if not left.take(1):
+            break
+        if whole:
+            sized = left.join(classes.select("cls", "n"), "cls")
+            x, y = (sized.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "root", "n"))) for s in "xy")
+            across = x.join(y, "list").where((F.col("root_x") < F.col("root_y")) & (DEN * F.least("n_x", "n_y") >= NUM * F.greatest("n_x", "n_y")))
+            pairs = across.select(F.col("cls_x").alias("probe"), F.col("cls_y").alias("cls"))
+        else:
+            heads = left.where("cls = leader").select("list", F.col("root").alias("_root"))
+            pairs = left.join(heads, "list").where("root <> _root").select(F.col("leader").alias("probe"), "cls")
+        ends = lambda df: df.select(F.least("probe", "cls").alias("probe"), F.greatest("probe", "cls").alias("cls"))
+        fresh = written(ends(pairs).distinct().join(ends(tested), ["probe", "cls"], "left_anti"), "more-pairs")
+        tested = tested.union(fresh)
+        links = links.union(_verified(fresh, rows, classes, held))
+    ends = components(links, "components")
 
     rooted = classes.join(ends, F.col("cls") == F.col("node"), "left").select("cls", "doc", F.coalesce("root", "cls").alias("root"))
     named = attach(rooted.select("cls", "root"), "root", rooted.groupBy("root").agg(F.min("doc").alias("component"))).select("cls", "component")
