@@ -31,7 +31,7 @@ from helmwatch.llm.textscan import _P, _P_INV, chunks, mix, utf8
 LENGTH = 50
 SEED = 24
 RUN = LENGTH - SEED + 1
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 CHUNK = 1 << 20
 #: Text per transform.
 BATCH_BYTES = 1 << 20
@@ -375,17 +375,21 @@ def _cutter(bits: int):
                 hit = s["start"][(mask >> np.uint32(bit) & 1).astype(bool) & (s["windows"] > bit)] + bit
                 change[hit] += 1
                 change[hit + LENGTH] -= 1
-            gone = np.cumsum(change[:-1]) > 0
+            gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+            del change
             lengths = np.frombuffer(row["lengths"], np.int64)
             stops = np.cumsum(lengths)
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]
             begins = stops - lengths
-            begins_in = begins[lengths > 0]
-            edge[begins_in] = gone[begins_in]
-            removed, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, edge))
+            filled = lengths > 0
+            edge[begins[filled]] = gone[begins[filled]]
+            removed, spans = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            if filled.any():
+                removed[filled] = np.add.reduceat(gone, begins[filled], dtype=np.int64)
+                spans[filled] = np.add.reduceat(edge, begins[filled], dtype=np.int64)
             kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(begins.tolist(), stops.tolist(), strict=True)]
-            out.append(_batch(CUT_SCHEMA, list(zip(np.frombuffer(row["ids"], np.int64).tolist(), lengths.tolist(), (removed[stops] - removed[begins]).tolist(), (spans[stops] - spans[begins]).tolist(), kept, strict=True))))
+            out.append(_batch(CUT_SCHEMA, list(zip(np.frombuffer(row["ids"], np.int64).tolist(), lengths.tolist(), removed.tolist(), spans.tolist(), kept, strict=True))))
         return pa.Table.from_batches(out)
 
     return cut
