@@ -26,6 +26,7 @@ RADIUS = 12
 TURNS = 24
 PATCH = 7
 MIN_VOTES = 5
+BROADCAST_ENTRIES = 1 << 20
 #: Shifts are binned by this many pixels, in two overlapping grids each way.
 SHIFT = 4
 
@@ -138,12 +139,14 @@ def find_copies(indexed: DataFrame, queries: DataFrame, radius: int = RADIUS, mi
     """(query_id, match_id, votes): images of indexed of which queries hold a part; both are descriptors().
 
     Descriptors within radius that share a table entry match; up to TABLES - 1 differing bits they share one surely.
-    votes is the number of the query's corners that agree on one shift at one ratio of levels.
+    votes is the number of the query's corners that agree on one shift at one ratio of levels. Up to BROADCAST_ENTRIES
+    table entries of queries are broadcast, so that only matches of the index move; more are joined by a shuffle.
     """
     q = queries.select("id", "corner", "level", "x", "y", "lo", "hi", _parts().alias("entry"))
     q = q.select(*(F.col(c).alias(f"q_{c}") for c in q.columns))
     distance = F.bit_count(F.col("lo").bitwiseXOR(F.col("q_lo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("q_hi")))
-    near = indexed.withColumn("entry", _parts()).join(q, (F.col("entry") == F.col("q_entry")) & (distance <= radius))
+    few = queries.count() * TABLES <= BROADCAST_ENTRIES
+    near = indexed.withColumn("entry", _parts()).join(F.broadcast(q) if few else q, (F.col("entry") == F.col("q_entry")) & (distance <= radius))
     ratio = F.pow(F.lit(2.0), F.col("level") - F.col("q_level"))
     bins = lambda c: F.array(*(F.floor((F.col(c) - F.col(f"q_{c}") * ratio) / SHIFT + F.lit(g / 2)) * 2 + g for g in range(2)))
     votes = near.select("q_id", "id", "q_corner", (F.col("level") - F.col("q_level")).alias("ratio"), F.explode(bins("x")).alias("sx"), bins("y").alias("ys"))
