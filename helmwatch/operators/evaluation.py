@@ -84,8 +84,41 @@ def poisson_bootstrap(assets: DataFrame, key: str, numerator: str, denominator:
     """(replicate, ratio): clusters drawn with replacement by weights from a hash of key and replicate. The weights
     follow the Poisson law of mean 1, so replicates need no pass over all clusters' number and SQL can repeat them."""
     spark = assets.sparkSession
-    u = (F.crc32(F.concat_ws("|", F.col(key).cast("string"), F.col("replicate").cast("string"))) / 4294967296.0).alias("u")
+    digest = F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.col("replicate").cast("string")), 256)
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
     drawn = assets.crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "replicate"))).withColumn("u", u)
     # The cumulative Poisson law of mean 1.
     weight = F.when(F.col("u") < 0.36787944117144233, 0).when(F.col("u") < 0.7357588823428847, 1).when(F.col("u") < 0.9196986029286058, 2).when(F.col("u") < 0.9810118431238462, 3).when(F.col("u") < 0.9963401531726563, 4).otherwise(5)
     return drawn.withColumn("w", weight).groupBy("replicate").agg((F.sum(F.col("w") * F.col(numerator)) / F.nullif(F.sum(F.col("w") * F.col(denominator)), F.lit(0))).alias("ratio"))
+
+
+def fold_excluded_quantile(df: DataFrame, value: str, fold: str, p: float, folds: int, *keys: str) -> DataFrame:
+    """For every fold the higher quantile of the other folds' values, and the fold's share at or below it."""
+    other = df.where(F.col(value).isNotNull()).select(*keys, fold, value, F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held"))
+    outside = other.where(F.col(fold) != F.col("held"))
+    w = Window.partitionBy(*keys, "held")
+    ranked = outside.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
+    q = ranked.where(F.col("_r") == F.ceil(F.lit(float(p)) * (F.col("_n") - 1)) + 1).select(*keys, F.col("held").alias(fold), F.col(value).alias("quantile"))
+    return df.join(q, [*keys, fold]).groupBy(*keys, fold).agg(F.max("quantile").alias("quantile"), F.avg((F.col(value) <= F.col("quantile")).cast("double")).alias("coverage"))
+
+
+def interval_scores(df: DataFrame, residual: Column, half_width: Column, alpha: float, scale: Column) -> DataFrame:
+    """Exceedance, coverage, width and interval score of residuals under intervals of half_width, in units of scale."""
+    r, h = F.abs(residual) / scale, half_width / scale
+    return df.withColumn("exceedance", F.greatest(F.abs(residual) / half_width - 1, F.lit(0.0))).withColumn("covered", F.abs(residual) <= half_width).withColumn("width", 2 * h).withColumn(
+        "interval_score", 2 * h + 2 / alpha * F.greatest(r - h, F.lit(0.0))
+    )
+
+
+def rank_p(df: DataFrame, value: str, calibration: Column, *keys: str) -> DataFrame:
+    """p = (1 + calibration values at or above) / (n + 1); a calibration row leaves itself out of both counts."""
+    w = Window.partitionBy(*keys)
+    own = calibration.cast("int")
+    above = F.sum(own).over(w.orderBy(F.desc(value)).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - own
+    return df.withColumn("p", (1 + above) / (F.sum(own).over(w) - own + 1))
+
+
+def gate(metrics: DataFrame, value: str, limit: Column, at_most: bool, *keys: str) -> DataFrame:
+    """The worst value of each gate against its limit, and the verdict of all: PASS only if every gate holds."""
+    worst = (F.max if at_most else F.min)(value)
+    return metrics.groupBy(*keys).agg(worst.alias("worst"), F.max(limit).alias("limit")).withColumn("holds", F.col("worst") <= F.col("limit") if at_most else F.col("worst") >= F.col("limit"))

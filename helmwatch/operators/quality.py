@@ -97,11 +97,23 @@ def population_stability(df: DataFrame, value: str, train: Column, bins: int = 1
     return share.crossJoin(F.broadcast(total)).agg(F.when(F.max("edges") < 3, 0.0).otherwise(F.sum((q - p) * F.log(q / p))).alias("psi"))
 
 
+def average_rank(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
+    """(column, rank): the mean rank of every distinct value, exact. Values are counted, dealt to ranges between a few
+    quantiles, ranked within their range and moved by the ranges before, so no task sees all of them."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    cuts = counts.agg(F.percentile_approx(column, F.array(*(F.lit(i / buckets) for i in range(1, buckets)))).alias("_cuts"))
+    dealt = counts.crossJoin(F.broadcast(cuts)).select(column, "_n", F.size(F.filter("_cuts", lambda c: c < F.col(column))).alias("_b"))
+    sums = dealt.groupBy("_b").agg(F.sum("_n").alias("_s"))
+    before = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_before"))
+    upto = F.sum("_n").over(Window.partitionBy("_b").orderBy(column))
+    ranked = dealt.withColumn("_u", upto).join(F.broadcast(before), "_b")
+    return ranked.select(column, (F.col("_before") + F.col("_u") - (F.col("_n") - 1) / 2).alias("rank"))
+
+
 def spearman_pairs(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Rank correlations of all pairs of columns; ties have their mean rank."""
+    """Rank correlations of all pairs of columns; ties have their mean rank, a missing value has none."""
     for c in columns:
-        by = Window.orderBy(c)
-        df = df.withColumn(f"_{c}", F.rank().over(by) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2)
+        df = df.join(average_rank(df, c).withColumnRenamed("rank", f"_{c}"), c, "left")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = df.agg(F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.corr(f"_{a}", f"_{b}").alias("rho")) for a, b in pairs)).alias("p"))
     return one.select(F.explode("p").alias("p")).select("p.*")

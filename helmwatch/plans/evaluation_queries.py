@@ -23,7 +23,7 @@ def _intervals(spark: SparkSession) -> DataFrame:
 
 def j1_one_to_one(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment")
-    o = table(spark, sf_dir, "orders").where("o_custkey % 3 <> 0 OR o_custkey > 100").select(F.col("o_custkey").alias("k"), "o_orderkey")
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k"), "o_orderkey")
     return R.one_to_one(c, o, ["k"]).groupBy("side", "multiple").agg(F.count("*").alias("rows"))
 
 
@@ -64,7 +64,7 @@ def j10_others(spark, sf_dir):
 
 
 def j12_grid(spark, sf_dir):
-    n = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P' OR o_orderpriority LIKE '1%'").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    n = table(spark, sf_dir, "orders").where("o_totalprice > 400000").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
     return R.full_grid(n, "n", o_orderstatus=["F", "O", "P"], o_orderpriority=["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
 
 
@@ -101,7 +101,7 @@ def u_sets(spark, sf_dir):
 def k7_resume(spark, sf_dir):
     """Newest row of every trial, and the trials still to run."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("trial_id"), F.col("event_id").alias("seq"), F.round("value", 2).alias("result"))
-    return R.latest(e.where("trial_id % 4 <> 1"), "trial_id", "seq").select("trial_id", "seq", "result")
+    return R.latest(e, "trial_id", "seq").select("trial_id", "seq", "result")
 
 
 def ml40_folds(spark, sf_dir):
@@ -109,14 +109,14 @@ def ml40_folds(spark, sf_dir):
 
 
 def w21_w22_multiplicity(spark, sf_dir):
-    p = table(spark, sf_dir, "events").where("event_id % 10 = 0").select("event_id", "event_type", F.when(F.col("user_id") % 17 != 0, F.round(F.pmod(F.col("value") * 7919, F.lit(997.0)) / 9970, 8)).alias("p"))
+    p = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("user_id") % 17 != 0, F.round(F.pmod(F.col("value") * 7919, F.lit(997.0)) / 9970, 8)).alias("p"))
     out = R.benjamini_hochberg(R.holm(p, "p", "event_type"), "p", "event_type")
     return out.select("event_id", F.round("holm", 6).alias("holm"), F.round("bh", 6).alias("bh"))
 
 
 def b1_empirical(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    return R.empirical_p(e.where("event_id % 20 = 0"), e.where("event_id % 20 <> 0").select("event_type", "value"), "value", "event_type").select("event_id", F.round("p", 8).alias("p"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
+    return R.empirical_p(e.where("event_type = 'error'"), e.where("event_type = 'view'").select("day", "value"), "value", "day").select("event_id", F.round("p", 8).alias("p"))
 
 
 def _rows(spark, sf_dir):
@@ -239,7 +239,7 @@ _res_sql = f"{_ridge_sql}, r AS (SELECT l_returnflag, abs(l_extendedprice - (my
 _poisson = "CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 ELSE 5 END"
 
 QUERIES = {
-    "j1_one_to_one": (j1_one_to_one, """WITH c AS (SELECT c_custkey AS k, count(*) OVER (PARTITION BY c_custkey) AS l FROM customer), o AS (SELECT o_custkey AS k, count(*) OVER (PARTITION BY o_custkey) AS r FROM orders WHERE o_custkey % 3 <> 0 OR o_custkey > 100)
+    "j1_one_to_one": (j1_one_to_one, """WITH c AS (SELECT c_custkey AS k, count(*) OVER (PARTITION BY c_custkey) AS l FROM customer), o AS (SELECT o_custkey AS k, count(*) OVER (PARTITION BY o_custkey) AS r FROM orders WHERE o_orderstatus = 'P')
       SELECT CASE WHEN l IS NULL THEN 'right_only' WHEN r IS NULL THEN 'left_only' ELSE 'both' END AS side, coalesce(l, 1) > 1 OR coalesce(r, 1) > 1 AS multiple, count(*) AS rows FROM c FULL JOIN o USING (k) GROUP BY ALL"""),
     "j3_left_complete": (j3_left_complete, "WITH l AS (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1) SELECT o_orderstatus, count(*) AS rows, count(*) FILTER (lines IS NULL) AS unmatched, sum(lines)::BIGINT AS lines FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY 1"),
     "j7_semi_anti": (j7_semi_anti, "SELECT CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) THEN 'semi' ELSE 'anti' END AS kind, c_mktsegment, count(*) AS customers FROM customer GROUP BY ALL"),
@@ -247,19 +247,19 @@ QUERIES = {
     "j9_b19_ml45_leave_one_out": (j9_leave_one_out, """WITH p AS (SELECT a.s_suppkey, (1 + count(*) FILTER (b.s_acctbal >= a.s_acctbal)) / (count(b.s_suppkey) + 1) AS p FROM supplier a LEFT JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1) SELECT s_suppkey, round(p, 6) AS p, p <= 0.25 AS alarm FROM p"""),
     "j10_others": (j10_others, "SELECT a.n_nationkey AS outer_asset, count(*) AS inner_assets, sum(b.n_nationkey)::BIGINT AS key_sum FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey GROUP BY 1"),
     "j12_grid": (j12_grid, """SELECT s AS o_orderstatus, p AS o_orderpriority, count(o_orderkey) AS n FROM (SELECT unnest(['F','O','P']) AS s) CROSS JOIN (SELECT unnest(['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW']) AS p)
-      LEFT JOIN orders ON o_orderstatus = s AND o_orderpriority = p AND (o_orderstatus <> 'P' OR o_orderpriority LIKE '1%') GROUP BY ALL"""),
+      LEFT JOIN orders ON o_orderstatus = s AND o_orderpriority = p AND o_totalprice > 400000 GROUP BY ALL"""),
     "j13_pairs": (j13_pairs, "SELECT a.n_nationkey AS left_key, b.n_nationkey AS right_key, round(a.n_nationkey / b.n_nationkey, 6) AS ratio FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
     "j15_compare": (j15_compare, "WITH a AS (SELECT o_custkey, count(*) AS o FROM orders GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1) SELECT o IS NOT DISTINCT FROM n AS equal, count(*) AS customers FROM a FULL JOIN b USING (o_custkey) GROUP BY 1"),
     "t1_t3_t4_ranking": (t_ranking, "SELECT c_mktsegment, o_orderkey, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) <= 3"),
     "t2_top_k": (t2_top_k, "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 20"),
     "u1_u4_sets": (u_sets, """WITH a AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%'), i AS (SELECT * FROM a INTERSECT SELECT * FROM b), d AS (SELECT * FROM a EXCEPT SELECT * FROM b), u AS (SELECT * FROM a UNION SELECT * FROM b), x AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
       SELECT 'intersect' AS operation, count(*) AS n, sum(o_custkey)::BIGINT AS key_sum FROM i UNION ALL SELECT 'except', count(*), sum(o_custkey)::BIGINT FROM d UNION ALL SELECT 'union', count(*), sum(o_custkey)::BIGINT FROM u UNION ALL SELECT 'except_all', count(*), sum(o_custkey)::BIGINT FROM x"""),
-    "k7_resume": (k7_resume, "SELECT user_id AS trial_id, event_id AS seq, round(value, 2) AS result FROM events WHERE user_id % 4 <> 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"),
+    "k7_resume": (k7_resume, "SELECT user_id AS trial_id, event_id AS seq, round(value, 2) AS result FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"),
     "ml40_folds": (ml40_folds, """WITH h AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('43|' || c_custkey)[1:16], c_custkey) - 1 AS pos, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS farm FROM customer)
       SELECT c_custkey, c_mktsegment, ((pos + (1 + farm) % 5) % 5 + 1)::INT AS inner_fold FROM h"""),
-    "w21_w22_multiplicity": (w21_w22_multiplicity, """WITH p AS (SELECT event_id, event_type, CASE WHEN user_id % 17 <> 0 THEN round((value * 7919) % 997.0::DOUBLE / 9970, 8) END AS p FROM events WHERE event_id % 10 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY event_type, p IS NULL ORDER BY p) AS rn, count(*) OVER (PARTITION BY event_type, p IS NULL) AS m FROM p)
+    "w21_w22_multiplicity": (w21_w22_multiplicity, """WITH p AS (SELECT event_id, event_type, CASE WHEN user_id % 17 <> 0 THEN round((value * 7919) % 997.0::DOUBLE / 9970, 8) END AS p FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type, p IS NULL ORDER BY p) AS rn, count(*) OVER (PARTITION BY event_type, p IS NULL) AS m FROM p)
       SELECT event_id, CASE WHEN p IS NOT NULL THEN round(least(1, max((m - rn + 1) * p) OVER (PARTITION BY event_type, p IS NULL ORDER BY rn)), 6) END AS holm, CASE WHEN p IS NOT NULL THEN round(least(1, min(p * m / rn) OVER (PARTITION BY event_type, p IS NULL ORDER BY rn DESC)), 6) END AS bh FROM r"""),
-    "b1_empirical_p": (b1_empirical, "SELECT a.event_id, round((1 + count(*) FILTER (b.value >= a.value)) / (count(*) + 1), 8) AS p FROM events a JOIN events b ON a.event_type = b.event_type AND b.event_id % 20 <> 0 WHERE a.event_id % 20 = 0 GROUP BY 1"),
+    "b1_empirical_p": (b1_empirical, "SELECT a.event_id, round((1 + count(*) FILTER (b.value >= a.value)) / (count(b.value) + 1), 8) AS p FROM events a LEFT JOIN events b ON a.ts::DATE = b.ts::DATE AND b.event_type = 'view' WHERE a.event_type = 'error' GROUP BY 1"),
     "ag20_ag21_confusion": (ag20_confusion, f"""WITH {_rows_sql}, c AS (SELECT case_key, count(*) FILTER (NOT in_event AND NOT alarm) AS tn, count(*) FILTER (NOT in_event AND alarm) AS fp, count(*) FILTER (in_event AND NOT alarm) AS fn, count(*) FILTER (in_event AND alarm) AS tp FROM y GROUP BY 1)
       SELECT *, round({_fb("tp", "fp", "fn")}, 6) AS f_beta, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy FROM c"""),
     "ag22_ml32_ml34_care": (ml32_ml34_care, f"""WITH {_rows_sql}, z AS (SELECT *, CASE WHEN hour(ts) / 23.0 <= 0.5 THEN 1.0::DOUBLE ELSE 2 * (1 - hour(ts) / 23.0::DOUBLE) END AS w FROM y),
@@ -269,7 +269,8 @@ QUERIES = {
     "ml35_ag31_w18_nested": (ml35_nested, f"WITH {_nested_sql} SELECT * FROM n"),
     "ag32_selection_frequency": (ag32_selection_frequency, f"WITH {_nested_sql} SELECT configuration_id, count(*) AS selected FROM n GROUP BY 1"),
     "ag23_sufficient": (ag23_sufficient, f"WITH {_metric_sql} SELECT asset, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, count(*) AS configurations FROM m GROUP BY 1"),
-    "ml38_bootstrap": (ml38_bootstrap, None),
+    "ml38_bootstrap": (ml38_bootstrap, f"""WITH {_metric_sql}, a AS (SELECT asset, sum(tp) AS num, sum(tp + fp) AS den FROM m GROUP BY 1), d AS (SELECT num, den, r.r, ('0x' || sha256(asset || '|' || r.r)[1:8])::BIGINT / 4294967296.0::DOUBLE AS u FROM a, range(200) r(r)),
+      b AS (SELECT r, sum(w * num) / nullif(sum(w * den), 0) AS ratio FROM (SELECT *, {_poisson} AS w FROM d) GROUP BY 1) SELECT count(ratio) AS finite, round(quantile_cont(ratio, 0.025), 6) AS lower, round(quantile_cont(ratio, 0.975), 6) AS upper FROM b"""),
     "ml4_ml6_ridge": (ml4_ridge, f"WITH {_ridge_sql} SELECT l_returnflag, n, round(slope, 4) AS slope, round(my - slope * mx, 3) AS intercept, round(1 - (syy - 2 * slope * sxy + slope * slope * sxx) / syy, 6) AS r2 FROM f"),
     "ml11_leverage": (ml11_leverage, "WITH p AS (SELECT s_nationkey, count(*) AS n, avg(s_acctbal) AS m, var_pop(s_acctbal) * count(*) AS sxx FROM supplier GROUP BY 1) SELECT s_suppkey, round(1 / n + (s_acctbal - m) ^ 2 / (sxx + 1), 6) AS leverage FROM supplier JOIN p USING (s_nationkey)"),
     "ml16_ml17_ml19_blocks": (ml16_ml19_blocks, f"""WITH {_res_sql}, b AS (SELECT l_returnflag, block, max(score) AS m, count(*) AS n, avg((score <= 2)::INT) AS c FROM r GROUP BY ALL)

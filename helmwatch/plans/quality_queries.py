@@ -163,7 +163,7 @@ def ag28_wilson(spark, sf_dir):
 
 
 def ag33_spearman(spark, sf_dir):
-    out = A.spearman_pairs(table(spark, sf_dir, "customer").where("c_custkey < 50000").select("c_custkey", "c_nationkey", "c_acctbal"), ("c_custkey", "c_nationkey", "c_acctbal"))
+    out = A.spearman_pairs(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), ("c_custkey", "c_nationkey", "c_acctbal"))
     return out.select("left", "right", F.round("rho", 6).alias("rho"))
 
 
@@ -246,7 +246,7 @@ QUERIES = {
       SELECT c_mktsegment, round(sum(v) FILTER (rn <= 1) / sum(v), 6) AS top1_share, round(sum(v) FILTER (rn <= 5) / sum(v), 6) AS top5_share, count(*) FILTER (v > 1e6) AS over_1e6, round(sum(v) ^ 2 / sum(v * v), 3) AS effective_number FROM r GROUP BY 1"""),
     "ag28_wilson": (ag28_wilson, """WITH g AS (SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS successes, count(*) AS total FROM orders GROUP BY 1), w AS (SELECT *, successes / total AS p, 1.959963984540054::DOUBLE AS z FROM g)
       SELECT o_orderpriority, successes, total, round((p + z*z/(2*total) - z * sqrt(p*(1-p)/total + z*z/(4*total*total))) / (1 + z*z/total), 6) AS lower, round((p + z*z/(2*total) + z * sqrt(p*(1-p)/total + z*z/(4*total*total))) / (1 + z*z/total), 6) AS upper FROM w"""),
-    "ag33_spearman": (ag33_spearman, """WITH r AS (SELECT rank() OVER (ORDER BY c_custkey) + (count(*) OVER (PARTITION BY c_custkey) - 1) / 2 AS a, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2 AS b, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS c FROM customer WHERE c_custkey < 50000)
+    "ag33_spearman": (ag33_spearman, """WITH r AS (SELECT rank() OVER (ORDER BY c_custkey) + (count(*) OVER (PARTITION BY c_custkey) - 1) / 2 AS a, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2 AS b, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS c FROM customer)
       SELECT 'c_custkey' AS left, 'c_nationkey' AS right, round(corr(a, b), 6) AS rho FROM r UNION ALL SELECT 'c_custkey', 'c_acctbal', round(corr(a, c), 6) FROM r UNION ALL SELECT 'c_nationkey', 'c_acctbal', round(corr(b, c), 6) FROM r"""),
     "ag34_psi": (ag34_psi, f"""WITH d AS (SELECT l_extendedprice AS v, l_linenumber <= 3 AS t FROM lineitem), e AS (SELECT list_sort(list_distinct(quantile_cont(v, [{", ".join(str(i / 10) for i in range(11))}]))) AS e FROM d WHERE t),
       b AS (SELECT t, len(list_filter(e[2 : len(e) - 1], lambda x: x < v)) AS bin FROM d, e), s AS (SELECT bin, count(*) FILTER (t) AS a, count(*) FILTER (NOT t) AS b FROM b GROUP BY 1),
