@@ -12,17 +12,21 @@ hash. Two sets above the threshold share a shingle among the first quarter of bo
    that the leader's set traverses, sharing partial overlaps and pruning subtrees that can no longer reach the
    threshold by the lengths that remain. Links make components by alternating star contraction.
 4. Three rounds: every class with the most central of its leaders; then, in lists whose members still lie in different
-   components, the list's leader with the others; then all pairs across components that are left in such lists. Pairs
+   components, the list's leader with the others; then the pairs across components that are left in such lists. Pairs
    within a component need no test, so no link between components is lost.
+
+Before sets are loaded, a pair must pass its classes' bit marks: every shingle flips one of MARKS bits, so two marks
+differ in no more bits than the sets differ in shingles. Pairs whose marks differ in too many bits cannot link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helmwatch.llm.common import attach, pack_sorted, read_table, unpack_sorted, written
@@ -36,6 +40,8 @@ BLOCK_BYTES = 24 << 20
 BUCKET_ROWS = 1 << 20
 GROUP = 256
 BROADCAST_ROWS = 1 << 20
+#: Bits of a class's mark, and of the folded mark that members of a list carry.
+MARKS, FOLDED = 2048, 512
 _STEPS = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(SHINGLE)]
 
 
@@ -85,7 +91,22 @@ def _fingerprints(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
 
 
-COUNT_SCHEMA = "doc long, n long, cls long, part int, counts binary"
+def _marks(tokens: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One mark per row: which of MARKS bits an odd number of the row's shingles have, as 64-bit numbers."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    bit = (mix(tokens ^ np.uint64(0xBB67AE8584CAA73B)) & np.uint64(MARKS - 1)).astype(np.int64)
+    out, step = [], 1024
+    ends = np.append(0, np.cumsum(sizes))
+    for a in range(0, len(sizes), step):
+        b = min(a + step, len(sizes))
+        s, e = int(ends[a]), int(ends[b])
+        odd = np.bincount((row[s:e] - a) * MARKS + bit[s:e], minlength=(b - a) * MARKS) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * (MARKS // 64), pa.int32()), pa.array(flat))
+
+
+COUNT_SCHEMA = "doc long, n long, cls long, mark array<long>, part int, counts binary"
 PARTS = 16
 
 
@@ -93,7 +114,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc, n, cls) for documents, and at the end the task's share of the frequency table as (part, counts)."""
     table = np.zeros(1 << TABLE_BITS, np.int32)
     names = [f.split()[0] for f in COUNT_SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
     any_rows = False
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -103,11 +124,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table += np.bincount((tokens & np.uint64(len(table) - 1)).astype(np.int64), minlength=len(table)).astype(np.int32)
             n = b - a
             any_rows = True
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], kinds[0]), pa.array(sizes, kinds[1]), pa.array(_fingerprints(tokens, sizes), kinds[2]), pa.nulls(n, kinds[3]), pa.nulls(n, kinds[4])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], kinds[0]), pa.array(sizes, kinds[1]), pa.array(_fingerprints(tokens, sizes), kinds[2]), _marks(tokens, sizes), pa.nulls(n, kinds[4]), pa.nulls(n, kinds[5])], names=names)
     if any_rows:
         step = len(table) // PARTS
         rows = [table[p * step : (p + 1) * step].tobytes() for p in range(PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, kinds[0]), pa.nulls(PARTS, kinds[1]), pa.nulls(PARTS, kinds[2]), pa.array(range(PARTS), kinds[3]), pa.array(rows, kinds[4])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, kinds[0]), pa.nulls(PARTS, kinds[1]), pa.nulls(PARTS, kinds[2]), pa.nulls(PARTS, kinds[3]), pa.array(range(PARTS), kinds[4]), pa.array(rows, kinds[5])], names=names)
 
 
 def _sum_counts(table: pa.Table) -> pa.Table:
@@ -293,6 +314,21 @@ def _joiner(held):
     return join
 
 
+def _within_reach(words: int, suffixes: tuple[str, str], mark: str):
+    """Whether sizes and marks allow a link: sets above the threshold differ in at most (DEN - NUM) / (DEN + NUM) of
+    their sizes' sum."""
+    n, m = ([F.col(f"{c}_{s}") for s in suffixes] for c in ("n", mark))
+    differ = sum((F.bit_count(m[0][i].bitwiseXOR(m[1][i])) for i in range(words)), F.lit(0))
+    return (DEN * F.least(*n) >= NUM * F.greatest(*n)) & ((DEN + NUM) * differ <= (DEN - NUM) * (n[0] + n[1]))
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (probe, cls) that their classes' sizes and marks do not rule out."""
+    of = lambda key, s: classes.select(F.col("cls").alias(key), F.col("n").alias(f"n_{s}"), F.col("mark").alias(f"mark_{s}"))
+    both = attach(attach(pairs, "probe", of("probe", "x")), "cls", of("cls", "y"))
+    return both.where(_within_reach(MARKS // 64, ("x", "y"), "mark")).select("probe", "cls")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, held) -> DataFrame:
     """The links among pairs (probe, cls), written. A probe with many partners meets them in several groups.
 
@@ -345,8 +381,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     counted = written(rows.mapInArrow(_count, COUNT_SCHEMA), "shingle-counts")
     held = spark.sparkContext.broadcast(frequency_table(counted))
-    own = counted.where("part IS NULL").select("doc", "n", "cls")
-    classes = written(own.where("n > 0").groupBy("cls").agg(F.min("doc").alias("doc"), F.max("n").alias("n")), "shingle-classes")
+    marked = counted.where("part IS NULL")
+    own = marked.select("doc", "n", "cls")
+    first = own.where("n > 0").groupBy("cls").agg(F.min("doc").alias("doc"))
+    leading = marked.select(F.col("doc").alias("_doc"), F.col("cls").alias("_cls"), "n", "mark")
+    classes = written(first.join(leading, (F.col("doc") == F.col("_doc")) & (F.col("cls") == F.col("_cls"))).dropDuplicates(["cls"]).select("cls", "doc", "n", "mark"), "shingle-classes")
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(int(total) // (DEN * BUCKET_ROWS // (DEN - NUM)), 1).bit_length()
     posted = rows.select("text").mapInArrow(_poster(held, bits), "bucket long, tokens binary, classes binary, centre binary")
@@ -354,22 +393,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = lists.where("cls <> leader")
     pairs = stars.groupBy("cls").agg(F.max(F.struct("centre", "leader")).alias("m")).select(F.col("m.leader").alias("probe"), "cls")
-    tested = pairs = written(pairs, "first-pairs")
+    tested = pairs = written(_plausible(pairs, classes), "first-pairs")
     links = _verified(pairs, rows, classes, held)
     for whole in (False, True):
         left = _open(lists, components(links, "components"))
         if not left.take(1):
             break
         if whole:
-            sized = left.join(classes.select("cls", "n"), "cls")
-            x, y = (sized.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "root", "n"))) for s in "xy")
-            across = x.join(y, "list").where((F.col("root_x") < F.col("root_y")) & (DEN * F.least("n_x", "n_y") >= NUM * F.greatest("n_x", "n_y")))
+            words = FOLDED // 64
+            fold = F.array(*(reduce(Column.bitwiseXOR, (F.col("mark")[i] for i in range(k, MARKS // 64, words))) for k in range(words)))
+            sized = attach(left, "cls", classes.select("cls", "n", fold.alias("fold")))
+            x, y = (sized.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "root", "n", "fold"))) for s in "xy")
+            across = x.join(y, "list").where((F.col("root_x") < F.col("root_y")) & _within_reach(words, ("x", "y"), "fold"))
             pairs = across.select(F.col("cls_x").alias("probe"), F.col("cls_y").alias("cls"))
         else:
             heads = left.where("cls = leader").select("list", F.col("root").alias("_root"))
             pairs = left.join(heads, "list").where("root <> _root").select(F.col("leader").alias("probe"), "cls")
         ends = lambda df: df.select(F.least("probe", "cls").alias("probe"), F.greatest("probe", "cls").alias("cls"))
-        fresh = written(ends(pairs).distinct().join(ends(tested), ["probe", "cls"], "left_anti"), "more-pairs")
+        fresh = written(_plausible(ends(pairs).distinct().join(ends(tested), ["probe", "cls"], "left_anti"), classes), "more-pairs")
         tested = tested.union(fresh)
         links = links.union(_verified(fresh, rows, classes, held))
     ends = components(links, "components")

@@ -78,6 +78,19 @@ def test_prefix_tree_equals_all_pairs(sets, probe):
     assert sorted(got) == [i for i, s in enumerate(sets) if 4 * len(s & probe) >= 3 * len(s | probe)]
 
 
+def test_marks_never_differ_in_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(3)
+    sizes = np.array([0, 1, 7, 400, 3000, 3000])
+    tokens = rng.integers(0, 1 << 64, int(sizes.sum()), dtype=np.uint64)
+    tokens[-3000:-100] = tokens[-6000:-3100]
+    marks = [np.array(m, np.int64).view(np.uint64) for m in jaccard._marks(tokens, sizes).to_pylist()]
+    sets = [set(x.tolist()) for x in np.split(tokens, np.cumsum(sizes)[:-1])]
+    for a, x in zip(marks, sets, strict=True):
+        for b, y in zip(marks, sets, strict=True):
+            assert int(np.bitwise_count(a ^ b).sum()) <= len(x ^ y)
+    assert int(np.bitwise_count(marks[4] ^ marks[5]).sum()) > 150 and not marks[0].any()
+
+
 def test_empty_table(spark):
     assert run(spark, [(1, None)]) == {1: (0, 1)}
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
