@@ -59,3 +59,38 @@ def test_windows_keep_to_the_shares():
 
 def test_empty_table(docs):
     assert packing.pack(docs.where("false"), RANKS).count() == 0
+
+
+def test_windows_mix_sources_that_lie_apart(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 20_000)
+    rows = [(i, "some words of a text " * 20, "abc"[min(i // 300, 2)]) for i in range(1200)]
+    # One source after the other, and every partition of one source.
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(4, "doc_id")
+    pieces = packing.pack(table, RANKS).collect()
+    source, seqs = {i: s for i, _, s in rows}, defaultdict(lambda: defaultdict(int))
+    for p in pieces:
+        seqs[p["sequence_id"]][source[p["doc_id"]]] += p["length"]
+    full = [w for w in seqs.values() if sum(w.values()) == packing.WINDOW]
+    assert len(full) > 80
+    mixed = [w for w in full if len(w) == 3 and abs(w["a"] - 256) <= 128 and abs(w["c"] - 512) <= 192]
+    assert len(mixed) >= 0.6 * len(full)
+
+
+def test_repeats_of_an_id_are_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 5_000)
+    table = spark.createDataFrame([(7, "some words of a text " * 20, "a")] * 400, "doc_id long, text string, source string").coalesce(1)
+    pieces = packing.pack(table, RANKS).collect()
+    assert sum(p["length"] for p in pieces) == 400 * pieces[0]["doc_tokens"]
+    assert len({p["sequence_id"] >> 22 for p in pieces}) > 3
+
+
+def test_deficits_run_through_all_chains(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHAIN_BLOCKS", 2)
+    n = {(b, s): 10 * b + k for b in range(7) for k, s in enumerate("xyz", 1) if (b + k) % 3}
+    shares = {"x": 0.5, "y": 0.3, "z": 0.2}
+    rows = packing.block_targets(spark.createDataFrame([(b, s, v) for (b, s), v in n.items()], "bid long, source string, n long"), spark.createDataFrame([*shares.items()], "source string, share double")).collect()
+    assert {(r["block"], r["source"]) for r in rows} == n.keys()
+    for r in rows:
+        past = sum(v for (b, _), v in n.items() if b < r["block"])
+        served = sum(v for (b, s), v in n.items() if b < r["block"] and s == r["source"])
+        assert abs(r["deficit"] - (shares[r["source"]] * past - served)) < 1e-9
