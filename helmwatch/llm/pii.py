@@ -1,10 +1,11 @@
 """Personal data: fixed forms, plus identifiers found by bootstrapped contextual extraction.
 
 Seed entities (the fixed forms and a few shapes of credentials) are looked up in the corpus. What stands directly
-before an entity - a cue word with its separator, such as `password=` - is a lexical pattern. Patterns and the values
-they extract form a bipartite graph that Spark scores in a few rounds: a pattern is trusted as far as the values it
-extracts are, a value as far as the patterns that extract it. Every value of a trusted pattern is then reported,
-also values of no known shape.
+before an entity - a cue word with its separator, such as `password=` - is a lexical pattern; so are the two words
+before and the two words behind a seed, which are induced from the seeds and then looked up in all documents. Patterns
+and the values they extract form a bipartite graph that Spark scores in a few rounds: a pattern is trusted as far as
+the values it extracts are, and the values of trusted patterns are seeds of the next round. Every value of a trusted
+pattern is then reported, also values of no known shape.
 """
 
 from __future__ import annotations
@@ -41,8 +42,9 @@ MIN_SEEDS = 3
 
 SCAN_SCHEMA = (
     "id long, base array<struct<kind:int,start:int,end:int>>, seen array<struct<pattern:string,value:string,seed:boolean,start:int,end:int>>,"
-    " keys array<struct<kind:int,start:int,end:int>>"
+    " keys array<struct<kind:int,start:int,end:int>>, around array<struct<pattern:string,value:string>>"
 )
+SLOT_SCHEMA = "id long, pattern string, value string, seed boolean, start int, end int"
 
 
 def _luhn(digits: str) -> bool:
@@ -85,50 +87,125 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+_TOKEN = re.compile(r"\S+")
+_QUOTES = "\"'`()[]{}<>,;:.!?"
+
+
+def _slots(text: str, seeds: list[tuple[int, int]]) -> Iterator[tuple[tuple[str, str, str], tuple[str, str, str], int, int, bool]]:
+    """(left, right, start, end, seed) of each token: the two words before it and the two behind it, and its place
+    without quotes and punctuation. A seed that starts where its token does is one slot, whatever tokens it covers."""
+    ends = dict(seeds)
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    words = ["", "", *text.lower().split(), "", ""]
+    last = -1
+    for j, (a, b) in enumerate(tokens):
+        if a < last:
+            continue
+        while a < b and text[a] in _QUOTES:
+            a += 1
+        seed, k = a in ends, j
+        if seed:
+            b = last = ends[a]
+            while k + 1 < len(tokens) and tokens[k + 1][0] < b:
+                k += 1
+        else:
+            while b > a and text[b - 1] in _QUOTES:
+                b -= 1
+        if a < b:
+            yield ("<", words[j], words[j + 1]), (">", words[k + 3], words[k + 4]), a, b, seed
+
+
+def _seed_spans(text: str) -> tuple[list[tuple[int, int, int]], list[re.Match], list[tuple[int, int]]]:
+    spans, own = base_spans(text), list(_KEY.finditer(text))
+    return spans, own, [(s, e) for s, _, e in spans] + [m.span() for m in own]
+
+
+def _plain_slots(text: str, contexts: frozenset[tuple[str, str, str]], pairs: frozenset[tuple[str, str]]) -> Iterator[tuple[tuple[str, str, str], int, int]]:
+    """(context, start, end) of the contexts' occurrences in a text without seeds: _slots, only where a pair stands."""
+    words = ["", "", *text.lower().split(), "", ""]
+    if hits := [q for q, c in enumerate(zip(words, words[1:])) if c in pairs]:
+        tokens = [m.span() for m in _TOKEN.finditer(text)]
+        for q in hits:
+            for side, j in (("<", q), (">", q - 3)):
+                if 0 <= j < len(tokens) and (c := (side, words[q], words[q + 1])) in contexts:
+                    word = text[slice(*tokens[j])].lstrip(_QUOTES)
+                    a = tokens[j][1] - len(word)
+                    if word := word.rstrip(_QUOTES):
+                        yield c, a, a + len(word)
+
+
+def _find_slots(contexts: frozenset[tuple[str, str, str]]):
+    """Occurrences of induced contexts, as rows of SLOT_SCHEMA."""
+    pairs = frozenset(c[1:] for c in contexts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32()]
+        for batch in batches:
+            rows = []
+            digits = has_any(*utf8(batch.column(1)), b"0123456789@").tolist()
+            for i, text, digit in zip(batch.column(0).to_pylist(), batch.column(1), digits, strict=True):
+                text = text.as_py() or ""
+                if digit and (seeds := _seed_spans(text)[2]):
+                    for left, right, a, b, seed in _slots(text, seeds):
+                        rows += [(i, " ".join(c), text[a:b], seed, a, b) for c in (left, right) if c in contexts]
+                else:
+                    rows += [(i, " ".join(c), text[a:b], False, a, b) for c, a, b in _plain_slots(text, contexts, pairs)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[f.split()[0] for f in SLOT_SCHEMA.split(", ")])
+
+    return run
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([
         ("id", pa.int64()),
         ("base", pa.list_(span := pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))),
         ("seen", pa.list_(pa.struct([("pattern", pa.string()), ("value", pa.string()), ("seed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]))),
         ("keys", pa.list_(span)),
+        ("around", pa.list_(pa.struct([("pattern", pa.string()), ("value", pa.string())]))),
     ])
     for batch in batches:
         column = batch.column(1)
         data, offsets = utf8(column)
         digits, cues = has_any(data, offsets, b"0123456789@"), has_any(data, offsets, b":=")
         n = len(batch)
-        base, seen, keys = [[] for _ in range(n)], [[] for _ in range(n)], [[] for _ in range(n)]
+        base, seen, keys, around = ([[] for _ in range(n)] for _ in range(4))
         for i in np.flatnonzero(digits | cues).tolist():
             text = column[i].as_py() or ""
-            spans = base_spans(text) if digits[i] else []
+            spans, own, known = _seed_spans(text) if digits[i] else ([], [], [])
             base[i] = [{"kind": k, "start": s, "end": e} for s, k, e in spans]
-            own = [{"kind": 4, "start": m.start(), "end": m.end()} for m in _KEY.finditer(text)] if digits[i] else []
-            keys[i] = own
+            keys[i] = [{"kind": 4, "start": m.start(), "end": m.end()} for m in own]
+            if known:
+                around[i] = [{"pattern": " ".join(c), "value": text[a:b]} for *sides, a, b, seed in _slots(text, known) if seed for c in sides if any(c[1:])]
             if cues[i]:
-                starts = {s for s, _, _ in spans} | {x["start"] for x in own}
+                starts = {s for s, _ in known}
                 seen[i] = [
                     {"pattern": m[1].lower() + m[2].replace(" ", ""), "value": m[3], "seed": m.start(3) in starts or bool(_HEX.fullmatch(m[3])), "start": m.start(3), "end": m.end(3)}
                     for m in _CUED.finditer(text)
                 ]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(base, schema[1].type), pa.array(seen, schema[2].type), pa.array(keys, schema[3].type)], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(base, schema[1].type), pa.array(seen, schema[2].type), pa.array(keys, schema[3].type), pa.array(around, schema[4].type)], schema=schema)
 
 
 def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """Patterns (pattern, confidence, seeds) worth trusting, from occurrences (pattern, value, seed).
 
-    Scores alternate: a pattern's is the mean score of the distinct values it extracts; a value's is 1 if it is a
-    seed, else 1 - prod(1 - score) over the patterns that extract it. Distinct pairs are made before any join.
+    Scores alternate: a pattern's is the mean score of the distinct values it extracts. A value's is 1 if it is a
+    seed, and every value of a trusted pattern is a seed from the next round on; else it is half of the best score
+    among the patterns that extract it. Distinct pairs are made before any join.
     """
     edges = written(
         seen.groupBy("pattern", F.xxhash64("value").alias("value")).agg(F.max(F.col("seed").cast("double")).alias("seed")),
         "pii-edges",
     )
-    scored = edges.withColumn("score", F.col("seed"))
+    trusted = (F.col("seeds") >= min_seeds) & (F.col("trust") >= min_confidence)
+    scored = edges.select("pattern", "value", "seed", F.col("seed").alias("score"))
     for _ in range(rounds):
         patterns = scored.groupBy("pattern").agg(F.avg("score").alias("trust"), F.sum("seed").alias("seeds")).where(F.col("seeds") >= min_seeds)
-        doubt = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9))))
-        values = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(doubt)).alias("found"))
-        scored = edges.join(values, "value", "left").withColumn("score", F.greatest("seed", F.coalesce("found", F.lit(0.0)) * 0.5))
+        values = edges.join(patterns, "pattern", "left").groupBy("value").agg(
+            F.greatest(F.max("seed"), F.max(F.when(trusted, 1.0).otherwise(0.0))).alias("seed"), F.coalesce(F.max("trust"), F.lit(0.0)).alias("found")
+        )
+        values = values.where((F.col("seed") > 0) | (F.col("found") > 0))
+        known = edges.select("pattern", "value").join(values, "value", "left").withColumn("seed", F.coalesce("seed", F.lit(0.0)))
+        scored = written(known.select("pattern", "value", "seed", F.greatest("seed", F.coalesce("found", F.lit(0.0)) * 0.5).alias("score")), "pii-scores")
     return (
         scored.groupBy("pattern")
         .agg(F.avg("score").alias("confidence"), F.sum("seed").alias("seeds"))
@@ -146,6 +223,10 @@ def find_identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scan = written(rows.mapInArrow(_scan, SCAN_SCHEMA), "pii-scan")
     seen = scan.where(F.size("seen") > 0).select("id", F.explode("seen").alias("o")).select("id", "o.*")
+    # Contexts of fewer distinct seeds could only be trusted through values that other patterns find.
+    induced = scan.where(F.size("around") > 0).select(F.explode("around").alias("o")).groupBy("o.pattern").agg(F.countDistinct("o.value").alias("n")).where(F.col("n") >= MIN_SEEDS)
+    if contexts := frozenset(tuple(r["pattern"].split(" ")) for r in induced.select("pattern").collect()):
+        seen = seen.unionByName(written(rows.mapInArrow(_find_slots(contexts), SLOT_SCHEMA), "pii-slots"))
     trusted = trusted_patterns(seen).select("pattern")
     cued = (
         seen.join(trusted, "pattern", "left_semi")

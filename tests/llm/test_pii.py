@@ -50,3 +50,31 @@ def test_masking_keeps_rows_and_columns(spark):
     assert out.columns == ["doc_id", "text", "spans"]
     assert {(r["doc_id"], r["text"], r["spans"]) for r in out.collect()} == {(1, "mail [EMAIL] now", 7), (2, None, 8), (3, "clean", None)}
     assert pii.mask_identifiers(rows.where("false")).count() == 0
+
+
+def spans_of(spark, texts):
+    out = pii.find_identifiers(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    return {r["doc_id"]: [(texts[r["doc_id"]][x["start"] : x["end"]], x["kind"]) for x in r["spans"]] for r in out}
+
+
+def test_found_values_are_seeds_of_the_next_round(spark):
+    plain = ["hunter-two", "tree.house", "qwerty-x", "sesame-open", "blue-moon"]
+    texts = [f"word password={i:018x}a1 tail" for i in range(16, 36)]
+    texts += [f"so password={v} then" for v in plain] + [f"old passwd: {v} there" for v in plain] + ["old passwd: zebra-nine there", "colour: zebra-nine too"]
+    out = spans_of(spark, texts)
+    assert out[len(texts) - 2] == [("zebra-nine", 4)]
+
+
+def test_words_around_seeds_are_patterns(spark):
+    texts = [f"number {i} of them: please write to user{i}@ex.org before noon and {i} more" for i in range(10)]
+    texts += ["You may please write to agent_smith before dawn", "we will not write to anyone", "He saw agent_jones before noon and left", "nothing here"]
+    out = spans_of(spark, texts)
+    assert out[10] == [("agent_smith", 4)] and out[12] == [("agent_jones", 4)]
+    assert out[13] == []
+
+
+def test_places_of_contexts_are_those_of_all_slots(documents):
+    for text in (t or "" for _, t in documents[:200]):
+        slots = [(c, a, b) for *sides, a, b, _ in pii._slots(text, []) for c in sides if any(c[1:])]
+        contexts = frozenset(c for c, _, _ in slots[::7])
+        assert sorted(pii._plain_slots(text, contexts, frozenset(c[1:] for c in contexts))) == sorted(x for x in slots if x[0] in contexts)
