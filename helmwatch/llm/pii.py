@@ -32,9 +32,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Shapes of credentials that serve as further seeds: access keys and long hexadecimal strings.
 _KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
-_HEX = re.compile(r"(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,128}")
+_HEX = re.compile(r"(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}")
 # A cue word, a separator, and the value that they introduce.
-_CUED = re.compile(r"(?<![A-Za-z_])([A-Za-z_]{2,24})(\x20?[:=]\x20?[\"']?)([^\s\"',;<>]{4,128})")
+_CUED = re.compile(r"(?<![A-Za-z_])([A-Za-z_]{2,}+)(\x20?[:=]\x20?[\"']?)([^\s\"',;<>]{4,}+)")
 
 ROUNDS = 3
 MIN_CONFIDENCE = 0.6
@@ -218,7 +218,7 @@ def find_identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     points, kind an index into KINDS. spans holds base and what the method adds.
 
     A null text counts as empty and has no spans. Repeated rows are scanned alike. id_col must be a unique integer.
-    An added span that overlaps a base span is left out. An empty table gives an empty result.
+    Of an added span that overlaps base spans the parts outside them are added. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scan = written(rows.mapInArrow(_scan, SCAN_SCHEMA), "pii-scan")
@@ -236,10 +236,11 @@ def find_identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     flip = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     joined = scan.select("id", flip("base").alias("base"), flip("keys").alias("keys")).join(cued, "id", "left")
-    added = F.filter(
-        F.array_distinct(F.concat("keys", F.coalesce("cued", none))),
-        lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])),
-    )
+    # Of an added span the parts outside base spans: each base span in turn cuts what it meets into a head and a tail.
+    piece = lambda x, start, end: F.struct(start.alias("start"), x["kind"].alias("kind"), end.alias("end"))
+    outside = lambda x, y: F.when((x["start"] < y["end"]) & (y["start"] < x["end"]), F.array(piece(x, x["start"], F.least(x["end"], y["start"])), piece(x, F.greatest(x["start"], y["end"]), x["end"]))).otherwise(F.array(piece(x, x["start"], x["end"])))
+    parts = F.aggregate(flip("base"), F.concat("keys", F.coalesce("cued", none)), lambda left, y: F.filter(F.flatten(F.transform(left, lambda x: outside(x, y))), lambda x: x["start"] < x["end"]))
+    added = F.array_distinct(parts)
     # Of added spans that overlap each other the first is kept as it is; a key inside a cued value is part of it.
     alone = F.filter(added, lambda x: ~F.exists(added, lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y != x)))
     return joined.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", F.when(F.size("keys") + F.size(F.coalesce("cued", none)) > 0, alone).otherwise(none))).alias("spans"))

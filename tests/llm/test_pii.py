@@ -78,3 +78,12 @@ def test_places_of_contexts_are_those_of_all_slots(documents):
         slots = [(c, a, b) for *sides, a, b, _ in pii._slots(text, []) for c in sides if any(c[1:])]
         contexts = frozenset(c for c, _, _ in slots[::7])
         assert sorted(pii._plain_slots(text, contexts, frozenset(c[1:] for c in contexts))) == sorted(x for x in slots if x[0] in contexts)
+
+
+def test_long_values_and_cues_are_found_whole(spark):
+    long, cue = "Ab9-" * 75, "a_very_long_name_of_a_field_for_tokens"
+    texts = [f"word {k}={i:018x}a1 tail" for k in ("token", cue) for i in range(16, 36)]
+    texts += [f"so token={long} then", f"so {cue}={long} then", "so token=me@x.org!Qq9 then"]
+    out = spans_of(spark, texts)
+    assert out[40] == [(long, 4)] and out[41] == [(long, 4)]
+    assert out[42] == [("me@x.org", 0), ("!Qq9", 4)]
