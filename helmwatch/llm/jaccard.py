@@ -12,8 +12,9 @@ hash. Two sets above the threshold share a shingle among the first quarter of bo
    that the leader's set traverses, sharing partial overlaps and pruning subtrees that can no longer reach the
    threshold by the lengths that remain. Links make components by alternating star contraction.
 4. Three rounds: every class with the most central of its leaders; then, in lists whose members still lie in different
-   components, the list's leader with the others; then the pairs across components that are left in such lists. Pairs
-   within a component need no test, so no link between components is lost.
+   components, the list's leader with the others; then the pairs across components that are left in such lists and
+   that places and sizes allow (see _across). Pairs within a component need no test, so no link between components is
+   lost.
 
 Before sets are loaded, a pair must pass its classes' bit marks: every shingle flips one of MARKS bits, so two marks
 differ in no more bits than the sets differ in shingles. Pairs whose marks differ in too many bits cannot link.
@@ -39,9 +40,14 @@ TABLE_BITS = 20
 BLOCK_BYTES = 24 << 20
 BUCKET_ROWS = 1 << 20
 GROUP = 256
+#: Rows of four numbers that are broadcast at most, 32 MB.
 BROADCAST_ROWS = 1 << 20
 #: Bits of a class's mark, and of the folded mark that members of a list carry.
 MARKS, FOLDED = 2048, 512
+#: Sizes are dealt to bands this much apart.
+BAND = 0.05
+#: Places of shingles in a set's order are kept as parts of its size in this unit, rounded down.
+PLACES = 1020
 _STEPS = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(SHINGLE)]
 
 
@@ -160,17 +166,17 @@ def _poster(held, bits: int):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each class's first quarter, dealt by hash: (bucket, tokens, classes, centralities)."""
         table = held.value
-        seen: set[int] = set()
+        seen: set[int] = set()  # classes of the block at hand
         kept: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            tokens, classes, centre = (np.concatenate(x) for x in zip(*kept, strict=True))
+            tokens, *others = (np.concatenate(x) for x in zip(*kept, strict=True))
             order = np.argsort(tokens)
-            tokens, classes, centre = tokens[order], classes[order], centre[order]
+            tokens, others = tokens[order], [x[order] for x in others]
             cuts = [0, len(tokens)] if not bits else [0, *np.searchsorted(tokens, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(tokens)]
-            rows = [(b, pack_sorted(tokens[s:e]), classes[s:e].tobytes(), centre[s:e].tobytes()) for b, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["bucket", "tokens", "classes", "centre"])
+            rows = [(b, pack_sorted(tokens[s:e]), *(x[s:e].tobytes() for x in others)) for b, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3, 4))], names=["bucket", "tokens", "classes", "centre", "place"])
 
         for batch in batches:
             data, offsets = utf8(batch.column(0))
@@ -187,18 +193,20 @@ def _poster(held, bits: int):
                 length = sizes - -(-NUM * sizes // DEN) + 1
                 take = np.repeat(first, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
                 centre = np.log2(1.0 + np.add.reduceat(counts[take], np.cumsum(length) - length) / length)
-                kept.append((tokens[take], np.repeat(classes, length), np.repeat((centre * 1000).astype(np.uint16), length)))
+                place = (take - np.repeat(first, length)) * PLACES // np.repeat(sizes, length)
+                kept.append((tokens[take], np.repeat(classes, length), np.repeat((centre * 1000).astype(np.uint16), length), place.astype(np.uint8)))
                 size += int(offsets[b] - offsets[a])
                 if size >= BLOCK_BYTES:
                     yield flush()
                     kept, size = [], 0
+                    seen.clear()
         if kept:
             yield flush()
 
     return post
 
 
-LIST_SCHEMA = "list long, leader long, centre int, cls long"
+LIST_SCHEMA = "list long, leader long, centre int, cls long, place int"
 
 
 def _lists(table: pa.Table) -> pa.Table:
@@ -207,6 +215,7 @@ def _lists(table: pa.Table) -> pa.Table:
     tokens = np.concatenate([unpack_sorted(r["tokens"]) for r in rows])
     classes = np.concatenate([np.frombuffer(r["classes"], np.int64) for r in rows])
     centre = np.concatenate([np.frombuffer(r["centre"], np.uint16) for r in rows]).astype(np.int32)
+    place = np.concatenate([np.frombuffer(r["place"], np.uint8) for r in rows]).astype(np.int32)
     order = np.argsort(tokens)
     sorted_tokens = tokens[order]
     shared = np.zeros(len(tokens), dtype=bool)
@@ -214,30 +223,36 @@ def _lists(table: pa.Table) -> pa.Table:
     shared[1:] |= same
     shared[:-1] |= same
     order = order[shared]
-    tokens, classes, centre = tokens[order], classes[order], centre[order]
-    order = np.lexsort((classes, -centre, tokens))
-    tokens, classes, centre = tokens[order], classes[order], centre[order]
+    order = order[np.lexsort((classes[order], -centre[order], tokens[order]))]
+    tokens, classes, centre, place = tokens[order], classes[order], centre[order], place[order]
     first = np.ones(len(tokens), dtype=bool)
     first[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
-    tokens, classes, centre = tokens[first], classes[first], centre[first]
+    tokens, classes, centre, place = tokens[first], classes[first], centre[first], place[first]
     starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(tokens)))
     ids = np.add.reduceat(mix(classes.view(np.uint64)), starts).view(np.int64) if len(starts) else np.zeros(0, np.int64)
-    _, pick = np.unique(ids, return_index=True)
-    pick = pick[sizes[pick] > 1]
-    size = sizes[pick]
-    take = np.repeat(starts[pick], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    return pa.table({"list": np.repeat(ids[pick], size), "leader": np.repeat(classes[starts[pick]], size), "centre": np.repeat(centre[starts[pick]], size), "cls": classes[take]})
+    several = sizes > 1
+    of = np.repeat(ids, sizes)[np.repeat(several, sizes)]
+    leader = np.repeat(classes[starts], sizes)[np.repeat(several, sizes)]
+    central = np.repeat(centre[starts], sizes)[np.repeat(several, sizes)]
+    classes, place = (x[np.repeat(several, sizes)] for x in (classes, place))
+    order = np.lexsort((place, classes, of))
+    of, leader, central, classes, place = (x[order] for x in (of, leader, central, classes, place))
+    first = np.ones(len(of), dtype=bool)
+    first[1:] = (of[1:] != of[:-1]) | (classes[1:] != classes[:-1])
+    return pa.table({"list": of[first], "leader": leader[first], "centre": central[first], "cls": classes[first], "place": place[first]})
 
 
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of texts that are of the class asked for: rows that share an id need not share a text."""
     for batch in batches:
         data, offsets = utf8(batch.column(3))
         for a, b in chunks(offsets):
             tokens, sizes = _sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             at = np.append(0, np.cumsum(sizes)).tolist()
             sets = pa.array([tokens[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k)[a:b] for k in range(3)), sets], names=["probe", "salt", "cls", "tokens"])
+            found = pa.RecordBatch.from_arrays([*(batch.column(k)[a:b] for k in range(3)), sets], names=["probe", "salt", "cls", "tokens"])
+            yield found.filter(pa.array(_fingerprints(tokens, sizes) == found.column("cls").to_numpy(zero_copy_only=False)))
 
 
 class PrefixTree:
@@ -346,9 +361,35 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, held) -> Da
 
 def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """The lists whose members lie in different components, with each member's root."""
-    labelled = lists.join(roots, F.col("cls") == F.col("node"), "left").select("list", "leader", "cls", F.coalesce("root", "cls").alias("root"))
+    labelled = lists.join(roots, F.col("cls") == F.col("node"), "left").select("list", "leader", "cls", "place", F.coalesce("root", "cls").alias("root"))
     mixed = labelled.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
-    return written(labelled.join(mixed, "list", "left_semi"), "open-lists")
+    return written(attach(labelled, "list", mixed), "open-lists")
+
+
+def _across(left: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (probe, cls) of members of a list in different components that may link by where the list stands in
+    both sets, by their sizes and by their folded marks.
+
+    The list's first shingle at place p of a set of n leaves n - p that two sets can share, if it is the first they
+    share; so a partner has at most (4 n - 7 p) / 3 shingles (for a threshold of 3/4), and two sets that both have this
+    bound below their own size never link. Sets outside their list's largest component ask the bands of sizes within
+    their reach; each set answers in its own band.
+    """
+    words = FOLDED // 64
+    fold = F.array(*(reduce(Column.bitwiseXOR, (F.col("mark")[i] for i in range(k, MARKS // 64, words))) for k in range(words)))
+    sized = attach(left, "cls", classes.select("cls", "n", fold.alias("fold")))
+    before = F.ceil(F.col("n") * F.col("place") / PLACES)
+    reach = F.floor(((DEN + NUM) * (F.col("n") - before) - NUM * F.col("n")) / NUM)
+    members = written(sized.select("list", "cls", "root", "n", "fold", reach.cast("long").alias("reach")).where(reach >= F.ceil(F.col("n") * NUM / DEN)), "list-members")
+    sizes = members.groupBy("list", "root").agg(F.count("*").alias("rows"))
+    largest = sizes.groupBy("list").agg(F.max(F.struct("rows", "root"))["root"].alias("most"))
+    band = lambda n: F.floor(F.log(n.cast("double")) / np.log1p(BAND)).cast("int")
+    asking = attach(members, "list", largest).where("root <> most")
+    asking = asking.withColumn("band", F.explode(F.sequence(band(F.ceil(F.col("n") * NUM / DEN)), band(F.col("reach")))))
+    x = asking.select(F.xxhash64("list", "band").alias("deal"), *(F.col(c).alias(f"{c}_x") for c in ("list", "cls", "root", "n", "reach", "fold")))
+    y = members.select(F.xxhash64("list", band(F.col("n"))).alias("deal"), *(F.col(c).alias(f"{c}_y") for c in ("list", "cls", "root", "n", "reach", "fold")))
+    fits = (F.col("list_x") == F.col("list_y")) & (F.col("root_x") != F.col("root_y")) & (F.col("n_y") <= F.col("reach_x")) & (F.col("n_x") <= F.col("reach_y"))
+    return x.join(y, "deal").where(fits & _within_reach(words, ("x", "y"), "fold")).select(F.col("cls_x").alias("probe"), F.col("cls_y").alias("cls"))
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
@@ -374,8 +415,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents link when their shingle sets' similarity is NUM / DEN or more; component_id is the smallest id
     reachable by links, the document's own included. Null, empty and wordless texts have no shingles and link with
-    nothing, not with each other either. Equal texts link. An empty table gives an empty result; id_col must be a
-    unique, non-null integer; other columns are ignored.
+    nothing, not with each other either. Equal texts link. An empty table gives an empty result. Rows that share an id
+    are each judged by their own text, repeated rows give repeated rows; id_col must be a non-null integer; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -388,8 +430,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(first.join(leading, (F.col("doc") == F.col("_doc")) & (F.col("cls") == F.col("_cls"))).dropDuplicates(["cls"]).select("cls", "doc", "n", "mark"), "shingle-classes")
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(int(total) // (DEN * BUCKET_ROWS // (DEN - NUM)), 1).bit_length()
-    posted = rows.select("text").mapInArrow(_poster(held, bits), "bucket long, tokens binary, classes binary, centre binary")
-    lists = written(posted.groupBy("bucket").applyInArrow(_lists, LIST_SCHEMA).dropDuplicates(["list", "cls"]), "shingle-lists")
+    posted = rows.select("text").mapInArrow(_poster(held, bits), "bucket long, tokens binary, classes binary, centre binary, place binary")
+    lists = written(posted.groupBy("bucket").applyInArrow(_lists, LIST_SCHEMA).groupBy("list", "leader", "centre", "cls").agg(F.min("place").alias("place")), "shingle-lists")
 
     stars = lists.where("cls <> leader")
     pairs = stars.groupBy("cls").agg(F.max(F.struct("centre", "leader")).alias("m")).select(F.col("m.leader").alias("probe"), "cls")
@@ -400,15 +442,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not left.take(1):
             break
         if whole:
-            words = FOLDED // 64
-            fold = F.array(*(reduce(Column.bitwiseXOR, (F.col("mark")[i] for i in range(k, MARKS // 64, words))) for k in range(words)))
-            sized = attach(left, "cls", classes.select("cls", "n", fold.alias("fold")))
-            x, y = (sized.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "root", "n", "fold"))) for s in "xy")
-            across = x.join(y, "list").where((F.col("root_x") < F.col("root_y")) & _within_reach(words, ("x", "y"), "fold"))
-            pairs = across.select(F.col("cls_x").alias("probe"), F.col("cls_y").alias("cls"))
+            pairs = _across(left, classes)
         else:
             heads = left.where("cls = leader").select("list", F.col("root").alias("_root"))
-            pairs = left.join(heads, "list").where("root <> _root").select(F.col("leader").alias("probe"), "cls")
+            pairs = attach(left, "list", heads).where("root <> _root").select(F.col("leader").alias("probe"), "cls")
         ends = lambda df: df.select(F.least("probe", "cls").alias("probe"), F.greatest("probe", "cls").alias("cls"))
         fresh = written(_plausible(ends(pairs).distinct().join(ends(tested), ["probe", "cls"], "left_anti"), classes), "more-pairs")
         tested = tested.union(fresh)
@@ -422,9 +459,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row with the smallest id stays."""
-    gone = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """The rows of docs without near-duplicates: of each component the row with the smallest id stays. Where
+    rows share an id, they stay together if one of them stays."""
+    gone = near_duplicates(docs, id_col, text_col).groupBy(id_col).agg(F.every(F.col(id_col) != F.col("component_id")).alias("_gone")).where("_gone").select(id_col)
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,34 @@ def test_chains_of_edits(spark):
     assert run(spark, rows) == want
 
 
+def test_many_different_texts_in_one_list(spark, monkeypatch):
+    """Texts that share most of one original, too far from each other to link: the last round tests few of their pairs."""
+    asked = []
+    across = jaccard._across
+    monkeypatch.setattr(jaccard, "_across", lambda *a: asked.append(across(*a)) or asked[-1])
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(124)]
+    rows = [(1, " ".join(base))]
+    for i in range(500):
+        words = list(base)
+        for at in rng.choice(12, int(rng.integers(2, 7)), replace=False):
+            words[10 * at + 2] = f"x{rng.integers(1 << 40)}" if rng.random() < 0.9 else "x"
+        rows.append((10 + i, " ".join(words[int(rng.integers(0, 3)) :])))
+    assert run(spark, rows) == brute(rows)
+    assert asked and asked[0].distinct().count() < 5000
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    text, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(1, text), (1, text), (2, text + " more"), (3, other), (3, text), (4, other)]
+    docs = spark.createDataFrame([(i, t, 0, 0, 0, 0, 0) for i, t in rows], "doc_id long, text string, _gone int, id int, component_id int, n_shingles int, cls int")
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 3), (4, 3)]
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 3, 3]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 25), min_size=1), min_size=1, max_size=12), st.sets(st.integers(0, 25), min_size=1))
 def test_prefix_tree_equals_all_pairs(sets, probe):
