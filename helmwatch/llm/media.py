@@ -1,49 +1,66 @@
 """Media columns: cropped and edited copies of images by local descriptors.
 
-An image is a binary column in the portable graymap format. Corners are found at several scales; around each one,
-binary tests between smoothed pixels, turned by the corner's orientation, make a descriptor of 128 bits. Descriptors
-are joined by tables of their 16-bit parts and kept within a Hamming radius. What is left votes for a shift between
-query and image; agreement on one shift by several corners is a copy.
+An image is a binary column in the portable graymap format. Corners are found at all scales, half an octave apart;
+around each one, binary tests between smoothed pixels, turned by the corner's orientation, make a descriptor of 128
+bits. Descriptors meet in tables of their 16-bit parts and are kept within a Hamming radius. Each match states a turn,
+a scale and a shift; matches that state nearly the same are fitted by one similarity transform, and an image that
+enough of a query's corners agree on is a copy.
+
+A stated set of query images is searched for among all images: queries go out in blocks of bounded size, and every
+image is described, looked up and judged where it lies. No descriptor is dropped and none crosses the network.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helmwatch.llm.common import read_table, written
+from helmwatch.llm.common import attach, read_table, written
+from helmwatch.llm.textscan import mix
 
-#: Corners per level at most: the strongest. Levels halve the image's sides.
-CORNERS = 24
-LEVELS = 2
 BITS = 128
 TABLES = 8
-RADIUS = 12
+RADIUS = 18
 TURNS = 24
 PATCH = 7
+MARGIN = PATCH + 1
+#: Least corner strength (product of squared gradients of 8-bit pixels).
+STRENGTH = 1000.0
 MIN_VOTES = 5
-BROADCAST_ENTRIES = 1 << 20
-#: Shifts are binned by this many pixels, in two overlapping grids each way.
-SHIFT = 4
-
-DESCRIPTOR_SCHEMA = "id long, corner int, level int, x double, y double, lo long, hi long"
+#: Matches of one copy lie within this many pixels of its transform, at the scale of the image's corner.
+TOLERANCE = 2.5
+#: Query descriptors that go out at once: 4 MB of descriptors, 4 MB of tables.
+BLOCK = 1 << 17
+#: Pixels that are described at once; a larger image is alone.
+STACK_PIXELS = 1 << 18
+#: Table hits that are tested at once.
+STEP = 1 << 20
+#: Rows that are rendered or described at once; pairs of a query and an image that are judged at once.
+ROWS = 512
+PAIRS = 1 << 16
+
+CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("angle", "<f4"), ("level", "<i4"), ("lo", "<u8"), ("hi", "<u8")])
+DESCRIPTOR_SCHEMA = "id long, digest binary, side int, n int, corners binary"
+_KINDS = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def _tests() -> np.ndarray:
     """TURNS x BITS x 2 points x (y, x): one random set of tests, turned."""
     rng = np.random.Generator(np.random.PCG64(11))
-    points = np.clip(rng.normal(0, PATCH / 2.5, (BITS, 2, 2)), -PATCH, PATCH)
+    points = rng.normal(0, PATCH / 2.5, (BITS, 2, 2))
+    points *= np.minimum(1, PATCH / np.linalg.norm(points, axis=2, keepdims=True))
     angles = 2 * np.pi * np.arange(TURNS) / TURNS
     turn = np.array([[np.cos(angles), np.sin(angles)], [-np.sin(angles), np.cos(angles)]])  # (y, x) rows
-    return np.rint(np.einsum("abt,kpb->tkpa", turn, points)).astype(np.int64)
+    return np.rint(np.einsum("abt,kpb->tkpa", turn, points)).astype(np.int32)
 
 
 TESTS = _tests()
-MARGIN = int(np.abs(TESTS).max()) + 2
 _DISC = np.array([(y, x) for y in range(-PATCH, PATCH + 1) for x in range(-PATCH, PATCH + 1) if y * y + x * x <= PATCH * PATCH])
 
 
@@ -71,126 +88,310 @@ def read_graymap(data: bytes | None) -> np.ndarray | None:
         at = end
     w, h, top = fields
     body = data[at + 1 : at + 1 + w * h]
-    return np.frombuffer(body, np.uint8).reshape(h, w).astype(np.float32) if w and h and top < 256 and len(body) == w * h else None
+    return np.frombuffer(body, np.uint8).reshape(h, w) if w and h and top < 256 and len(body) == w * h else None
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Mean over squares of side 2r + 1; edges repeat."""
-    p = np.pad(a, r + 1, mode="edge").cumsum(0, dtype=np.float64).cumsum(1)
-    k = 2 * r + 1
-    return ((p[k:, k:] - p[:-k, k:] - p[k:, :-k] + p[:-k, :-k]) / (k * k))[:-1, :-1]
-
-
-def describe(pixels: np.ndarray | None) -> list[tuple[int, int, float, float, int, int]]:
-    """(corner, level, x, y, lo, hi) of an image's corners; x and y in pixels of the whole image."""
-    out: list[tuple] = []
-    if pixels is None:
-        return out
-    for level in range(LEVELS):
-        if level:
-            h, w = (n // 2 * 2 for n in pixels.shape)
-            pixels = (pixels[:h:2, :w:2] + pixels[1:h:2, :w:2] + pixels[:h:2, 1:w:2] + pixels[1:h:2, 1:w:2]) / 4
-        h, w = pixels.shape
-        if min(h, w) <= 2 * MARGIN + 2:
-            break
-        smooth = _box(pixels, 1)
-        gy, gx = np.gradient(smooth)
-        a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        strength = a * b - c * c - 0.05 * (a + b) ** 2
-        inner = strength[MARGIN : h - MARGIN, MARGIN : w - MARGIN]
-        around = np.pad(inner, 1, constant_values=-np.inf)
-        peak = np.max([around[i : i + inner.shape[0], j : j + inner.shape[1]] for i in range(3) for j in range(3)], axis=0)
-        ys, xs = np.nonzero((inner >= peak) & (inner > 1.0))
-        best = np.lexsort((xs, ys, -inner[ys, xs]))[:CORNERS]
-        ys, xs = ys[best] + MARGIN, xs[best] + MARGIN
-        if not len(ys):
-            continue
-        disc = smooth[ys[:, None] + _DISC[:, 0], xs[:, None] + _DISC[:, 1]]
-        angle = np.arctan2(disc @ _DISC[:, 0], disc @ _DISC[:, 1])
-        tests = TESTS[np.rint(angle * TURNS / (2 * np.pi)).astype(np.int64) % TURNS]
-        values = smooth[ys[:, None, None] + tests[..., 0], xs[:, None, None] + tests[..., 1]]
-        words = np.packbits(values[..., 0] < values[..., 1], axis=1).view("<i8")
-        scale = 1 << level
-        out += [(len(out) + k, level, float(x * scale), float(y * scale), lo, hi) for k, (x, y, lo, hi) in enumerate(zip(xs.tolist(), ys.tolist(), words[:, 0].tolist(), words[:, 1].tolist(), strict=True))]
-    return out
+    """Sums over squares of side 2r + 1 of the last two axes; edges repeat."""
+    p = np.pad(a, ((0, 0), (r, r), (r, r)), mode="edge")
+    h, w = a.shape[1:]
+    rows = reduce(np.add, (p[:, k : k + h] for k in range(2 * r + 1)))
+    return reduce(np.add, (rows[:, :, k : k + w] for k in range(2 * r + 1)))
+
+
+def _shrunk(a: np.ndarray) -> np.ndarray:
+    """The stack at 1/sqrt(2) of its sides, between the nearest two rows and columns of the smoothed pixels."""
+    a = _box(a, 1) / np.float32(9)
+    for axis in (1, 2):
+        n = int(a.shape[axis] / 2**0.5)
+        at = (np.arange(n) + 0.5) * 2**0.5 - 0.5
+        low = np.minimum(at.astype(np.int64), a.shape[axis] - 2)
+        part = (at - low).astype(np.float32).reshape((-1, 1) if axis == 1 else (-1,))
+        a = np.take(a, low, axis) * (1 - part) + np.take(a, low + 1, axis) * part
+    return a
+
+
+def describe(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(image of every corner, corners) of images of one size, a stack of 8-bit pixels; by image. x and y are pixels
+    of the whole image from its centre. Corners are all local maxima of the corner strength above STRENGTH."""
+    pixels, level, found = stack.astype(np.float32), 0, []
+    height, width = stack.shape[1:]
+    while min(pixels.shape[1:]) > 2 * MARGIN + 2:
+        h, w = pixels.shape[1:]
+        smooth = _box(pixels, 1) / np.float32(9)
+        gy, gx = np.zeros_like(smooth), np.zeros_like(smooth)
+        gy[:, 1:-1] = (smooth[:, 2:] - smooth[:, :-2]) / 2
+        gx[:, :, 1:-1] = (smooth[:, :, 2:] - smooth[:, :, :-2]) / 2
+        a, b, c = (_box(x, 2) / np.float32(25) for x in (gx * gx, gy * gy, gx * gy))
+        strength = a * b - c * c - np.float32(0.05) * (a + b) ** 2
+        inner = strength[:, MARGIN : h - MARGIN, MARGIN : w - MARGIN]
+        around = np.pad(inner, ((0, 0), (1, 1), (1, 1)), constant_values=-np.inf)
+        rows = np.maximum(np.maximum(around[:, :-2], around[:, 1:-1]), around[:, 2:])
+        peak = np.maximum(np.maximum(rows[:, :, :-2], rows[:, :, 1:-1]), rows[:, :, 2:])
+        image, ys, xs = np.nonzero((inner >= peak) & (inner > STRENGTH))
+        if len(ys):
+            ys, xs = ys + MARGIN, xs + MARGIN
+            flat = smooth.ravel()
+            at = (image * h + ys) * w + xs
+            disc = flat[at[:, None] + (_DISC[:, 0] * w + _DISC[:, 1])]
+            disc -= disc.mean(axis=1, keepdims=True)
+            angle = np.arctan2(disc @ _DISC[:, 0].astype(np.float32), disc @ _DISC[:, 1].astype(np.float32))
+            offsets = (TESTS[..., 0] * w + TESTS[..., 1])[np.rint(angle * TURNS / (2 * np.pi)).astype(np.int64) % TURNS]
+            words = np.packbits(flat[at[:, None] + offsets[..., 0]] < flat[at[:, None] + offsets[..., 1]], axis=1).view("<u8")
+            corners = np.empty(len(ys), CORNER)
+            scale = 2 ** (level / 2)
+            corners["x"], corners["y"] = (xs + 0.5) * scale - width / 2, (ys + 0.5) * scale - height / 2
+            corners["angle"], corners["level"], corners["lo"], corners["hi"] = angle, level, words[:, 0], words[:, 1]
+            found.append((image, corners))
+        pixels, level = _shrunk(pixels), level + 1
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, CORNER)
+    image, corners = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(image, kind="stable")
+    return image[order], corners[order]
+
+
+def _described(images: list[bytes | None]) -> list[tuple[bytes | None, int, bytes]]:
+    """(digest, longer side, corners) of every image; equal ones are described once."""
+    digests = [None if x is None else hashlib.blake2b(x, digest_size=16).digest() for x in images]
+    first: dict[bytes, int] = {}
+    for k, d in enumerate(digests):
+        if d is not None:
+            first.setdefault(d, k)
+    pixels = {k: p for k in first.values() if (p := read_graymap(images[k])) is not None}
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, p in pixels.items():
+        alike.setdefault(p.shape, []).append(k)
+    corners: dict[int, tuple[int, bytes]] = {}
+    for (h, w), rows in alike.items():
+        step = max(STACK_PIXELS // (h * w), 1)
+        for s in range(0, len(rows), step):
+            own = rows[s : s + step]
+            image, found = describe(np.stack([pixels[k] for k in own]))
+            cuts = np.searchsorted(image, np.arange(len(own) + 1))
+            for k, a, b in zip(own, cuts[:-1], cuts[1:], strict=True):
+                corners[k] = (max(h, w), found[a:b].tobytes())
+    return [(d, *corners.get(first.get(d, -1), (0, b""))) for d in digests]
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     names = [f.split()[0] for f in DESCRIPTOR_SCHEMA.split(", ")]
-    for batch in batches:
-        rows = [(i, *d) for i, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for d in describe(read_graymap(image.as_py()))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+    for batch in _sliced(batches, ROWS):
+        digests, sides, corners = zip(*_described(batch.column(1).to_pylist()), strict=True)
+        counts = [len(c) // CORNER.itemsize for c in corners]
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((batch.column(0), digests, sides, counts, corners), _KINDS, strict=True)], names=names)
 
 
 def descriptors(images: DataFrame, id_col: str = "id", image_col: str = "image") -> DataFrame:
-    """The descriptors (id, corner, level, x, y, lo, hi) of all images. Null, empty, unreadable and even images have
-    none; repeated rows repeat theirs; an empty table has none."""
-    return images.select(F.col(id_col).cast("long"), F.col(image_col)).mapInArrow(_describe, DESCRIPTOR_SCHEMA)
-
-
-def _parts():
-    """The table entries of a descriptor: its 16-bit parts, each with its place."""
-    part = lambda c, k: F.shiftright(c, 16 * k).bitwiseAND(F.lit(0xFFFF))
-    return F.explode(F.array(*(F.lit(k << 16).bitwiseOR(part(c, k % 4)) for c, ks in (("lo", range(4)), ("hi", range(4, 8))) for k in ks)))
+    """(id, digest, side, n, corners) of every row: a digest of the image's bytes, its longer side, its n corners.
 
+    Null, empty, unreadable and even images have no corners, a null no digest; repeated rows repeat theirs; an empty
+    table has none; other columns are ignored."""
+    return images.select(F.col(id_col).cast("long"), F.col(image_col)).mapInArrow(_describe, DESCRIPTOR_SCHEMA)
 
-def find_copies(indexed: DataFrame, queries: DataFrame, radius: int = RADIUS, min_votes: int = MIN_VOTES) -> DataFrame:
-    """(query_id, match_id, votes): images of indexed of which queries hold a part; both are descriptors().
 
-    Descriptors within radius that share a table entry match; up to TABLES - 1 differing bits they share one surely.
-    votes is the number of the query's corners that agree on one shift at one ratio of levels. Up to BROADCAST_ENTRIES
-    table entries of queries are broadcast, so that only matches of the index move; more are joined by a shuffle.
+def _parts(corners: np.ndarray) -> np.ndarray:
+    """n x TABLES: the 16-bit parts of descriptors."""
+    return np.stack([corners["lo"], corners["hi"]], axis=1).view("<u2")
+
+
+class Block:
+    """Queries' corners and their tables: for each part, the corners sorted by it and where each value begins."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes]]):
+        self.corners = np.concatenate([np.zeros(0, CORNER), *(np.frombuffer(c, CORNER) for _, _, c in rows)])
+        n = [len(c) // CORNER.itemsize for _, _, c in rows]
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        self.sides = np.array([r[1] for r in rows], np.float64)
+        self.query = np.repeat(np.arange(len(rows)), n)
+        self.parts = _parts(self.corners)
+        self.orders = [np.argsort(self.parts[:, k], kind="stable") for k in range(TABLES)]
+        self.begins = [np.searchsorted(self.parts[o, k], np.arange(1 << 16 | 1)) for k, o in enumerate(self.orders)]
+
+    def matches(self, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query corner, corner) of all pairs within RADIUS that share a table entry, each once."""
+        parts, found = _parts(corners), []
+        for k in range(TABLES):
+            begin = self.begins[k][parts[:, k].astype(np.int64)]
+            count = self.begins[k][parts[:, k].astype(np.int64) + 1] - begin
+            ends = np.cumsum(count)
+            at = 0
+            while at < len(ends):
+                done = int(ends[at - 1]) if at else 0
+                end = max(int(np.searchsorted(ends, done + STEP, side="right")), at + 1)
+                n = count[at:end]
+                i = np.repeat(np.arange(at, end), n)
+                q = self.orders[k][np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at:end], n)]
+                far = np.bitwise_count(self.corners["lo"][q] ^ corners["lo"][i]) + np.bitwise_count(self.corners["hi"][q] ^ corners["hi"][i])
+                keep = far <= RADIUS
+                q, i = q[keep], i[keep]
+                fresh = ~(self.parts[q, :k] == parts[i, :k]).any(axis=1)
+                found.append((q[fresh], i[fresh]))
+                at = end
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+    def agreed(self, q: np.ndarray, image: np.ndarray, corners: np.ndarray) -> list[tuple[int, int, int]]:
+        """(query, image, votes) for matches between query corners q and corners of images: those pairs of images of
+        which MIN_VOTES or more query corners agree on one turn, scale and shift."""
+        query = self.query[q]
+        pair, size = np.unique(query * (image.max(initial=0) + 1) + image, return_inverse=True, return_counts=True)[1:]
+        keep = size[pair] >= MIN_VOTES
+        q, image, query, pair, corners = q[keep], image[keep], query[keep], pair[keep], corners[keep]
+        if not len(q):
+            return []
+        own = self.corners[q]
+        z, to = own["x"] + 1j * own["y"].astype(np.float64), corners["x"] + 1j * corners["y"].astype(np.float64)
+        step = corners["level"] - own["level"]
+        turn = np.mod(corners["angle"] - own["angle"], 2 * np.pi)
+        shift = to - z * 2.0 ** (step / 2) * np.exp(1j * turn)
+        # Coarse cells in two overlapping grids each way; a match may be off by an eighth of the query's side.
+        rows, groups = [], []
+        for grid in range(16):
+            g = [(grid >> k) & 1 for k in range(4)]
+            level = np.floor_divide(step + g[0], 2)
+            width = np.maximum(8.0, self.sides[query] * 2.0 ** (level - g[0] / 2) / 4)
+            around = np.floor_divide(np.mod(turn + g[1] * np.pi / 8, 2 * np.pi), np.pi / 4)
+            key = pair.astype(np.uint64)
+            for part in (level, around, np.floor(shift.real / width + g[2] / 2), np.floor(shift.imag / width + g[3] / 2)):
+                key = mix(key * np.uint64(31) + part.astype(np.int64).view(np.uint64))
+            group, counts = np.unique(key, return_inverse=True, return_counts=True)[1:]
+            enough = np.flatnonzero(counts[group] >= MIN_VOTES)
+            rows.append(enough)
+            groups.append(group[enough] + (grid << 32))
+        row, group = np.concatenate(rows), np.unique(np.concatenate(groups), return_inverse=True)[1]
+        if not len(row):
+            return []
+        # One similarity transform a cell by least squares, three times, closing in on the matches that agree.
+        z, to = z[row], to[row]
+        slack = TOLERANCE * 2.0 ** (corners["level"][row] / 2)
+        inside = np.ones(len(row), bool)
+        total = lambda v: np.bincount(group, np.where(inside, v.real, 0)) + 1j * np.bincount(group, np.where(inside, v.imag, 0))
+        for wide in (4, 2, 1):
+            n = np.maximum(np.bincount(group, inside), 1)
+            mean_z, mean_to = total(z + 0j) / n, total(to + 0j) / n
+            dz, dto = z - mean_z[group], to - mean_to[group]
+            power = np.maximum(total(np.abs(dz) ** 2 + 0j).real, 1e-9)
+            factor = total(np.conj(dz) * dto) / power
+            inside = np.abs(dto - factor[group] * dz) <= wide * slack
+        seen = np.unique((group * len(self.corners) + q[row])[inside]) // len(self.corners)
+        votes = np.bincount(seen, minlength=group.max() + 1)
+        of = np.zeros(group.max() + 1, np.int64)
+        of[group] = row
+        best: dict[tuple[int, int], int] = {}
+        for g in np.flatnonzero((votes >= MIN_VOTES) & (np.abs(factor) > 0.1)).tolist():
+            key = (int(query[of[g]]), int(image[of[g]]))
+            best[key] = max(best.get(key, 0), int(votes[g]))
+        return [(*key, n) for key, n in best.items()]
+
+
+FOUND_SCHEMA = "id long, digest binary, query_id long, votes long"
+
+
+def _search(held):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for every image, and one for every query that an image with corners is a copy of, equal images of a
+        slice once."""
+        block = Block(held.value)
+        for batch in _sliced(batches, max(PAIRS // max(len(block.ids), 1), 1)):
+            ids, digests, corners = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist()
+            first = {d: k for k, d in reversed(list(enumerate(digests))) if d is not None and corners[k]}
+            rows = sorted(first.values())
+            own = np.concatenate([np.zeros(0, CORNER), *(np.frombuffer(corners[k], CORNER) for k in rows)])
+            image = np.repeat(np.array(rows, np.int64), [len(corners[k]) // CORNER.itemsize for k in rows])
+            q, i = block.matches(own)
+            found = block.agreed(q, image[i], own[i])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*ids, *[None] * len(found)], pa.int64()), pa.array([*digests, *(digests[k] for _, k, _ in found)], pa.binary()), pa.array([*[None] * len(ids), *(int(block.ids[x]) for x, _, _ in found)], pa.int64()), pa.array([*[None] * len(ids), *(n for _, _, n in found)], pa.int64())],
+                names=["id", "digest", "query_id", "votes"],
+            )
+
+    return search
+
+
+def find_copies(indexed: DataFrame, queries: DataFrame) -> DataFrame:
+    """Which images of indexed hold the content of which queries; both are descriptors().
+
+    Rows (query_id, picture_id, class_id, votes). Images with equal bytes are one class, named by its smallest id. For
+    every image of indexed one row with its class and null query_id and votes; for every query and class that is a copy
+    one row with the class's id as picture_id and the number of the query's corners that agree. A null image is a class
+    of its own and matches nothing. Descriptors within RADIUS that share a table entry match; up to TABLES - 1
+    differing bits they share one surely.
     """
-    q = queries.select("id", "corner", "level", "x", "y", "lo", "hi", _parts().alias("entry"))
-    q = q.select(*(F.col(c).alias(f"q_{c}") for c in q.columns))
-    distance = F.bit_count(F.col("lo").bitwiseXOR(F.col("q_lo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("q_hi")))
-    few = queries.count() * TABLES <= BROADCAST_ENTRIES
-    near = indexed.withColumn("entry", _parts()).join(F.broadcast(q) if few else q, (F.col("entry") == F.col("q_entry")) & (distance <= radius))
-    ratio = F.pow(F.lit(2.0), F.col("level") - F.col("q_level"))
-    bins = lambda c: F.array(*(F.floor((F.col(c) - F.col(f"q_{c}") * ratio) / SHIFT + F.lit(g / 2)) * 2 + g for g in range(2)))
-    votes = near.select("q_id", "id", "q_corner", (F.col("level") - F.col("q_level")).alias("ratio"), F.explode(bins("x")).alias("sx"), bins("y").alias("ys"))
-    votes = votes.select("q_id", "id", "q_corner", "ratio", "sx", F.explode("ys").alias("sy")).distinct()
-    agreed = votes.groupBy("q_id", "id", "ratio", "sx", "sy").agg(F.count("*").alias("votes")).where(F.col("votes") >= min_votes)
-    return agreed.groupBy(F.col("q_id").alias("query_id"), F.col("id").alias("match_id")).agg(F.max("votes").cast("long").alias("votes"))
-
-
-# Pictures for the vectors of a table: each is a mixture of fixed patterns, weighted by the vector's components.
+    spark = indexed.sparkSession
+    asked = written(queries.where("n > 0").select("id", "side", "n", "corners"), "query-descriptors")
+    blocks = max(-(-int(asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // BLOCK), 1)
+    if blocks > 1:
+        indexed = written(indexed, "descriptors")
+    found = None
+    for k in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("id", "side", "corners").collect()
+        held = spark.sparkContext.broadcast([(r["id"], r["side"], bytes(r["corners"])) for r in rows])
+        part = written(indexed.mapInArrow(_search(held), FOUND_SCHEMA).where(F.lit(k == 0) | F.col("query_id").isNotNull()), "copies-found")
+        found = part if found is None else found.union(part)
+    images = found.where("query_id IS NULL").select("id", "digest")
+    classes = images.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("class_id"))
+    members = attach(images.where("digest IS NOT NULL"), "digest", classes).select("id", "class_id").union(images.where("digest IS NULL").select("id", "id"))
+    copies = attach(found.where("query_id IS NOT NULL").groupBy("query_id", "digest").agg(F.max("votes").alias("votes")), "digest", classes)
+    return members.select(F.lit(None).cast("long").alias("query_id"), F.col("id").alias("picture_id"), "class_id", F.lit(None).cast("long").alias("votes")).union(copies.select("query_id", F.col("class_id").alias("picture_id"), "class_id", "votes"))
+
+
+# Pictures for the vectors of a table: blobs whose outlines follow a smooth field, a mixture weighted by the vector.
 SIDE = 64
-CROP = 52
-
-
-def _patterns(n: int) -> np.ndarray:
-    rng = np.random.Generator(np.random.PCG64(5))
-    noise = rng.normal(size=(n, SIDE, SIDE))
-    smooth = np.array([_box(_box(a, 3), 3) for a in noise])
-    return np.sign(smooth).reshape(n, -1).astype(np.float32)
-
-
 _known: dict[int, np.ndarray] = {}
 
 
-def picture(vector: list[float] | None) -> np.ndarray | None:
-    if not vector:
-        return None
-    if len(vector) not in _known:
-        _known[len(vector)] = _patterns(len(vector))
-    v = np.nan_to_num(np.array([0.0 if x is None else x for x in vector], np.float32))
-    mixed = (v / (np.linalg.norm(v) or 1.0)) @ _known[len(vector)]
-    return np.clip(128 + 40 * mixed, 0, 255).astype(np.uint8).reshape(SIDE, SIDE)
+def _fields(n: int) -> np.ndarray:
+    if n not in _known:
+        noise = np.random.Generator(np.random.PCG64(5)).normal(size=(n, SIDE, SIDE))
+        smooth = _box(_box(noise, 1), 1)
+        _known[n] = (smooth / smooth.std()).reshape(n, -1).astype(np.float32)
+    return _known[n]
+
+
+def picture(vectors: list[list[float] | None]) -> list[np.ndarray | None]:
+    """A picture of every vector; null and empty ones have none."""
+    out: list[np.ndarray | None] = [None] * len(vectors)
+    by: dict[int, list[int]] = {}
+    for k, v in enumerate(vectors):
+        if v:
+            by.setdefault(len(v), []).append(k)
+    for n, rows in by.items():
+        v = np.nan_to_num(np.array([[0.0 if x is None else x for x in vectors[k]] for k in rows], np.float32))
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        pixels = (128 + 90 * np.tanh(3 * (v @ _fields(n)))).astype(np.uint8).reshape(-1, SIDE, SIDE)
+        for k, p in zip(rows, pixels, strict=True):
+            out[k] = p
+    return out
 
 
 def edited(pixels: np.ndarray, seed: int) -> np.ndarray:
-    """A copy cropped at a place that seed picks, darker and with less contrast."""
-    y, x = (seed // 100) % (SIDE - CROP), (seed // 700) % (SIDE - CROP)
-    return np.clip(pixels[y : y + CROP, x : x + CROP] * 0.8 + 12, 0, 255).astype(np.uint8)
+    """A copy edited in the way that seed picks: a darker crop; a crop turned by a quarter, with noise; a brighter
+    crop at three quarters of the size; a crop turned by 15 to 40 degrees with less contrast."""
+    rng = np.random.default_rng(seed)
+    side, turn, zoom, gain, add = [(52, 0, 1, 0.8, 12), (52, np.pi / 2, 1, 1, 0), (42, 0, 4 / 3, 0.9, 20), (44, np.pi / 180 * rng.uniform(15, 40), 1, 0.85, 10)][int(rng.integers(4))]
+    reach = side / 2 * zoom * (abs(np.cos(turn)) + abs(np.sin(turn)))
+    free = np.maximum(np.array(pixels.shape) / 2 - reach, 0)
+    cy, cx = np.array(pixels.shape) / 2 + rng.uniform(-1, 1, 2) * free
+    at = (np.arange(side) + 0.5 - side / 2) * zoom
+    y = np.clip(cy + at[:, None] * np.cos(turn) + at[None] * np.sin(turn) - 0.5, 0, pixels.shape[0] - 1.001)
+    x = np.clip(cx - at[:, None] * np.sin(turn) + at[None] * np.cos(turn) - 0.5, 0, pixels.shape[1] - 1.001)
+    y0, x0 = y.astype(np.int64), x.astype(np.int64)
+    p, fy, fx = pixels.astype(np.float64), y - y0, x - x0
+    mixed = (p[y0, x0] * (1 - fx) + p[y0, x0 + 1] * fx) * (1 - fy) + (p[y0 + 1, x0] * (1 - fx) + p[y0 + 1, x0 + 1] * fx) * fy
+    return np.clip(mixed * gain + add + (rng.normal(0, 3, mixed.shape) if turn == np.pi / 2 else 0), 0, 255).astype(np.uint8)
 
 
 def _render(edit: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pixels = [(i, picture(v)) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            images = [None if p is None else write_graymap(edited(p, i) if edit else p) for i, p in pixels]
+        for batch in _sliced(batches, ROWS):
+            ids = batch.column(0).to_pylist()
+            images = [None if p is None else write_graymap(edited(p, i or 0) if edit else p) for i, p in zip(ids, picture(batch.column(1).to_pylist()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], names=["id", "image"])
 
     return run
@@ -203,6 +404,6 @@ def pictures(vectors: DataFrame, edit: bool = False) -> DataFrame:
 
 def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
-    indexed = written(descriptors(pictures(vectors)), "descriptors")
-    queries = written(descriptors(pictures(vectors.where("vec_id % 100 = 0"), edit=True)), "query-descriptors")
+    indexed = descriptors(pictures(vectors))
+    queries = descriptors(pictures(vectors.where("vec_id % 100 = 0"), edit=True))
     return find_copies(indexed, queries)
