@@ -29,12 +29,15 @@ TABLES = 8
 RADIUS = 18
 TURNS = 24
 PATCH = 7
+CHOICE = 8
 MARGIN = PATCH + 1
 #: Least corner strength (product of squared gradients of 8-bit pixels).
 STRENGTH = 1000.0
-MIN_VOTES = 5
+MIN_VOTES = 4
 #: Matches of one copy lie within this many pixels of its transform, at the scale of the image's corner.
 TOLERANCE = 2.5
+#: A match's own turn (radians) and scale (octaves) differ from the transform's by this at most.
+TURN_OFF, SCALE_OFF = 0.35, 0.6
 #: Query descriptors that go out at once: 4 MB of descriptors, 4 MB of tables.
 BLOCK = 1 << 17
 #: Pixels that are described at once; a larger image is alone.
@@ -51,10 +54,14 @@ _KINDS = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def _tests() -> np.ndarray:
-    """TURNS x BITS x 2 points x (y, x): one random set of tests, turned."""
+    """TURNS x BITS x 2 points x (y, x): one random set of tests, turned. A patch is brighter towards its orientation,
+    here x, so a test between places of different x has a likely answer; of CHOICE as many random tests those with the
+    least difference in x are taken."""
     rng = np.random.Generator(np.random.PCG64(11))
-    points = rng.normal(0, PATCH / 2.5, (BITS, 2, 2))
+    points = rng.normal(0, PATCH / 2.0, (CHOICE * BITS, 2, 2))
     points *= np.minimum(1, PATCH / np.linalg.norm(points, axis=2, keepdims=True))
+    points = points[np.abs(points[:, 0, 0] - points[:, 1, 0]) >= 2]
+    points = rng.permutation(points[np.argsort(np.abs(points[:, 0, 1] - points[:, 1, 1]))[:BITS]])
     angles = 2 * np.pi * np.arange(TURNS) / TURNS
     turn = np.array([[np.cos(angles), np.sin(angles)], [-np.sin(angles), np.cos(angles)]])  # (y, x) rows
     return np.rint(np.einsum("abt,kpb->tkpa", turn, points)).astype(np.int32)
@@ -236,39 +243,47 @@ class Block:
                 at = end
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
+    def _places(self, q: np.ndarray) -> np.ndarray:
+        return self.corners["x"][q] + 1j * self.corners["y"][q].astype(np.float64)
+
     def agreed(self, q: np.ndarray, image: np.ndarray, corners: np.ndarray) -> list[tuple[int, int, int]]:
         """(query, image, votes) for matches between query corners q and corners of images: those pairs of images of
         which MIN_VOTES or more query corners agree on one turn, scale and shift."""
         query = self.query[q]
-        pair, size = np.unique(query * (image.max(initial=0) + 1) + image, return_inverse=True, return_counts=True)[1:]
-        keep = size[pair] >= MIN_VOTES
-        q, image, query, pair, corners = q[keep], image[keep], query[keep], pair[keep], corners[keep]
+        pair = query * (int(image.max(initial=0)) + 1) + image
+        keep = np.bincount(pair)[pair] >= MIN_VOTES if len(pair) else np.zeros(0, bool)
+        q, image, query, corners = q[keep], image[keep], query[keep], corners[keep]
         if not len(q):
             return []
+        pair = np.unique(pair[keep], return_inverse=True)[1]
         own = self.corners[q]
-        z, to = own["x"] + 1j * own["y"].astype(np.float64), corners["x"] + 1j * corners["y"].astype(np.float64)
         step = corners["level"] - own["level"]
         turn = np.mod(corners["angle"] - own["angle"], 2 * np.pi)
-        shift = to - z * 2.0 ** (step / 2) * np.exp(1j * turn)
-        # Coarse cells in two overlapping grids each way; a match may be off by an eighth of the query's side.
+        # Coarse cells in two overlapping grids each way, first of scale and turn, then of the shift within those; by
+        # its noise in turn and scale a match may be off by an eighth of the query's side.
         rows, groups = [], []
-        for grid in range(16):
-            g = [(grid >> k) & 1 for k in range(4)]
-            level = np.floor_divide(step + g[0], 2)
-            width = np.maximum(8.0, self.sides[query] * 2.0 ** (level - g[0] / 2) / 4)
-            around = np.floor_divide(np.mod(turn + g[1] * np.pi / 8, 2 * np.pi), np.pi / 4)
-            key = pair.astype(np.uint64)
-            for part in (level, around, np.floor(shift.real / width + g[2] / 2), np.floor(shift.imag / width + g[3] / 2)):
-                key = mix(key * np.uint64(31) + part.astype(np.int64).view(np.uint64))
-            group, counts = np.unique(key, return_inverse=True, return_counts=True)[1:]
-            enough = np.flatnonzero(counts[group] >= MIN_VOTES)
-            rows.append(enough)
-            groups.append(group[enough] + (grid << 32))
+        for grid in range(4):
+            level = np.floor_divide(step + grid % 2, 2)
+            around = np.floor_divide(np.mod(turn + grid // 2 * np.pi / 8, 2 * np.pi), np.pi / 4).astype(np.int64)
+            cell = (pair * 64 + np.clip(level + 32, 0, 63)) * 9 + around
+            some = np.flatnonzero(np.bincount(cell)[cell] >= MIN_VOTES)
+            z, to = self._places(q[some]), corners["x"][some] + 1j * corners["y"][some].astype(np.float64)
+            shift = to - z * 2.0 ** (step[some] / 2) * np.exp(1j * turn[some])
+            width = np.maximum(8.0, self.sides[query[some]] * 2.0 ** (level[some] - grid % 2 / 2) / 4)
+            for fine in range(4):
+                key = cell[some].astype(np.uint64)
+                for part, half in ((shift.real, fine % 2), (shift.imag, fine // 2)):
+                    key = mix(key * np.uint64(31) + np.floor(part / width + half / 2).astype(np.int64).view(np.uint64))
+                group, counts = np.unique(key, return_inverse=True, return_counts=True)[1:]
+                enough = counts[group] >= MIN_VOTES
+                rows.append(some[enough])
+                groups.append(group[enough] + (4 * grid + fine << 32))
         row, group = np.concatenate(rows), np.unique(np.concatenate(groups), return_inverse=True)[1]
         if not len(row):
             return []
         # One similarity transform a cell by least squares, three times, closing in on the matches that agree.
-        z, to = z[row], to[row]
+        z, to = self._places(q[row]), corners["x"][row] + 1j * corners["y"][row].astype(np.float64)
+        step, turn = step[row], turn[row]
         slack = TOLERANCE * 2.0 ** (corners["level"][row] / 2)
         inside = np.ones(len(row), bool)
         total = lambda v: np.bincount(group, np.where(inside, v.real, 0)) + 1j * np.bincount(group, np.where(inside, v.imag, 0))
@@ -278,13 +293,15 @@ class Block:
             dz, dto = z - mean_z[group], to - mean_to[group]
             power = np.maximum(total(np.abs(dz) ** 2 + 0j).real, 1e-9)
             factor = total(np.conj(dz) * dto) / power
-            inside = np.abs(dto - factor[group] * dz) <= wide * slack
+            size = np.maximum(np.abs(factor), 1e-9)[group]
+            off = np.abs(np.angle(np.exp(1j * turn) * np.conj(factor[group])))
+            inside = (np.abs(dto - factor[group] * dz) <= wide * slack) & (off <= TURN_OFF) & (np.abs(step / 2 - np.log2(size)) <= SCALE_OFF)
         seen = np.unique((group * len(self.corners) + q[row])[inside]) // len(self.corners)
         votes = np.bincount(seen, minlength=group.max() + 1)
         of = np.zeros(group.max() + 1, np.int64)
         of[group] = row
         best: dict[tuple[int, int], int] = {}
-        for g in np.flatnonzero((votes >= MIN_VOTES) & (np.abs(factor) > 0.1)).tolist():
+        for g in np.flatnonzero(votes >= MIN_VOTES).tolist():
             key = (int(query[of[g]]), int(image[of[g]]))
             best[key] = max(best.get(key, 0), int(votes[g]))
         return [(*key, n) for key, n in best.items()]
