@@ -16,9 +16,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one on one machine; on a
+    cluster that is an error, since executors would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="helmwatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -57,6 +60,18 @@ def attach(rows: DataFrame, key: str, groups: DataFrame) -> DataFrame:
     return left.join(right, (F.col("_deal") == F.col("_deal2")) & (F.col(key) == F.col("_key"))).drop("_deal", "_deal2", "_key")
 
 
+#: Numbers of 8 bytes that are broadcast at most: 8 MB.
+BROADCAST_KEYS = 1 << 20
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose id is not in gone (id_col). Few ids are broadcast, so that texts stay where they lie;
+    more are met by a shuffle."""
+    gone = written(gone.select(id_col), "ids-that-go")
+    few = gone.count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Sorted 64-bit keys as compressed differences, byte by byte: the leading bytes are mostly zero."""
     gaps = np.diff(keys, prepend=np.uint64(0))

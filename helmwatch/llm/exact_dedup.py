@@ -1,7 +1,9 @@
 """Exact deduplication by progressive refinement, in DataFrame operations only.
 
 Rows are grouped by length, then by a hash of a short prefix, then by a hash of the whole text. Each step looks only
-at rows whose group in the step before had more than one member, so most texts are never hashed whole.
+at rows whose group in the step before had more than one member. Lengths and prefixes are counted in place and combine
+on the map side; whole texts are hashed where they lie, those of surviving groups only; the last step groups hashes.
+No text crosses the network.
 """
 
 from __future__ import annotations
@@ -9,69 +11,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helmwatch.llm.common import lower_ascii, read_table, text_or_empty
+from helmwatch.llm.common import BROADCAST_KEYS, attach, lower_ascii, read_table, text_or_empty, without, written
 
 PREFIX_CHARS = 64
 
 
-def _with_group(rows: DataFrame, key: str, groups: DataFrame) -> DataFrame:
-    """Join groups to rows by key. The join is on a value derived from the key, so both sides are exchanged for the
-    join itself and adaptive execution can split a hot key's partition."""
-    left = rows.withColumn("_deal", F.xxhash64(key))
-    right = groups.withColumnRenamed(key, "_key").withColumn("_deal", F.xxhash64("_key"))
-    return left.join(right, (left["_deal"] == right["_deal"]) & (F.col(key) == F.col("_key"))).drop("_deal", "_key")
-
-
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs more than once. Counting combines on the map side."""
-    repeated = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
-    return _with_group(rows, key, repeated)
-
-
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """One row (id_col, keep_id, group_size, kept) per row of docs.
+def _digests(docs: DataFrame, id_col: str, text_col: str, all_digests: bool) -> DataFrame:
+    """(_id, _digest, _alike) per row: _alike tells whether another row has the same length and prefix; without it
+    there is no digest unless all_digests."""
+    text = text_or_empty(text_col)
+    length = F.octet_length(text)
+    rows = docs.select(
+        F.col(id_col).alias("_id"),
+        length.alias("_len"),
+        F.xxhash64(length, lower_ascii(F.substring(text, 1, PREFIX_CHARS))).alias("_step"),
+        F.unhex(F.sha2(lower_ascii(text), 256)).alias("_whole"),
+    )
+    counted = rows.groupBy("_len", "_step").agg(F.count("*").alias("_n"))
+    lengths = counted.groupBy("_len").agg(F.sum("_n").alias("_rows")).where("_rows > 1").select("_len")
+    steps = attach(counted, "_len", lengths).where("_n > 1").select("_step").distinct()
+    steps = written(steps.withColumn("_alike", F.lit(True)), "shared-prefixes")
+    # The keys of surviving groups go to the texts while they are few; beyond that all texts are hashed in place.
+    if steps.count() <= BROADCAST_KEYS:
+        rows = rows.join(F.broadcast(steps), "_step", "left").withColumn("_alike", F.coalesce("_alike", F.lit(False)))
+    else:
+        rows = rows.withColumn("_alike", F.lit(True))
+    digest = F.col("_whole") if all_digests else F.when(F.col("_alike"), F.col("_whole"))
+    return written(rows.select("_id", digest.alias("_digest"), "_alike"), "digests")
+
+
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", digest_col: str | None = None) -> DataFrame:
+    """One row (id_col, keep_id, group_size, kept) per row of docs; with digest_col also the text's SHA-256 in hex.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty, and empty texts are equal to
-    each other. Of equal texts the row with the largest (keep="max") or smallest id stays. Rows are identified by
-    id_col, which must be unique and not null. An empty table gives an empty result; other columns are ignored.
+    each other. Of equal texts the row with the largest (keep="max") or smallest id stays. Rows that share an id are
+    each judged by their own text; those that share id and text count in group_size and stay or go together. id_col
+    must not be null. An empty table gives an empty result; other columns are ignored.
     """
     best = {"max": F.max, "min": F.min}[keep]
-    base = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    sized = base.select(
-        "_id",
-        F.octet_length("_text").alias("_len"),
-        F.xxhash64(lower_ascii(F.substring("_text", 1, PREFIX_CHARS))).alias("_prefix"),
-    )
-    same_length = _shared(sized, "_len")
-    same_prefix = _shared(same_length.select("_id", F.xxhash64("_len", "_prefix").alias("_step2")), "_step2")
-    # Only survivors' whole texts are read and hashed.
-    digests = base.join(same_prefix.select("_id"), "_id", "left_semi").select(
-        "_id", F.unhex(F.sha2(lower_ascii(F.col("_text")), 256)).alias("_digest")
-    )
-    groups = digests.groupBy("_digest").agg(best("_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    grouped = _with_group(digests, "_digest", groups).select("_id", "keep_id", "group_size")
-    return (
-        base.select("_id")
-        .join(grouped, "_id", "left")
-        .select(
-            F.col("_id").alias(id_col),
-            F.coalesce("keep_id", "_id").alias("keep_id"),
-            F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-            (F.coalesce("keep_id", "_id") == F.col("_id")).alias("kept"),
-        )
-    )
+    digests = _digests(docs, id_col, text_col, digest_col is not None)
+    alike = digests.where("_alike").select("_id", "_digest")
+    groups = alike.groupBy("_digest").agg(best("_id").alias("keep_id"), F.count("*").alias("group_size"))
+    single = digests.where("NOT _alike").select("_id", "_digest", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    out = attach(alike, "_digest", groups).select(*single.columns).union(single)
+    columns = [F.col("_id").alias(id_col), "keep_id", "group_size", (F.col("keep_id") == F.col("_id")).alias("kept")]
+    return out.select(*columns, *([F.lower(F.hex("_digest")).alias(digest_col)] if digest_col else []))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    gone = duplicate_groups(docs, id_col, text_col, keep).where("NOT kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """The rows of docs that stay, with all their columns. Rows that share an id stay together if one of them stays."""
+    gone = duplicate_groups(docs, id_col, text_col, keep).groupBy(id_col).agg(F.bool_or("kept").alias("_kept")).where("NOT _kept")
+    return without(docs, id_col, gone)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    digests = docs.select("doc_id", F.sha2(lower_ascii(text_or_empty()), 256).alias("text_sha256"))
-    return duplicate_groups(docs).join(digests, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return duplicate_groups(read_table(spark, sf_dir, "documents"), digest_col="text_sha256")
 
 
 OP6_SQL = """

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helmwatch.llm.common import attach, pack_sorted, read_table, unpack_sorted, written
+from helmwatch.llm.common import attach, pack_sorted, read_table, unpack_sorted, without, written
 from helmwatch.llm.textscan import chunks, mix, utf8, words
 
 SHINGLE = 5
@@ -461,8 +461,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest id stays. Where
     rows share an id, they stay together if one of them stays."""
-    gone = near_duplicates(docs, id_col, text_col).groupBy(id_col).agg(F.every(F.col(id_col) != F.col("component_id")).alias("_gone")).where("_gone").select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, id_col, text_col).groupBy(id_col).agg(F.every(F.col(id_col) != F.col("component_id")).alias("_gone")).where("_gone")
+    return without(docs, id_col, gone)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
