@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +41,7 @@ ROUNDS = 3
 MIN_CONFIDENCE = 0.6
 MIN_SEEDS = 3
 
-SCAN_SCHEMA = (
-    "id long, base array<struct<kind:int,start:int,end:int>>, seen array<struct<pattern:string,value:string,seed:boolean,start:int,end:int>>,"
-    " keys array<struct<kind:int,start:int,end:int>>, around array<struct<pattern:string,value:string>>"
-)
+SCAN_SCHEMA = "id long, seen array<struct<pattern:string,value:string,seed:boolean,start:int,end:int>>, around array<struct<pattern:string,value:string>>"
 SLOT_SCHEMA = "id long, pattern string, value string, seed boolean, start int, end int"
 
 
@@ -158,9 +156,7 @@ def _find_slots(contexts: frozenset[tuple[str, str, str]]):
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([
         ("id", pa.int64()),
-        ("base", pa.list_(span := pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))),
         ("seen", pa.list_(pa.struct([("pattern", pa.string()), ("value", pa.string()), ("seed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]))),
-        ("keys", pa.list_(span)),
         ("around", pa.list_(pa.struct([("pattern", pa.string()), ("value", pa.string())]))),
     ])
     for batch in batches:
@@ -168,21 +164,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = utf8(column)
         digits, cues = has_any(data, offsets, b"0123456789@"), has_any(data, offsets, b":=")
         n = len(batch)
-        base, seen, keys, around = ([[] for _ in range(n)] for _ in range(4))
+        seen, around = ([[] for _ in range(n)] for _ in range(2))
         for i in np.flatnonzero(digits | cues).tolist():
             text = column[i].as_py() or ""
-            spans, own, known = _seed_spans(text) if digits[i] else ([], [], [])
-            base[i] = [{"kind": k, "start": s, "end": e} for s, k, e in spans]
-            keys[i] = [{"kind": 4, "start": m.start(), "end": m.end()} for m in own]
+            known = _seed_spans(text)[2] if digits[i] else []
             if known:
                 around[i] = [{"pattern": " ".join(c), "value": text[a:b]} for *sides, a, b, seed in _slots(text, known) if seed for c in sides if any(c[1:])]
             if cues[i]:
                 starts = {s for s, _ in known}
-                seen[i] = [
-                    {"pattern": m[1].lower() + m[2].replace(" ", ""), "value": m[3], "seed": m.start(3) in starts or bool(_HEX.fullmatch(m[3])), "start": m.start(3), "end": m.end(3)}
-                    for m in _CUED.finditer(text)
-                ]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(base, schema[1].type), pa.array(seen, schema[2].type), pa.array(keys, schema[3].type), pa.array(around, schema[4].type)], schema=schema)
+                seen[i] = [{"pattern": p, "value": text[a:b], "seed": a in starts or bool(_HEX.fullmatch(text, a, b)), "start": a, "end": b} for p, a, b in _cued(text)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(seen, schema[1].type), pa.array(around, schema[2].type)], schema=schema)
 
 
 def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
@@ -213,63 +204,150 @@ def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, min_confidence: floa
     )
 
 
-def find_identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id_col, base, spans) per row of docs: arrays of struct(start, kind, end), sorted, offsets in code
-    points, kind an index into KINDS. spans holds base and what the method adds.
+#: Patterns that are looked up in one pass over the texts.
+PATTERNS = 1 << 18
 
-    A null text counts as empty and has no spans. Repeated rows are scanned alike. id_col must be a unique integer.
-    Of an added span that overlaps base spans the parts outside them are added. An empty table gives an empty result.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+def _blocks(patterns: DataFrame) -> list[frozenset[str]]:
+    """The patterns in blocks of bounded size."""
+    rows = written(patterns, "pii-patterns")
+    parts = -(-rows.count() // PATTERNS)
+    return [frozenset(r["pattern"] for r in rows.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == k).collect()) for k in range(parts)]
+
+
+def _contexts(patterns: frozenset[str]) -> frozenset[tuple[str, str, str]]:
+    return frozenset(tuple(p.split(" ")) for p in patterns if p.count(" ") == 2)
+
+
+def learn_patterns(rows: DataFrame) -> list[frozenset[str]]:
+    """The trusted patterns of all rows (id, text), in blocks."""
     scan = written(rows.mapInArrow(_scan, SCAN_SCHEMA), "pii-scan")
     seen = scan.where(F.size("seen") > 0).select("id", F.explode("seen").alias("o")).select("id", "o.*")
     # Contexts of fewer distinct seeds could only be trusted through values that other patterns find.
     induced = scan.where(F.size("around") > 0).select(F.explode("around").alias("o")).groupBy("o.pattern").agg(F.countDistinct("o.value").alias("n")).where(F.col("n") >= MIN_SEEDS)
-    if contexts := frozenset(tuple(r["pattern"].split(" ")) for r in induced.select("pattern").collect()):
-        seen = seen.unionByName(written(rows.mapInArrow(_find_slots(contexts), SLOT_SCHEMA), "pii-slots"))
-    trusted = trusted_patterns(seen).select("pattern")
-    cued = (
-        seen.join(trusted, "pattern", "left_semi")
-        .groupBy("id")
-        .agg(F.collect_list(F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("end"))).alias("cued"))
-    )
-    flip = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    joined = scan.select("id", flip("base").alias("base"), flip("keys").alias("keys")).join(cued, "id", "left")
-    # Of an added span the parts outside base spans: each base span in turn cuts what it meets into a head and a tail.
-    piece = lambda x, start, end: F.struct(start.alias("start"), x["kind"].alias("kind"), end.alias("end"))
-    outside = lambda x, y: F.when((x["start"] < y["end"]) & (y["start"] < x["end"]), F.array(piece(x, x["start"], F.least(x["end"], y["start"])), piece(x, F.greatest(x["start"], y["end"]), x["end"]))).otherwise(F.array(piece(x, x["start"], x["end"])))
-    parts = F.aggregate(flip("base"), F.concat("keys", F.coalesce("cued", none)), lambda left, y: F.filter(F.flatten(F.transform(left, lambda x: outside(x, y))), lambda x: x["start"] < x["end"]))
-    added = F.array_distinct(parts)
-    # Of added spans that overlap each other the first is kept as it is; a key inside a cued value is part of it.
-    alone = F.filter(added, lambda x: ~F.exists(added, lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y != x)))
-    return joined.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", F.when(F.size("keys") + F.size(F.coalesce("cued", none)) > 0, alone).otherwise(none))).alias("spans"))
-
-
-def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in _blocks(induced.select("pattern")):
+        seen = seen.unionByName(written(rows.mapInArrow(_find_slots(_contexts(block)), SLOT_SCHEMA), "pii-slots"))
+    return _blocks(trusted_patterns(seen).select("pattern"))
+
+
+def added_spans(base: list[tuple[int, int, int]], found: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """What found (start, end) adds to base spans, sorted: the parts outside base spans, without those that lie inside
+    another one. Linear in both after sorting."""
+    free, at = [], 0
+    for start, _, end in sorted(base):
+        if start > at:
+            free.append((at, start))
+        at = max(at, end)
+    free.append((at, 1 << 62))
+    begins, parts = [a for a, _ in free], set()
+    for start, end in found:
+        k = max(bisect_right(begins, start) - 1, 0)
+        while k < len(free) and free[k][0] < end:
+            if (a := max(start, free[k][0])) < (b := min(end, free[k][1])):
+                parts.add((a, b))
+            k += 1
+    out, most = [], -1
+    for a, b in sorted(parts, key=lambda x: (x[0], -x[1])):
+        if b > most:
+            out.append((a, 4, b))
+            most = b
+    return out
+
+
+def _cued(text: str) -> Iterator[tuple[str, int, int]]:
+    for m in _CUED.finditer(text):
+        yield m[1].lower() + m[2].replace(" ", ""), m.start(3), m.end(3)
+
+
+class Finder:
+    """Finds the spans of a text by the fixed forms and by trusted patterns."""
+
+    def __init__(self, blocks: list[frozenset[str]]):
+        self.cues = frozenset(p for b in blocks for p in b if p.count(" ") != 2)
+        self.contexts = frozenset().union(*map(_contexts, blocks))
+        self.pairs = frozenset(c[1:] for c in self.contexts)
+
+    def spans(self, text: str, digit: bool, cue: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        """(base, added), both sorted; digit and cue tell whether the text has a digit or @, and a colon or =."""
+        base, keys, known = _seed_spans(text) if digit else ([], [], [])
+        found = [m.span() for m in keys]
+        if cue and self.cues:
+            found += [(a, b) for pattern, a, b in _cued(text) if pattern in self.cues]
+        if known:
+            found += [(a, b) for left, right, a, b, _ in _slots(text, known) if left in self.contexts or right in self.contexts]
+        elif self.pairs:
+            found += [(a, b) for _, a, b in _plain_slots(text, self.contexts, self.pairs)]
+        return base, added_spans(base, found) if found else []
+
+
+def _found(batches: Iterator[pa.RecordBatch], column: int, blocks) -> Iterator[tuple[pa.RecordBatch, list[tuple[list, list]]]]:
+    finder = Finder(blocks.value)
     for batch in batches:
-        texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        out = []
-        for text, found in zip(texts, spans, strict=True):
-            if found:
-                parts, at = [], 0
-                for x in found:
-                    if x["start"] >= at:
-                        parts += [text[at : x["start"]], f"[{KINDS[x['kind']].upper()}]"]
-                    at = max(at, x["end"])
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_id", "_masked"])
+        texts = batch.column(column)
+        data, offsets = utf8(texts)
+        digits, cues = has_any(data, offsets, b"0123456789@").tolist(), has_any(data, offsets, b":=").tolist()
+        yield batch, [finder.spans(t.as_py() or "", d, c) for t, d, c in zip(texts, digits, cues, strict=True)]
+
+
+SPAN_TYPE = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _find(blocks):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        as_rows = lambda spans: [{"start": s, "kind": k, "end": e} for s, k, e in spans]
+        for batch, found in _found(batches, 1, blocks):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([as_rows(b) for b, _ in found], kind), pa.array([as_rows(sorted(b + a)) for b, a in found], kind)], names=["id", "base", "spans"])
+
+    return run
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def find_identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (id_col, base, spans) per row of docs: arrays of struct(start, kind, end), sorted, offsets in code
+    points, kind an index into KINDS. spans holds base and what the method adds.
+
+    A null text counts as empty and has no spans. Every row is judged by its own text, also where rows repeat or share
+    an id. Of an added span that overlaps base spans the parts outside them are added; an added span inside another
+    added one is part of it. An empty table gives an empty result; id_col must be an integer; other columns are ignored.
+    """
+    rows = _texts(docs, id_col, text_col)
+    blocks = docs.sparkSession.sparkContext.broadcast(learn_patterns(rows))
+    found = rows.mapInArrow(_find(blocks), f"id long, base {SPAN_TYPE}, spans {SPAN_TYPE}")
+    return found.select(F.col("id").alias(id_col), "base", "spans")
+
+
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """text with spans (start, kind, end), sorted, replaced by their kinds; of spans that overlap the first is named."""
+    parts, at = [], 0
+    for start, kind, end in spans:
+        if start >= at:
+            parts += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def _mask(blocks, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _found(batches, column, blocks):
+            texts = batch.column(column)
+            if any(b or a for b, a in found):
+                out = [masked(t.as_py(), sorted(b + a)) if b or a else t.as_py() for t, (b, a) in zip(texts, found, strict=True)]
+                batch = batch.set_column(column, batch.schema.field(column), pa.array(out, texts.type))
+            yield batch
+
+    return run
 
 
 def mask_identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every identifier in text_col replaced by its kind in brackets; all columns stay, a null stays null.
-    Only texts that hold an identifier leave the JVM again."""
-    found = find_identifiers(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans"))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    masked = texts.join(found, "_id").mapInArrow(_mask, "_id long, _masked string")
-    whole = docs.join(masked, docs[id_col] == masked["_id"], "left")
-    return whole.select(*(F.coalesce("_masked", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))
+    """docs with every identifier in text_col, a string, replaced by its kind in brackets; all rows and columns stay, a
+    null stays null. Patterns are learnt from all rows, then every text is masked where it lies."""
+    blocks = docs.sparkSession.sparkContext.broadcast(learn_patterns(_texts(docs, id_col, text_col)))
+    return docs.mapInArrow(_mask(blocks, docs.columns.index(text_col)), docs.schema)
 
 
 def _joined(spans: str):

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -87,3 +88,59 @@ def test_long_values_and_cues_are_found_whole(spark):
     out = spans_of(spark, texts)
     assert out[40] == [(long, 4)] and out[41] == [(long, 4)]
     assert out[42] == [("me@x.org", 0), ("!Qq9", 4)]
+
+
+def test_masking_keeps_repeated_rows_and_clashing_columns(spark):
+    secret = "Zz8-" * 250
+    rows = [(i, f"word password={i:018x}a1 tail", 1, "x", 2, None) for i in range(16, 36)]
+    rows += [(1, f"so password={secret} then", 1, "x", 2, None)] * 3 + [(1, "another text me@ex.org", 1, "x", 2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _masked int, _id string, id int, spans string")
+    out = pii.mask_identifiers(docs)
+    assert out.columns == docs.columns
+    assert sorted(r["text"] for r in out.where("doc_id = 1").collect()) == ["another text [EMAIL]", *["so password=[SECRET] then"] * 3]
+    assert out.count() == 24
+
+
+def graph(edges, rounds=pii.ROUNDS):
+    """Trusted patterns of edges (pattern, value) -> seed, scored one by one."""
+    score, seed = dict(edges), dict(edges)
+    patterns = {p for p, _ in edges}
+    of = lambda p, table: [x for (q, _), x in table.items() if q == p]
+    for _ in range(rounds):
+        trust = {p: sum(of(p, score)) / len(of(p, score)) for p in patterns if sum(of(p, seed)) >= pii.MIN_SEEDS}
+        best, seeded = {}, {}
+        for (p, v), s in edges.items():
+            best[v] = max(best.get(v, 0.0), trust.get(p, 0.0))
+            seeded[v] = max(seeded.get(v, 0.0), float(s), float(trust.get(p, 0.0) >= pii.MIN_CONFIDENCE))
+        seed = {(p, v): seeded[v] for p, v in edges}
+        score = {(p, v): max(seeded[v], best[v] / 2) for p, v in edges}
+    return {p for p in patterns if sum(of(p, seed)) >= pii.MIN_SEEDS and sum(of(p, score)) / len(of(p, score)) >= pii.MIN_CONFIDENCE}
+
+
+def test_trusted_patterns_match_brute_force(spark):
+    rng = random.Random(4)
+    edges = {}
+    for p in range(40):
+        share = rng.random()
+        for v in rng.sample(range(120), rng.randint(2, 15)):
+            edges[f"p{p}", f"v{v}"] = v % 3 == 0 and rng.random() < share or (p < 8 and rng.random() < 0.8)
+    seen = spark.createDataFrame([(p, v, s) for (p, v), s in edges.items() for _ in range(2)], "pattern string, value string, seed boolean")
+    got = {r["pattern"] for r in pii.trusted_patterns(seen).collect()}
+    assert got == graph(edges) and 0 < len(got) < 40
+
+
+def test_added_spans_equal_the_plain_way():
+    rng = random.Random(6)
+    for _ in range(300):
+        base = sorted((s := rng.randint(0, 60), rng.randint(0, 3), s + rng.randint(1, 9)) for _ in range(rng.randint(0, 6)))
+        found = [(s := rng.randint(0, 60), s + rng.randint(1, 15)) for _ in range(rng.randint(0, 8))]
+        covered = {i for s, _, e in base for i in range(s, e)}
+        parts = set()
+        for s, e in found:
+            inside = [i for i in range(s, e) if i not in covered]
+            for i in inside:
+                if i - 1 not in inside:
+                    end = next(j for j in range(i, e + 1) if j not in inside)
+                    parts.add((i, end))
+        want = sorted((a, 4, b) for a, b in parts if not any((x, y) != (a, b) and x <= a and y >= b for x, y in parts))
+        assert pii.added_spans(base, found) == want
