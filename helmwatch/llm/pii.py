@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ MIN_CONFIDENCE = 0.6
 MIN_SEEDS = 3
 
 SCAN_SCHEMA = "id long, seen array<struct<pattern:string,value:string,seed:boolean,start:int,end:int>>, around array<struct<pattern:string,value:string>>"
-SLOT_SCHEMA = "id long, pattern string, value string, seed boolean, start int, end int"
+SLOT_SCHEMA = "pattern string, value string, seed boolean"
 
 
 def _luhn(digits: str) -> bool:
@@ -132,23 +133,52 @@ def _plain_slots(text: str, contexts: frozenset[tuple[str, str, str]], pairs: fr
                         yield c, a, a + len(word)
 
 
-def _find_slots(contexts: frozenset[tuple[str, str, str]]):
-    """Occurrences of induced contexts, as rows of SLOT_SCHEMA."""
+def _places(text: str, digit: bool, contexts: frozenset[tuple[str, str, str]], pairs: frozenset[tuple[str, str]]) -> Iterator[tuple[tuple[str, str, str], int, int, bool]]:
+    """(context, start, end, seed) of the contexts' occurrences in a text; digit: whether it has a digit or @."""
+    if digit and (seeds := _seed_spans(text)[2]):
+        for left, right, a, b, seed in _slots(text, seeds):
+            if left in contexts:
+                yield left, a, b, seed
+            if right in contexts:
+                yield right, a, b, seed
+    else:
+        for c, a, b in _plain_slots(text, contexts, pairs):
+            yield c, a, b, False
+
+
+def _all_places(batches: Iterator[pa.RecordBatch], contexts: frozenset[tuple[str, str, str]]) -> Iterator[tuple[str, Iterator]]:
     pairs = frozenset(c[1:] for c in contexts)
+    for batch in batches:
+        digits = has_any(*utf8(batch.column(1)), b"0123456789@").tolist()
+        for text, digit in zip(batch.column(1), digits, strict=True):
+            text = text.as_py() or ""
+            yield text, _places(text, digit, contexts, pairs)
+
+
+def _count_places(contexts: frozenset[tuple[str, str, str]]):
+    """How often each of contexts occurs in a task's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counter(c for _, found in _all_places(batches, contexts) for c, *_ in found)
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(c) for c in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "places"])
+
+    return run
+
+
+def _find_slots(contexts: frozenset[tuple[str, str, str]]):
+    """The distinct slots of contexts in a task's texts, as rows of SLOT_SCHEMA; sent on whenever there are many."""
+
+    def rows(slots: set) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in slots], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["pattern", "value", "seed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32()]
-        for batch in batches:
-            rows = []
-            digits = has_any(*utf8(batch.column(1)), b"0123456789@").tolist()
-            for i, text, digit in zip(batch.column(0).to_pylist(), batch.column(1), digits, strict=True):
-                text = text.as_py() or ""
-                if digit and (seeds := _seed_spans(text)[2]):
-                    for left, right, a, b, seed in _slots(text, seeds):
-                        rows += [(i, " ".join(c), text[a:b], seed, a, b) for c in (left, right) if c in contexts]
-                else:
-                    rows += [(i, " ".join(c), text[a:b], False, a, b) for c, a, b in _plain_slots(text, contexts, pairs)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[f.split()[0] for f in SLOT_SCHEMA.split(", ")])
+        slots: set[tuple[str, str, bool]] = set()
+        for text, found in _all_places(batches, contexts):
+            slots.update((" ".join(c), text[a:b], seed) for c, a, b, seed in found)
+            if len(slots) >= 100_000:
+                yield rows(slots)
+                slots = set()
+        yield rows(slots)
 
     return run
 
@@ -222,11 +252,16 @@ def _contexts(patterns: frozenset[str]) -> frozenset[tuple[str, str, str]]:
 def learn_patterns(rows: DataFrame) -> list[frozenset[str]]:
     """The trusted patterns of all rows (id, text), in blocks."""
     scan = written(rows.mapInArrow(_scan, SCAN_SCHEMA), "pii-scan")
-    seen = scan.where(F.size("seen") > 0).select("id", F.explode("seen").alias("o")).select("id", "o.*")
-    # Contexts of fewer distinct seeds could only be trusted through values that other patterns find.
-    induced = scan.where(F.size("around") > 0).select(F.explode("around").alias("o")).groupBy("o.pattern").agg(F.countDistinct("o.value").alias("n")).where(F.col("n") >= MIN_SEEDS)
+    seen = scan.where(F.size("seen") > 0).select(F.explode("seen").alias("o")).select("o.pattern", "o.value", "o.seed")
+    # A context is a pattern if enough seeds stand in it, and if they are a share of all its places, in all texts, with
+    # which it can be trusted at all: a value that is no seed scores half at most.
+    around = scan.where(F.size("around") > 0).select(F.explode("around").alias("o")).groupBy("o.pattern")
+    induced = written(around.agg(F.countDistinct("o.value").alias("seeds"), F.count("*").alias("held")).where(F.col("seeds") >= MIN_SEEDS), "pii-contexts")
     for block in _blocks(induced.select("pattern")):
-        seen = seen.unionByName(written(rows.mapInArrow(_find_slots(_contexts(block)), SLOT_SCHEMA), "pii-slots"))
+        places = rows.mapInArrow(_count_places(_contexts(block)), "pattern string, places long").groupBy("pattern").agg(F.sum("places").alias("places"))
+        likely = induced.join(places, "pattern").where(F.col("held") >= (MIN_CONFIDENCE - 0.5) / 0.5 * F.col("places"))
+        for some in _blocks(likely.select("pattern")):
+            seen = seen.unionByName(written(rows.mapInArrow(_find_slots(_contexts(some)), SLOT_SCHEMA), "pii-slots"))
     return _blocks(trusted_patterns(seen).select("pattern"))
 
 
@@ -269,14 +304,12 @@ class Finder:
 
     def spans(self, text: str, digit: bool, cue: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """(base, added), both sorted; digit and cue tell whether the text has a digit or @, and a colon or =."""
-        base, keys, known = _seed_spans(text) if digit else ([], [], [])
+        base, keys, _ = _seed_spans(text) if digit else ([], [], [])
         found = [m.span() for m in keys]
         if cue and self.cues:
             found += [(a, b) for pattern, a, b in _cued(text) if pattern in self.cues]
-        if known:
-            found += [(a, b) for left, right, a, b, _ in _slots(text, known) if left in self.contexts or right in self.contexts]
-        elif self.pairs:
-            found += [(a, b) for _, a, b in _plain_slots(text, self.contexts, self.pairs)]
+        if self.contexts:
+            found += [(a, b) for _, a, b, _ in _places(text, digit, self.contexts, self.pairs)]
         return base, added_spans(base, found) if found else []
 
 
