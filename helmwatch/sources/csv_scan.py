@@ -6,9 +6,11 @@ columns that a query needs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helmwatch.sources import files
+
 # What a file may be encoded in and separated by, in order of preference.
 ENCODINGS = ("UTF-8", "ISO-8859-1", "UTF-16", "US-ASCII")
 SEPARATORS = (";", ",", "\t", "|")
@@ -83,8 +85,6 @@ def discover(spark: SparkSession, root: str, first_bytes: int = 65_536) -> DataF
 
 def record_names(files: DataFrame) -> DataFrame:
     """Names such as H-3-0 in parts; of byte-identical copies the first path stays, different ones are marked."""
-    from pyspark.sql import Window
-
     name = F.regexp_extract("path", r"([HIOBC])[-_](\d{1,2})[-_]([012])\.[^./]+$", 0)
     part = lambda k: F.regexp_extract("path", r"([HIOBC])[-_](\d{1,2})[-_]([012])\.[^./]+$", k)
     named = files.where(name != "").select("*", F.concat_ws("-", part(1), part(2).cast("int").cast("string"), part(3)).alias("record_id"))
@@ -92,13 +92,55 @@ def record_names(files: DataFrame) -> DataFrame:
     return named.withColumn("conflict", F.min("sha256").over(w) != F.max("sha256").over(w)).withColumn("_r", F.row_number().over(w.orderBy("path"))).where("_r = 1").drop("_r")
 
 
-def row_identity(raw: DataFrame, manifest: DataFrame, order: str) -> str:
-    """Which numbering of raw rows (zero, one, id) gives every manifest row (source_row_index, timestamp_utc) its time."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy(order))
+def select_unique(spark: SparkSession, paths: list[str], required: tuple[str, ...]) -> str:
+    """The one path of paths whose header has the required columns; none or several are an error."""
+    found = []
+    for path in paths:
+        try:
+            sniff_header(spark, path, required)
+            found.append(path)
+        except ValueError:
+            continue
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} of {len(paths)} files show the columns {required}, not one")
+    return found[0]
+
+
+def latest_table(spark: SparkSession, root: str, name: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """The temporary view of that name if there is one, else the newest file name.csv below root; its columns must
+    include required."""
+    if spark.catalog.tableExists(name):
+        df = spark.table(name)
+    elif path := files.newest(spark, root, f"{name}.csv"):
+        df = spark.read.option("header", "true").csv(path)
+    else:
+        raise ValueError(f"no view and no file of the name {name}")
+    if missing := [c for c in required if c not in df.columns]:
+        raise ValueError(f"{name} has no columns {missing}")
+    return df
+
+
+def keyed_mapping(frames: dict[str, DataFrame], expected: DataFrame, keys: tuple[str, ...] = ("event_key", "source_row_index")) -> DataFrame:
+    """The rows of named frames under one schema, event_key taken from the frame's name where it has none. A key that
+    occurs twice, and one of expected that occurs nowhere, fail the query."""
+    whole = None
+    for name, frame in sorted(frames.items()):
+        one = frame if keys[0] in frame.columns else frame.withColumn(keys[0], F.lit(name))
+        whole = one if whole is None else whole.unionByName(one, allowMissingColumns=True)
+    rest = [c for c in whole.columns if c not in keys]
+    grouped = whole.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in rest))
+    joined = expected.select(*keys).join(grouped, list(keys), "full_outer")
+    wrong = F.when(F.col("_n").isNull(), "a key has no row in the mapping").when(F.col("_n") > 1, "a key occurs twice in the mapping")
+    return joined.select(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("string")).otherwise(F.col(keys[0]).cast("string")).alias(keys[0]), *keys[1:], *rest)
+
+
+def row_identity(raw: DataFrame, manifest: DataFrame, order: str, key: str | None = None) -> str:
+    """Which numbering of raw rows (zero, one, id) gives every manifest row (source_row_index, timestamp_utc) its time.
+    With key, rows are numbered within each file or event."""
+    n = F.row_number().over((Window.partitionBy(key) if key else Window).orderBy(order))
+    on = [key] if key else []
     for name, index in (("zero", n - 1), ("one", n), ("id", F.col("id").cast("long"))):
-        joined = manifest.join(raw.select(index.alias("source_row_index"), "time_stamp"), "source_row_index", "left")
+        joined = manifest.join(raw.select(*on, index.alias("source_row_index"), "time_stamp"), [*on, "source_row_index"], "left")
         if joined.where("NOT (time_stamp <=> timestamp_utc)").limit(1).count() == 0:
             return name
     raise ValueError("no numbering of the rows gives all manifest times")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helmwatch.sources import files
+
 
 def write_table(df: DataFrame, path: str, form: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
     """Spark's commit protocol makes the write atomic: readers see all of it or none."""
@@ -40,18 +41,15 @@ def table_digest(df: DataFrame, order: list[str]) -> str:
     return hashlib.sha256(strict_json([sorted(df.columns), [str(v) for v in found], order]).encode()).hexdigest()
 
 
-def receipt(path: str, content: dict) -> str:
+def receipt(spark: SparkSession, path: str, content: dict) -> str:
     """Write content and its hash, or check them against what is there: a receipt is never overwritten by another."""
     text = strict_json(content)
     digest = hashlib.sha256(text.encode()).hexdigest()
-    if os.path.exists(path):
-        with open(path) as f:
-            if json.load(f)["sha256"] != digest:
-                raise ValueError(f"{path} holds a receipt of other content")
-        return digest
-    with open(f"{path}.part", "w") as f:
-        json.dump({"sha256": digest, "content": json.loads(text)}, f)
-    os.replace(f"{path}.part", path)
+    if files.exists(spark, path):
+        if json.loads(files.read_text(spark, path))["sha256"] != digest:
+            raise ValueError(f"{path} holds a receipt of other content")
+    else:
+        files.write_text(spark, path, json.dumps({"sha256": digest, "content": json.loads(text)}))
     return digest
 
 
@@ -59,9 +57,12 @@ def receipt(path: str, content: dict) -> str:
 _LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
 
 
-def latex_table(df: DataFrame, rows: int = 50) -> str:
-    """The first rows of a report table; a report is small by what it is."""
+def latex_table(df: DataFrame, most: int = 10_000) -> str:
+    """A report table, whole; a report is small by what it is, and one of more than most rows is refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has {most} rows at most")
     text = lambda v: "--" if v is None else "".join(_LATEX.get(c, c) for c in (f"{v:.4g}" if isinstance(v, float) else str(v)))
-    body = [" & ".join(text(v) for v in r) + r" \\" for r in df.limit(rows).collect()]
+    body = [" & ".join(text(v) for v in r) + r" \\" for r in rows]
     head = " & ".join(text(c) for c in df.columns) + r" \\"
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\toprule", head, r"\midrule", *body, r"\bottomrule", r"\end{tabular}"])

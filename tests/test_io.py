@@ -45,9 +45,9 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
     assert K.table_digest(df, ["k"]) == K.table_digest(df.orderBy(F.desc("k")), ["k"]) != K.table_digest(df.limit(1), ["k"])
     assert json.loads(K.strict_json({"b": float("nan"), "a": [1]})) == {"a": [1], "b": None}
-    assert K.receipt(str(tmp_path / "r.json"), {"a": 1}) == K.receipt(str(tmp_path / "r.json"), {"a": 1})
+    assert K.receipt(spark, str(tmp_path / "r.json"), {"a": 1}) == K.receipt(spark, str(tmp_path / "r.json"), {"a": 1})
     with pytest.raises(ValueError):
-        K.receipt(str(tmp_path / "r.json"), {"a": 2})
+        K.receipt(spark, str(tmp_path / "r.json"), {"a": 2})
     assert r"a\_b" in K.latex_table(df)
 
 
@@ -64,3 +64,36 @@ def test_streaming_walk(spark, tmp_path):
     time.sleep(0.1)
     got = spark.table("walk").orderBy("ts").collect()
     assert [(r["criticality"], r["zero_run"]) for r in got] == [(1, 1), (2, 2), (1, 0), (1, 1)]
+
+
+def test_one_of_several_files_and_the_newest_of_a_name(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    for folder, value in (("a", 1), ("b", 2)):
+        (tmp_path / folder / "scores.csv").write_text(f"asset,score\nx,{value}\n")
+        time.sleep(0.02)
+    (tmp_path / "other.csv").write_text("note\nx\n")
+    paths = [str(tmp_path / "other.csv"), str(tmp_path / "a" / "scores.csv")]
+    assert C.select_unique(spark, paths, ("asset", "score")) == paths[1]
+    for bad in (paths[:1], [*paths, str(tmp_path / "b" / "scores.csv")]):
+        with pytest.raises(ValueError):
+            C.select_unique(spark, bad, ("asset", "score"))
+    assert C.latest_table(spark, str(tmp_path), "scores", ("asset",)).first()["score"] == "2"
+    with pytest.raises(ValueError):
+        C.latest_table(spark, str(tmp_path), "scores", ("nothing",))
+    with pytest.raises(ValueError):
+        C.latest_table(spark, str(tmp_path), "nowhere")
+
+
+def test_mapping_needs_every_key_once(spark):
+    a = spark.createDataFrame([(0, "t0"), (1, "t1")], "source_row_index long, timestamp string")
+    b = spark.createDataFrame([("7", 0, "u0")], "event_key string, source_row_index long, timestamp string")
+    expected = spark.createDataFrame([("5", 0), ("5", 1), ("7", 0)], "event_key string, source_row_index long")
+    got = C.keyed_mapping({"5": a, "rest": b}, expected).collect()
+    assert sorted((r["event_key"], r["source_row_index"], r["timestamp"]) for r in got) == [("5", 0, "t0"), ("5", 1, "t1"), ("7", 0, "u0")]
+    for frames, keys in (({"5": a}, expected), ({"5": a.union(a), "rest": b}, expected), ({"5": a, "rest": b}, expected.where("event_key = '5'"))):
+        if keys.count() == 2:
+            assert C.keyed_mapping(frames, keys).count() == 3
+        else:
+            with pytest.raises(Exception, match="a key"):
+                C.keyed_mapping(frames, keys).collect()
