@@ -22,8 +22,11 @@ def in_intervals(rows: DataFrame, intervals: DataFrame, key: str = "case_key", t
     return rows.join(spans, key, "left").withColumn("in_event", F.coalesce(hit, F.lit(False))).drop("_spans")
 
 
-def others(assets: DataFrame, key: str) -> DataFrame:
-    """Each asset with every other one (outer, inner). Assets are few: their number is checked, not assumed."""
+def others(assets: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """Each asset with every other one (outer, inner), for up to most assets; sums over the others of more assets are
+    totals less the own share."""
+    if assets.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} assets: take totals less the own share instead of pairs")
     return assets.select(F.col(key).alias("outer_asset")).join(assets.select(F.col(key).alias("inner_asset")), F.col("outer_asset") != F.col("inner_asset"))
 
 

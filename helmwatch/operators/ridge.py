@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PENALTIES = (1e-4, 1e-2, 1.0, 1e2, 1e4)
-MODEL_SCHEMA = "case_key string, penalty double, coefficients array<double>, fold_coefficients array<array<double>>, r2 double, rows long, precision array<double>"
+MODEL_SCHEMA = "case_key string, penalty double, coefficients array<double>, fold_coefficients array<array<double>>, r2 double, rows long, precision array<double>, errors array<double>"
 
 
 def basis(drivers: list[Column]) -> list[Column]:
@@ -23,11 +23,14 @@ def basis(drivers: list[Column]) -> list[Column]:
 
 
 def gram(df: DataFrame, terms: list[Column], target: Column, key: str = "case_key", fold: str = "fold_id") -> DataFrame:
-    """(key, fold, n, y, yy, xy array, xx array): sums over rows whose target is observed; xx is the upper triangle."""
+    """(key, fold, embargo_bits, n, y, yy, xy array, xx array): sums over rows whose target is observed; xx is the upper
+    triangle. Rows near other folds have their own sums, by the set of folds they are near; without embargo_bits in df
+    there is no embargo."""
     p = len(terms)
-    rows = df.select(key, fold, target.alias("_y"), *(t.alias(f"_x{i}") for i, t in enumerate(terms))).where("_y IS NOT NULL")
+    bits = F.col("embargo_bits") if "embargo_bits" in df.columns else F.call_function("shiftleft", F.lit(1), F.col(fold).cast("int"))
+    rows = df.select(key, fold, bits.cast("int").alias("embargo_bits"), target.alias("_y"), *(t.alias(f"_x{i}") for i, t in enumerate(terms))).where("_y IS NOT NULL")
     x = [F.col(f"_x{i}") for i in range(p)]
-    return rows.groupBy(key, fold).agg(
+    return rows.groupBy(key, fold, "embargo_bits").agg(
         F.count("*").alias("n"), F.sum("_y").alias("y"), F.sum(F.col("_y") * F.col("_y")).alias("yy"),
         F.array(*(F.sum(c * F.col("_y")) for c in x)).alias("xy"), F.array(*(F.sum(x[i] * x[j]) for i in range(p) for j in range(i, p))).alias("xx"),
     )
@@ -46,35 +49,39 @@ def _fit(penalties: tuple[float, ...], folds: int, min_rows: int):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         p = len(pdf["xy"].iloc[0])
         upper = np.triu_indices(p)
-        xx = np.zeros((folds, p, p))
-        n, y, yy, xy = np.zeros(folds), np.zeros(folds), np.zeros(folds), np.zeros((folds, p))
-        for r in pdf.sort_values("fold_id").itertuples():
-            k = int(r.fold_id)
-            xx[k][upper] = r.xx
-            xx[k] = xx[k] + xx[k].T - np.diag(np.diag(xx[k]))
-            n[k], y[k], yy[k], xy[k] = r.n, r.y, r.yy, r.xy
+        # Sums of each fold's own rows, and of the rows that may train for it: neither in it nor near it.
+        own, rest = ([[0.0, 0.0, 0.0, np.zeros(p), np.zeros((p, p))] for _ in range(folds)] for _ in range(2))
+        for r in pdf.sort_values(["fold_id", "embargo_bits"]).itertuples():
+            half = np.zeros((p, p))
+            half[upper] = r.xx
+            sums = (r.n, r.y, r.yy, np.asarray(r.xy, float), half + half.T - np.diag(np.diag(half)))
+            for held in (own[int(r.fold_id)], *(rest[k] for k in range(folds) if not r.embargo_bits >> k & 1)):
+                for i, v in enumerate(sums):
+                    held[i] = held[i] + v
+        n, y, yy, xy, xx = (np.array([f[i] for f in own]) for i in range(5))
         if n.sum() < max(min_rows, p + 10):
             return pd.DataFrame(columns=[f.split()[0] for f in MODEL_SCHEMA.split(", ")])
         errors, betas = [], []
         for penalty in penalties:
-            own = [solve(xx.sum(0) - xx[k], xy.sum(0) - xy[k], penalty) for k in range(folds)]
-            errors.append(sum(yy[k] - 2 * b @ xy[k] + b @ xx[k] @ b for k, b in enumerate(own)))
-            betas.append(own)
+            fits = [solve(t[4], t[3], penalty) for t in rest]
+            errors.append(sum(yy[k] - 2 * b @ xy[k] + b @ xx[k] @ b for k, b in enumerate(fits)))
+            betas.append(fits)
         errors = np.array(errors)
         # Of nearly equal errors the largest penalty.
         best = max(i for i, e in enumerate(errors) if e <= errors.min() * (1 + 1e-12) + 1e-12)
-        means = [(y.sum() - y[k]) / max(n.sum() - n[k], 1) for k in range(folds)]
+        means = [t[1] / max(t[0], 1) for t in rest]
         base = sum(yy[k] - 2 * m * y[k] + n[k] * m * m for k, m in enumerate(means))
         penalised = xx.sum(0) + penalties[best] * np.diag([0.0] + [1.0] * (p - 1))
         precision = np.linalg.pinv(penalised)
-        row = (pdf["case_key"].iloc[0], penalties[best], solve(xx.sum(0), xy.sum(0), penalties[best]).tolist(), [b.tolist() for b in betas[best]], float(1 - errors[best] / base) if base > 1e-12 else None, int(n.sum()), ((precision + precision.T) / 2).ravel().tolist())
+        row = (pdf["case_key"].iloc[0], penalties[best], solve(xx.sum(0), xy.sum(0), penalties[best]).tolist(), [b.tolist() for b in betas[best]], float(1 - errors[best] / base) if base > 1e-12 else None, int(n.sum()), ((precision + precision.T) / 2).ravel().tolist(), errors.tolist())
         return pd.DataFrame([row], columns=[f.split()[0] for f in MODEL_SCHEMA.split(", ")])
 
     return fit
 
 
 def crossfit(df: DataFrame, terms: list[Column], target: Column, folds: int = 5, penalties: tuple[float, ...] = PENALTIES, min_rows: int = 200) -> DataFrame:
-    """One model per case with enough observed rows; df has case_key and fold_id."""
+    """One model per case with enough observed rows; df has case_key and fold_id, and embargo_bits where rows near a
+    held-out fold must not train for it. errors are the pooled held-out squared errors of the penalties."""
     sums = gram(df, terms, target)
     return sums.groupBy("case_key").applyInPandas(_fit(penalties, folds, min_rows), MODEL_SCHEMA)
 

@@ -6,6 +6,8 @@ closed forms over window frames; none needs a loop.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +77,14 @@ def embargo(df: DataFrame, fold: int, width: int = 144, key: str = "case_key", t
     return df.withColumn("embargoed", F.max((F.col("fold_id") == fold).cast("int")).over(near) == 1)
 
 
+def embargo_bits(df: DataFrame, folds: int = 5, width: int = 144, key: str = "case_key", ts: str = "ts") -> DataFrame:
+    """embargo_bits: bit k is set for rows within width rows of a row of fold k, in its segment; rows of k included.
+    One window serves all folds."""
+    near = Window.partitionBy(key, "segment_id").orderBy(ts).rowsBetween(-width, width)
+    bits = [F.shiftleft(F.max((F.col("fold_id") == k).cast("int")).over(near), k) for k in range(folds)]
+    return df.withColumn("embargo_bits", reduce(Column.__add__, bits))
+
+
 def fold_masks(df: DataFrame, fit: Column, folds: int = 5, width: int = 144, min_rows: int = 200, key: str = "case_key") -> DataFrame:
     """(key, fold, train_rows, validation_rows, usable) of every fold: training rows are fit rows outside the embargo."""
     near = Window.partitionBy(key, "segment_id").orderBy("ts").rowsBetween(-width, width)

@@ -8,46 +8,61 @@ from pyspark.sql import functions as F
 from helmwatch.operators import bearing as B
 from helmwatch.operators import quality as A
 from helmwatch.operators import ridge as G
-from helmwatch.plans.sequence_queries import folded
+from helmwatch.operators import sequence as Q
+from helmwatch.plans.quality_queries import FIT_SQL, fit
+from helmwatch.plans.sequence_queries import FOLDS_SQL, folded
 from helmwatch.sources.tables import table
 
-GEOMETRY = [("a", 8.0, 6.77, 28.50, 0.0), ("b", 9.0, 7.94, 39.04, 0.0), ("c", 13.0, 7.00, 46.00, 15.0)]
-_GEO_SQL = "g(bearing, n, d, p, a) AS (VALUES " + ", ".join(f"('{k}', {n}::DOUBLE, {d}::DOUBLE, {p}::DOUBLE, {a}::DOUBLE)" for k, n, d, p, a in GEOMETRY) + "), c AS (SELECT *, d / p * cos(radians(a)) AS c FROM g)"
+#: Parts as bearings: balls, ball and pitch diameter, contact angle.
+_GEO_SQL = "g AS (SELECT p_partkey AS bearing, (7 + p_partkey % 7)::DOUBLE AS n, 5 + p_size / 20.0::DOUBLE AS d, 30 + (p_partkey % 40) / 2.0::DOUBLE AS p, (p_partkey % 2 * 15)::DOUBLE AS a FROM part), c AS (SELECT *, d / p * cos(radians(a)) AS c FROM g)"
+
+
+def _geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("bearing"), (7 + k % 7).cast("double").alias("n"), (5 + F.col("p_size") / 20).alias("d"), (30 + k % 40 / 2).alias("p"), (k % 2 * 15).cast("double").alias("a"))
 
 
 def _design(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
-    """Rows with folds, robustly scaled drivers and their basis."""
-    rows = folded(spark, sf_dir)
+    """Rows with folds and embargo, robustly scaled drivers and their basis. Scalers are those of the case's fit rows."""
+    rows = Q.embargo_bits(folded(spark, sf_dir), width=6)
     for c in ("click", "view"):
-        rows = A.robust_transform(rows, c, A.robust_parameters(rows, c, "case_key"), "case_key")
+        rows = A.robust_transform(rows, c, A.robust_parameters(rows.where(fit()), c, "case_key"), "case_key")
     return rows, G.basis([F.col("click_scaled"), F.col("view_scaled")])
 
 
+def ml5_ml6_penalties(spark, sf_dir):
+    """The held-out error of every penalty, of one driver on fit rows, with an embargo around held-out rows."""
+    rows = Q.embargo_bits(folded(spark, sf_dir), width=6).where(fit() & F.col("click").isNotNull())
+    m = G.crossfit(rows, [F.lit(1.0), F.col("click")], F.col("purchase"), min_rows=30)
+    each = m.select("case_key", "rows", F.explode(F.arrays_zip(F.array(*map(F.lit, G.PENALTIES)).alias("penalty"), F.col("errors").alias("error"))).alias("e"))
+    return each.select("case_key", "rows", F.col("e.penalty").alias("penalty"), F.round("e.error", 1).alias("held_out_error"))
+
+
 def ml8_crossfit(spark, sf_dir):
     rows, terms = _design(spark, sf_dir)
-    m = G.crossfit(rows, terms, F.col("purchase"), min_rows=30)
+    m = G.crossfit(rows.where(fit()), terms, F.col("purchase"), min_rows=30)
     return m.select("case_key", "penalty", "rows", F.round("r2", 6).alias("r2"), F.transform("coefficients", lambda x: F.round(x, 5)).alias("coefficients"))
 
 
 def ml10_ml14_uncertainty(spark, sf_dir):
     """Held-out residuals, the log-variance model, leverage support and the total scale of every observed row."""
     rows, terms = _design(spark, sf_dir)
-    mean = G.predict(rows, G.crossfit(rows, terms, F.col("purchase"), min_rows=30), terms).withColumn("residual", F.col("purchase") - F.col("prediction")).drop("leverage")
-    scaled = mean.join(A.robust_parameters(mean, "residual", "case_key").select("case_key", F.col("scale").alias("reference")), "case_key")
+    mean = G.predict(rows, G.crossfit(rows.where(fit()), terms, F.col("purchase"), min_rows=30), terms).withColumn("residual", F.col("purchase") - F.col("prediction")).drop("leverage")
+    scaled = mean.join(A.robust_parameters(mean.where(fit()), "residual", "case_key").select("case_key", F.col("scale").alias("reference")), "case_key")
     target = G.log_variance_target(F.col("residual"), F.col("reference"))
-    spread = G.predict(scaled.drop("prediction"), G.crossfit(scaled, terms, target, min_rows=30), terms)
-    support = A.robust_parameters(spread, "leverage", "case_key").select("case_key", F.col("center").alias("_c"), F.col("scale").alias("_s"))
+    spread = G.predict(scaled.drop("prediction"), G.crossfit(scaled.where(fit()), terms, target, min_rows=30), terms)
+    support = A.robust_parameters(spread.where(fit()), "leverage", "case_key").select("case_key", F.col("center").alias("_c"), F.col("scale").alias("_s"))
     out = spread.join(support, "case_key").withColumn("aleatoric", G.aleatoric_scale(F.col("prediction"))).withColumn("total", G.total_scale(F.col("aleatoric"), (F.col("leverage") - F.col("_c")) / F.col("_s")))
     return out.where("residual IS NOT NULL").select("case_key", "ts", F.round("residual", 4).alias("residual"), F.round("aleatoric", 4).alias("aleatoric"), F.round("total", 4).alias("total"), F.round(F.abs("residual") / F.nullif(F.col("total"), F.lit(0.0)), 4).alias("score"))
 
 
 def b3_orders(spark, sf_dir):
-    g = spark.createDataFrame(GEOMETRY, "bearing string, n double, d double, p double, a double")
+    g = _geometry(spark, sf_dir)
     return g.select("bearing", *(F.round(c, 6).alias(k) for k, c in B.characteristic_orders(F.col("n"), F.col("d"), F.col("p"), F.col("a")).items()))
 
 
 def b4_usability(spark, sf_dir):
-    g = spark.createDataFrame(GEOMETRY, "bearing string, n double, d double, p double, a double")
+    g = _geometry(spark, sf_dir)
     o = B.characteristic_orders(F.col("n"), F.col("d"), F.col("p"), F.col("a"))
     long = g.select("bearing", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), c.alias("order_value")) for k, c in o.items() if k != "ftf"))).alias("o")).select("bearing", "o.*")
     bins, ok = B.order_usable(F.col("order_value"), F.lit(54.0), 2.62)
@@ -85,6 +100,10 @@ def ag29_clopper_pearson(spark, sf_dir):
 
 
 QUERIES = {
+    "ml5_ml6_penalties": (ml5_ml6_penalties, f"""WITH {FOLDS_SQL}, x AS (SELECT f.*, k.k AS fold, max((fold_id = k.k)::INT) OVER (PARTITION BY case_key, segment_id, k.k ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS m FROM folds f, (SELECT unnest([0,1,2,3,4]) AS k) k),
+      y AS (SELECT * FROM x WHERE {FIT_SQL} AND click IS NOT NULL AND purchase IS NOT NULL), t AS (SELECT case_key, fold, avg(click) AS mx, avg(purchase) AS my, var_pop(click) * count(*) AS sxx, covar_pop(purchase, click) * count(*) AS sxy FROM y WHERE m = 0 GROUP BY ALL),
+      e AS (SELECT y.case_key, p AS penalty, power(purchase - my - sxy / (sxx + p) * (click - mx), 2) AS e FROM y JOIN t ON t.case_key = y.case_key AND t.fold = y.fold AND y.fold_id = y.fold, (SELECT unnest({list(G.PENALTIES)}::DOUBLE[]) AS p))
+      SELECT case_key, count(*) AS rows, penalty, round(sum(e), 1) AS held_out_error FROM e GROUP BY ALL HAVING count(*) >= 30"""),
     "ml1_ml8_crossfit": (ml8_crossfit, None),
     "ml9_ml15_uncertainty": (ml10_ml14_uncertainty, None),
     "b3_orders": (b3_orders, f"WITH {_GEO_SQL} SELECT bearing, round(0.5 * (1 - c), 6) AS ftf, round(n / 2 * (1 - c), 6) AS bpfo, round(n / 2 * (1 + c), 6) AS bpfi, round(p / (2 * d) * (1 - c * c), 6) AS bsf FROM c"),

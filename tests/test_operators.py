@@ -141,6 +141,26 @@ def test_crossfit_equals_numpy(spark):
     assert got[float(x[3, 0])] == pytest.approx(float(design[3] @ own))
 
 
+def test_rows_near_a_held_out_fold_do_not_train_for_it(spark):
+    rng = np.random.default_rng(3)
+    x, fold, bits = rng.normal(size=200), np.arange(200) // 8 % 5, np.zeros(200, int)
+    for k in range(5):
+        near = [i for i in range(200) if (fold[max(i - 2, 0) : i + 3] == k).any()]
+        bits[near] |= 1 << k
+    y = 3 * x + rng.normal(size=200)
+    df = spark.createDataFrame([("c", 1, i, int(f), float(a), float(t)) for i, (f, a, t) in enumerate(zip(fold, x, y, strict=True))], "case_key string, segment_id int, ts int, fold_id int, x double, y double")
+    df = Q.embargo_bits(df, width=2)
+    assert [r["embargo_bits"] for r in df.orderBy("ts").collect()] == bits.tolist()
+    m = G.crossfit(df, [F.lit(1.0), F.col("x")], F.col("y"), penalties=(0.5,)).first()
+    design, total = np.column_stack([np.ones(200), x]), 0.0
+    for k in range(5):
+        train, held = (bits >> k & 1) == 0, fold == k
+        b = G.solve(design[train].T @ design[train], design[train].T @ y[train], 0.5)
+        assert np.allclose(m["fold_coefficients"][k], b)
+        total += ((y[held] - design[held] @ b) ** 2).sum()
+    assert m["errors"][0] == pytest.approx(total)
+
+
 def test_orders_of_a_bearing(spark):
     df = spark.createDataFrame([(8.0, 6.77, 28.50, 0.0)], "n double, d double, p double, a double")
     got = df.select(*B.characteristic_orders(*map(F.col, df.columns)).values()).first()
