@@ -136,7 +136,7 @@ def page_tree(page: str) -> list:
         node[4] = zlib.crc32(" ".join("".join(parts).split()).encode("utf-8", "replace"))
         siblings = path[-1][5]
         if (twin := next((s for s in siblings if s[0] == node[0]), None)) is not None:
-            twin[2], twin[3], twin[4] = twin[2] + node[2], twin[3] + node[3], None
+            twin[2], twin[3], twin[4] = twin[2] + node[2], twin[3] + node[3], _both(twin[4], node[4])
             twin[5] = merge_children(twin[5], node[5], add=False)
         else:
             siblings.append(node)
@@ -167,15 +167,16 @@ def page_tree(page: str) -> list:
 
 def match(a: list, b: list, found: dict) -> int:
     """Simple tree matching: the size of the largest order-preserving common top of two trees. found keeps, for each
-    pair of nodes, which children go together."""
-    if a[0] != b[0] and a[0].split(".")[0] != b[0].split(".")[0]:
+    pair of nodes, which children go together. Only children whose key both sides have are aligned."""
+    if a[0] != b[0]:
         return 0
-    m, n = len(a[5]), len(b[5])
+    shared = {x[0] for x in a[5]} & {y[0] for y in b[5]}
+    xs, ys = ([i for i, c in enumerate(node[5]) if c[0] in shared] for node in (a, b))
+    m, n = len(xs), len(ys)
     table = [[0] * (n + 1) for _ in range(m + 1)]
-    scores = [[match(x, y, found) for y in b[5]] for x in a[5]]
     for i in range(1, m + 1):
         for j in range(1, n + 1):
-            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + scores[i - 1][j - 1])
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + match(a[5][xs[i - 1]], b[5][ys[j - 1]], found))
     pairs, i, j = [], m, n
     while i and j:
         if table[i][j] == table[i - 1][j]:
@@ -183,10 +184,10 @@ def match(a: list, b: list, found: dict) -> int:
         elif table[i][j] == table[i][j - 1]:
             j -= 1
         else:
-            pairs.append((i - 1, j - 1))
+            pairs.append((xs[i - 1], ys[j - 1]))
             i, j = i - 1, j - 1
     found[id(a), id(b)] = pairs[::-1]
-    return 1 + (a[0] == b[0]) + table[m][n]
+    return 1 + table[m][n]
 
 
 def merge_children(a: list, b: list, add: bool = True) -> list:
@@ -198,16 +199,20 @@ def merge_children(a: list, b: list, add: bool = True) -> list:
     for p, q in [*found[id(x), id(y)], (len(a), len(b))]:
         out += a[i:p] + b[j:q]
         if p < len(a):
-            out.append(merge(a[p], b[q], add) if a[p][0] == b[q][0] else None)
-            if out[-1] is None:
-                out[-1:] = [a[p], b[q]]
+            out.append(merge(a[p], b[q], add))
         i, j = p + 1, q + 1
     return out
 
 
 def merge(a: list, b: list, add: bool = True) -> list:
-    """The tree of both: counts add up, a text stays constant only if it is the same in both."""
-    return [a[0], a[1] + b[1] if add else max(a[1], b[1]), a[2] + b[2], a[3] + b[3], a[4] if a[4] == b[4] else None, merge_children(a[5], b[5], add)]
+    """The tree of both: counts add up, a text stays constant only if it is the same in both. Like siblings of one page
+    (without add) make one node whose text is all of theirs, in order: it is constant if the whole list is."""
+    text = (a[4] if a[4] == b[4] else None) if add else _both(a[4], b[4])
+    return [a[0], a[1] + b[1] if add else max(a[1], b[1]), a[2] + b[2], a[3] + b[3], text, merge_children(a[5], b[5], add)]
+
+
+def _both(a: int | None, b: int | None) -> int | None:
+    return None if a is None or b is None else zlib.crc32(f"{a},{b}".encode())
 
 
 def wrapper_rules(tree: list) -> list[str]:
@@ -277,7 +282,7 @@ def extract(page: str, rules: frozenset[str] = frozenset()) -> str:
             block_level = tag not in INLINE
             if block_level:
                 path.append(f"{path[-1]}/{_key(tag, label)}")
-            # A header inside an article heads the article, unless it is a page header by its marks.
+            # Headers go, also those inside an article.
             skip = marked(tag, label) or block_level and path[-1] in rules
             main = tag in ARTICLE and not skipped
             skipped, inside = skipped + skip, inside + main

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from helmwatch.llm import html_extract as h
 
@@ -39,6 +40,28 @@ def test_wrapper_drops_constant_nodes_of_pages_without_articles(spark):
     assert h.extract_pages(table.where("false")).count() == 0
 
 
+def test_constant_lists_of_like_elements_are_template(spark):
+    """A notice of two paragraphs, the same on all pages, goes without article or telling name; removing the wrapper
+    brings it back."""
+    page = '<body><div class="k"><p>All rights are ours.</p><p>Do not copy.</p></div><div class="y"><p>{0}</p><p>and more of {0}</p></div></body>'
+    rows = [(i, "http://h.example/%d" % i, page.format(f"text {i}")) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in h.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i}\nand more of text {i}" for i in range(8)}
+    assert h.extract(rows[0][2]).startswith("All rights are ours.")
+
+
+def test_headers_inside_articles_go():
+    assert h.extract("<article><header><h1>Title</h1></header><p>Body</p></article>") == "Body"
+
+
+def test_many_mixed_pages_of_a_host_merge_fast():
+    began, whole = time.perf_counter(), None
+    for i in range(300):
+        tree = h.page_tree("<body>" + "".join(f'<div class="b{chr(97 + i % 26)}{"x" * (i // 26)}{"abcdefghij"[k]}"><p>text {i} {k}</p></div>' for k in range(10)) + "</body>")
+        whole = tree if whole is None else h.merge(whole, tree)
+    assert time.perf_counter() - began < 15 and whole[1] == 300
+
+
 def test_matching_aligns_in_order():
     a, b = (["", 1, 0, 0, 0, [[k, 1, 1, 0, 1, []] for k in keys]] for keys in ("pqr", "pxr"))
     merged = h.merge(a, b)
