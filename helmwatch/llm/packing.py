@@ -42,6 +42,8 @@ def encoder(ranks_path: str) -> tiktoken.Encoding:
     if ranks_path not in _encoders:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if len(ranks) > 0xFFFF:
+            raise ValueError("ids are kept in two bytes: the vocabulary has more than 65,535 entries")
         _encoders[ranks_path] = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
     return _encoders[ranks_path]
 
@@ -187,7 +189,7 @@ def pack(docs: DataFrame, ranks_path: str, end_id: int = 0, id_col: str = "doc_i
 
     Every token of every document, and the end id behind it, lies in exactly one piece; sequences hold at most WINDOW
     tokens and only a block's last ones fewer, with lengths that are powers of two. A null text is empty and packs its
-    end id alone; a null source is a source of its own, as the empty one. Repeated rows are packed as often as they
+    end id alone; a null source counts as the empty one. Repeated rows are packed as often as they
     occur, and a file's repeats of an id are dealt apart; an empty table gives no pieces. The target shares are the sources' shares of all tokens, or those of the
     table shares (source, share). id_col must be a non-null integer.
     """
