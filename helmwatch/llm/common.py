@@ -36,6 +36,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Write df to the shared folder in buckets of column and read it back: groups and joins on column need no shuffle
+    of it. The catalog forgets the table at once; the files stay for the plans that read them."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    df.write.option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").bucketBy(shuffle_parts(spark), column).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved while the catalog knows it
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -1,20 +1,24 @@
 """Language-model scoring with a weighted backoff automaton learnt from the whole corpus.
 
-The model is a smoothed bigram model over words and one end token per document. Its automaton has a state for every
-word seen in training and a root. A state's arcs are the bigrams seen after its word; a token without an arc takes
-the failure arc to the root, whose arcs are the smoothed unigrams. One left-to-right traversal of a text carries the
-state and adds up log-probabilities.
+The model is a smoothed trigram model over words and one end token per document. Its automaton has a state for every
+pair of words seen in training, one for every word seen and a root. A state's arcs are the n-grams seen after its
+words; a token without an arc there takes the failure arc, from a pair to its last word and from a word to the root,
+whose arcs are the smoothed unigrams. A failure arc weighs PRIOR / (n + PRIOR) for a state seen n times, and what lies
+behind it also adds to the arcs that are there. One left-to-right traversal of a text carries the state and adds up
+log-probabilities. The first token of a text starts from the end's state, without a word before.
 
 The n-gram counts grow with the corpus and are never gathered in one place. Documents are cut into blocks, each with
 its own numbered vocabulary. A block asks, per bucket of the hash space, for the counts of its distinct n-grams, the
 training counts of all blocks meet in that bucket, and the totals go back to the blocks that asked. So an n-gram
 crosses the network once per block that holds it, not once per occurrence, however frequent it is, and each block
-then walks the part of the automaton that its own texts can reach.
+then walks the part of the automaton that its own texts can reach. Words and n-grams are 64-bit hashes: a collision would
+merge the counts of two of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +26,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helmwatch.llm.common import pack_sorted, read_table, unpack_sorted, written
+from helmwatch.llm.common import bucketed, pack_sorted, read_table, unpack_sorted, written
 from helmwatch.llm.textscan import chunks, mix, utf8, words
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 DISCOUNT = 0.75
+#: What the failure arcs of one-word and two-word states weigh, as a number of occurrences.
+PRIORS = (50.0, 1.0)
 BASE_PRIOR = 0.1
 END = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0xD1342543DE82EF95)
+_TRIPLE = np.uint64(0xAF251AF3B0F025B5)
 
 BLOCK_SCHEMA = "bid long, ids binary, train binary, lengths binary, stream binary, vocab binary"
 ASK_SCHEMA = "bucket long, bid long, kind int, keys binary, counts binary"
-TOLD_SCHEMA = "bid long, kind int, bucket long, totals binary, tokens long, types long, singles long"
+TOLD_SCHEMA = "bid long, kind int, bucket long, totals binary, tokens long, types long"
 SCORE_SCHEMA = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 CODEC = "zstd"
 
@@ -82,23 +89,46 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def _bigrams(stream: np.ndarray, vocab: np.ndarray, train: np.ndarray | None):
-    """Distinct bigrams of a block in order of their hash: (hash, code, training count or None). A code is the pair
-    of word numbers; the first word of a document follows an end."""
+@dataclass
+class Grams:
+    """Distinct n-grams of a block of one order. place: each token's n-gram; state: each n-gram's words but the last, as
+    an n-gram of the order below; order: the n-grams by their hashes, as they are asked and told."""
+
+    place: np.ndarray
+    state: np.ndarray
+    keys: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.order = np.argsort(self.keys)
+
+    def spread(self, told: np.ndarray) -> np.ndarray:
+        """Totals in order of the hashes, put in order of the n-grams."""
+        out = np.empty_like(told)
+        out[self.order] = told
+        return out
+
+
+def _longer(place: np.ndarray, lower: np.ndarray, keys: np.ndarray, vocab: np.ndarray, factor: np.uint64) -> Grams:
+    """The n-grams that tokens (place: their words) make with the n-grams lower that end before them."""
     n = np.int64(len(vocab))
-    end = np.searchsorted(vocab, END)
+    codes, at = np.unique(lower.astype(np.int64) * n + place, return_inverse=True)
+    state = codes // n
+    return Grams(at.astype(np.int32), state.astype(np.int32), mix(keys[state] * factor + vocab[codes % n]))
+
+
+def _grams(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Grams]]:
+    """A block's (lengths, training mark of every token, which tokens are not the first of their text, n-grams by
+    order). Trigrams are those of the marked tokens only."""
+    stream, vocab, lengths = _unpack(row["stream"], np.int32), unpack_sorted(row["vocab"]), _unpack(row["lengths"], np.int64)
+    train = np.repeat(_unpack(row["train"], np.uint8), lengths) > 0
+    inner = np.ones(len(stream), dtype=bool)
+    inner[np.cumsum(lengths) - lengths] = False
     before = np.empty_like(stream)
-    before[0], before[1:] = end, stream[:-1]
-    codes = before.astype(np.int64) * n + stream
-    if train is None:
-        counts, found = None, np.unique(codes)
-    else:
-        marked = np.sort(codes * 2 + train)
-        first = np.flatnonzero(np.diff(marked >> 1, prepend=-1))
-        found, counts = marked[first] >> 1, np.add.reduceat(marked & 1, first)
-    keys = mix(vocab[found // n] * _PAIR + vocab[found % n])
-    order = np.argsort(keys)
-    return keys[order], found[order], None if counts is None else counts[order]
+    before[0], before[1:] = np.searchsorted(vocab, END), stream[:-1]
+    one = Grams(stream, np.zeros(len(vocab), np.int32), vocab)
+    two = _longer(stream, before, vocab, vocab, _PAIR)
+    three = _longer(stream[inner], two.place[np.flatnonzero(inner) - 1], two.keys, vocab, _TRIPLE)
+    return lengths, train, inner, [one, two, three]
 
 
 def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -112,12 +142,10 @@ def _asker(bits: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                stream, vocab = _unpack(row["stream"], np.int32), unpack_sorted(row["vocab"])
-                train = np.repeat(_unpack(row["train"], np.uint8), _unpack(row["lengths"], np.int64))
-                for kind, keys, counts in (
-                    (1, vocab, np.bincount(stream[train > 0], minlength=len(vocab))),
-                    (2, *(x for i, x in enumerate(_bigrams(stream, vocab, train)) if i != 1)),
-                ):
+                _, train, inner, grams = _grams(row)
+                for kind, g in enumerate(grams, 1):
+                    counts = np.bincount(g.place[train if kind < 3 else train[inner]], minlength=len(g.keys))
+                    keys, counts = g.keys[g.order], counts[g.order]
                     at = _cuts(keys, bits)
                     counts = counts.astype(np.uint32)
                     yield _table(ASK_SCHEMA, [(b, row["bid"], kind, pack_sorted(keys[s:e]), _pack(counts[s:e])) for b, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if e > s])
@@ -129,7 +157,7 @@ def _tell(table: pa.Table) -> pa.Table:
     """Add up one bucket's counts and answer every block that asked."""
     out = []
     rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["bid"]))
-    for kind in (1, 2):
+    for kind in (1, 2, 3):
         own = [r for r in rows if r["kind"] == kind]
         if not own:
             continue
@@ -144,37 +172,28 @@ def _tell(table: pa.Table) -> pa.Table:
         at = 0
         for i, r in enumerate(own):
             n = len(asked[i])
-            whole = (int(sums.sum()) if kind == 1 else 0, int((sums > 0).sum()) if kind == 1 else 0, int((sums == 1).sum()) if kind == 2 else 0) if i == 0 else (0, 0, 0)
+            whole = (int(sums.sum()), int((sums > 0).sum())) if kind == 1 and i == 0 else (0, 0)
             out.append((r["bid"], kind, r["bucket"], _pack(totals[at : at + n]), *whole))
             at += n
     return pa.Table.from_batches([_table(TOLD_SCHEMA, out)])
 
 
-def _scorer(tokens: int, types: int, singles: int):
+def _scorer(tokens: int, types: int):
     def score(blocks: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for row in blocks.to_pylist():
-            stream, vocab, lengths = _unpack(row["stream"], np.int32), unpack_sorted(row["vocab"]), _unpack(row["lengths"], np.int64)
+            lengths, _, inner, grams = _grams(row)
             answers = sorted((r["kind"], r["bucket"], r["totals"]) for r in told.select(["kind", "bucket", "totals"]).to_pylist())
-            count, paired = (np.concatenate([_unpack(t, np.int64) for k, _, t in answers if k == kind]) for kind in (1, 2))
-            _, codes, _ = _bigrams(stream, vocab, None)
-            order = np.argsort(codes)
-            codes, paired = codes[order], paired[order]
-            n = np.int64(len(vocab))
+            count, pairs, triples = (g.spread(np.concatenate([np.zeros(0, np.int64), *(_unpack(t, np.int64) for k, _, t in answers if k == kind)])) for kind, g in enumerate(grams, 1))
+            one, two, three = grams
             # The root's arcs: discounted unigrams; what the discount frees is the unknown word's.
             unknown = DISCOUNT * types / tokens if tokens else 1.0
             root = np.where(count > 0, (count - DISCOUNT) / max(tokens, 1), unknown)
-            # A state's failure arc has the share of training bigrams that occurred once (Good and Turing's estimate
-            # of what is new), its own arcs the rest in proportion to their counts.
-            fail = min(max(singles / tokens, 0.05), 0.99) if tokens else 1.0
-            context = count[codes // n]
-            arcs = np.where(paired > 0, (1 - fail) * paired / np.maximum(context, 1), 0.0)
-            end = np.searchsorted(vocab, END)
-            state = np.empty_like(stream)
-            state[0], state[1:] = end, stream[:-1]
-            arc = np.searchsorted(codes, state.astype(np.int64) * n + stream)
+            # A token's probability from the state of the word before it, then from that of the two words before it.
+            stream = one.place
+            reached = (pairs[two.place] + PRIORS[0] * root[stream]) / (count[two.state] + PRIORS[0])[two.place]
+            reached[inner] = (triples[three.place] + PRIORS[1] * reached[inner]) / (pairs[three.state] + PRIORS[1])[three.place]
             known = count[stream] > 0
-            reached = np.where(count[state] > 0, arcs[arc] + fail * root[stream], root[stream])
             starts = np.cumsum(lengths) - lengths
             base = np.log10((count + BASE_PRIOR) / (tokens + BASE_PRIOR * (types + 1)))
             columns = (_unpack(row["ids"], np.int64), _unpack(row["train"], np.uint8) == 0, lengths, np.add.reduceat(known.astype(np.int64), starts), np.full(len(lengths), tokens), np.add.reduceat(base[stream], starts), np.add.reduceat(np.log10(reached), starts))
@@ -195,11 +214,11 @@ def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col
     result. id_col must be a non-null integer; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (~F.coalesce(F.expr(held_out), F.lit(False))).alias("train"), F.col(text_col).cast("string").alias("text"))
-    blocks = written(rows.mapInArrow(_blocks, BLOCK_SCHEMA), "lm-blocks")
+    blocks = bucketed(rows.mapInArrow(_blocks, BLOCK_SCHEMA), "bid", "lm_blocks")
     bits = max(blocks.count() - 1, 1).bit_length() + 1
     told = written(blocks.mapInArrow(_asker(bits), ASK_SCHEMA).groupBy("bucket").applyInArrow(_tell, TOLD_SCHEMA), "lm-told")
-    whole = told.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "singles"))).first()
-    scored = blocks.groupBy("bid").cogroup(told.groupBy("bid")).applyInArrow(_scorer(whole["tokens"], whole["types"], whole["singles"]), SCORE_SCHEMA)
+    whole = told.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types"))).first()
+    scored = blocks.groupBy("bid").cogroup(told.groupBy("bid")).applyInArrow(_scorer(whole["tokens"], whole["types"]), SCORE_SCHEMA)
     return scored.withColumnRenamed("id", id_col)
 
 

@@ -16,7 +16,6 @@ equal keys wherever they stand. Runs of neighbouring windows of one key are one
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helmwatch.llm.common import pack_sorted, read_table, shared_folder, shuffle_parts, unpack_sorted, written
+from helmwatch.llm.common import bucketed, pack_sorted, read_table, unpack_sorted, written
 from helmwatch.llm.textscan import _P, _P_INV, chunks, mix, utf8
 
 LENGTH = 50
@@ -395,15 +394,6 @@ def _cutter(bits: int):
     return cut
 
 
-def _block_table(rows: DataFrame) -> DataFrame:
-    """The blocks as a table bucketed by block number: they are joined to answers three times without a shuffle."""
-    spark = rows.sparkSession
-    name = f"text_blocks_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/{name}"
-    rows.mapInArrow(_blocks, BLOCK_SCHEMA).write.option("path", path).bucketBy(shuffle_parts(spark), "bid").saveAsTable(name)
-    return spark.table(name)
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id_col, n_bytes, n_removed, n_spans, kept) per row of docs; kept holds the bytes that remain.
 
@@ -411,7 +401,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the input. Null texts count as empty; texts shorter than LENGTH keep all. Rows of equal id never remove each
     other's bytes. An empty table gives an empty result; id_col must be a non-null integer; other columns are ignored.
     """
-    blocks = _block_table(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
+    # In buckets by block number: they are joined to answers three times without a shuffle.
+    blocks = bucketed(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_blocks, BLOCK_SCHEMA), "bid", "text_blocks")
     bits = max(4 * blocks.count() - 1, 1).bit_length()
     told = written(blocks.mapInArrow(_asker(bits), ASK_SCHEMA).groupBy("bucket").applyInArrow(_tell, TOLD_SCHEMA), "shared-keys")
     sent = blocks.groupBy("bid").cogroup(told.groupBy("bid")).applyInArrow(_sender(bits), SENT_SCHEMA)
