@@ -70,11 +70,32 @@ def robust_transform(df: DataFrame, value: str, parameters: DataFrame, *keys: st
     return joined.withColumn(f"{value}_scaled", S.robust_value(F.col(value), F.col("center"), F.col("scale"))).withColumn(f"{value}_missing", S.number(F.col(value)).isNull().cast("int")).drop("center", "scale")
 
 
+def ordered_counts(df: DataFrame, value: str, *keys: str, buckets: int = 64) -> DataFrame:
+    """(keys, value, count, upto, n): every distinct value of a key, how many rows have it, how many have it or less, and
+    how many the key has; exact. Values are counted, dealt to ranges between quantiles of all keys' distinct values and
+    summed within key and range, so that no task sees more than about a share 1 / buckets of them, however few keys
+    there are. Missing values do not count; a key without any other has no row."""
+    buckets = max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("count"))
+    cuts = counts.agg(F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets)))).alias("_cuts"))
+    dealt = counts.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sums = dealt.groupBy(*keys, "_b").agg(F.sum("count").alias("_s"))
+    of_key = Window.partitionBy(*keys)
+    before = sums.select(*keys, "_b", (F.sum("_s").over(of_key.orderBy("_b")) - F.col("_s")).alias("_before"), F.sum("_s").over(of_key).alias("n"))
+    within = F.sum("count").over(Window.partitionBy(*keys, "_b").orderBy(value))
+    joined = dealt.withColumn("_u", within).alias("d").join(before.alias("p"), [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in (*keys, "_b")])
+    return joined.select(*(F.col(f"d.{k}").alias(k) for k in (*keys, value)), "count", (F.col("_before") + F.col("_u")).alias("upto"), "n")
+
+
+def order_statistic(rank: Column, value: str) -> Column:
+    """Aggregate over ordered_counts: the value at a rank counted from 0."""
+    return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("count") <= rank), F.col(value)))
+
+
 def higher_quantile(df: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
     """The order statistic at ceil(p * (n - 1)), counted from 0."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_r") == F.ceil(F.lit(float(p)) * (F.col("_n") - 1)) + 1).select(*keys, F.col(value).alias("quantile"), F.col("_n").alias("n"))
+    rank = F.ceil(F.lit(float(p)) * (F.col("n") - 1))
+    return ordered_counts(df, value, *keys).groupBy(*keys).agg(order_statistic(rank, value).alias("quantile"), F.max("n").alias("n")).where("n > 0")
 
 
 def equal_block_quantile(df: DataFrame, value: str, block: str, p: float, *keys: str) -> DataFrame:
@@ -89,7 +110,13 @@ def equal_block_quantile(df: DataFrame, value: str, block: str, p: float, *keys:
 def population_stability(df: DataFrame, value: str, train: Column, bins: int = 10, eps: float = 1e-6) -> DataFrame:
     """The population stability index between train and other rows, over bins between the train quantiles."""
     d = df.select(S.number(F.col(value)).alias("v"), train.alias("t")).where("v IS NOT NULL")
-    edges = d.where("t").agg(F.array_distinct(F.percentile("v", F.array(*(F.lit(i / bins) for i in range(bins + 1))))).alias("e"))
+    found = []
+    for i in range(bins + 1):
+        at = F.lit(i / bins) * (F.col("n") - 1)
+        share = F.lit(i / bins) * (F.max("n") - 1)
+        low, high = order_statistic(F.floor(at), "v"), order_statistic(F.ceil(at), "v")
+        found.append(F.when(low == high, low).otherwise((F.ceil(share) - share) * low + (share - F.floor(share)) * high))
+    edges = ordered_counts(d.where("t"), "v").agg(F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("e"))
     binned = d.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter(F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))), lambda x: x < F.col("v"))))
     share = binned.groupBy("bin").agg(F.count_if("t").alias("a"), F.count_if(~F.col("t")).alias("b"), F.max(F.size("e")).alias("edges"))
     total = share.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))

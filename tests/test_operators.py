@@ -190,3 +190,16 @@ def test_weights_and_health(spark):
     assert [r["weight"] for r in E.reliability_weights(c, 0.95, "g").orderBy("g", "channel").collect()] == [0.5, 0.5, 1.0]
     h = spark.createDataFrame([(1, 2.0, 0.6), (1, None, 0.4), (2, 3.0, 0.8), (2, None, 0.2)], "ts int, e double, w double")
     assert [(r["health"]) for r in E.weighted_health(h, "e", "w", "ts").orderBy("ts").collect()] == [None, pytest.approx(3.0)]
+
+
+def test_ordered_counts_of_few_keys_with_ties_and_missing_keys(spark):
+    rows = [(k, float(v)) for k, n in (("a", 500), ("b", 3), (None, 40)) for v in [(i * 7919) % 97 for i in range(n)]] + [("a", None), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {(r["k"], r["v"]): (r["count"], r["upto"], r["n"]) for r in A.ordered_counts(df, "v", "k").collect()}
+    for (k, v), found in got.items():
+        own = [x for j, x in rows if j == k and x is not None]
+        assert found == (own.count(v), sum(x <= v for x in own), len(own))
+    assert {k for k, _ in got} == {"a", "b", None}
+    high = {r["k"]: (r["quantile"], r["n"]) for r in A.higher_quantile(df, "v", 0.9, "k").collect()}
+    own = sorted(x for j, x in rows if j == "a" and x is not None)
+    assert high["a"] == (own[450], 500) and set(high) == {"a", "b", None}
