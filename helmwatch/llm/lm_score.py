@@ -46,12 +46,15 @@ CODEC = "zstd"
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return len(a).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(a).tobytes(), CODEC, asbytes=True)
+    """An array compressed byte by byte of its values: the leading bytes are mostly zero."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T)
+    return len(a).to_bytes(8, "little") + pa.compress(planes.tobytes(), CODEC, asbytes=True)
 
 
 def _unpack(b: bytes, dtype) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    return np.frombuffer(pa.decompress(b[8:], n * np.dtype(dtype).itemsize, CODEC, asbytes=True), dtype=dtype)
+    n, size = int.from_bytes(b[:8], "little"), np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(b[8:], n * size, CODEC, asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
