@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,10 +77,14 @@ def ordered_counts(df: DataFrame, value: str, *keys: str, buckets: int = 64) ->
     how many the key has; exact. Values are counted, dealt to ranges between quantiles of all keys' distinct values and
     summed within key and range, so that no task sees more than about a share 1 / buckets of them, however few keys
     there are. Missing values do not count; a key without any other has no row."""
-    buckets = max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # side ranges of side ranges, so that a value is compared with 2 * side cuts.
+    side = math.isqrt(max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) - 1) + 1
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("count"))
-    cuts = counts.agg(F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets)))).alias("_cuts"))
-    dealt = counts.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    found = counts.agg(F.percentile_approx(value, F.array(*(F.lit(i / side**2) for i in range(1, side**2)))).alias("_cuts"))
+    cuts = found.select("_cuts", F.array(*(F.get("_cuts", i * side - 1) for i in range(1, side))).alias("_coarse"))
+    coarse = F.size(F.filter("_coarse", lambda c: c < F.col(value)))
+    fine = F.size(F.filter(F.slice("_cuts", F.col("_c") * side + 1, side - 1), lambda c: c < F.col(value)))
+    dealt = counts.crossJoin(F.broadcast(cuts)).withColumn("_c", coarse).withColumn("_b", F.col("_c") * side + fine).drop("_cuts", "_coarse", "_c")
     sums = dealt.groupBy(*keys, "_b").agg(F.sum("count").alias("_s"))
     of_key = Window.partitionBy(*keys)
     before = sums.select(*keys, "_b", (F.sum("_s").over(of_key.orderBy("_b")) - F.col("_s")).alias("_before"), F.sum("_s").over(of_key).alias("n"))
