@@ -94,3 +94,16 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
     planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _crc_entry(byte: int) -> int:
+    for _ in range(8):
+        byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's SQL for the unsigned crc32 of a text's UTF-8 bytes; it has no such function."""
+    table = f"({[_crc_entry(b) for b in range(256)]}::BIGINT[])"
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda d: ('0x' || d)::BIGINT)"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helmwatch.llm import bpe, exact_dedup, html_extract, jaccard, lm_score, media, packing, pii, quality, substring_dedup
+from helmwatch.llm import bpe, exact_dedup, html_extract, jaccard, lm_score, media, packing, pii, quality, resampling, sharding, substring_dedup, vector_codes
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,7 +15,13 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_media_copies": media.op9_media_copies,
     "op10_pii": pii.op10_pii,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_resampling": resampling.op12_resampling,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op11_sharding": sharding.OP11_SQL,
+    "op12_resampling": resampling.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
