@@ -30,11 +30,13 @@ MIN_WORDS = 20
 #: Drawn documents, as a share of those with enough words.
 SHARE = (10, 100)
 
+#: A task's sums are sent in blocks of so many buckets.
+BLOCK = 100
 #: Bytes of text that are split into words at once.
 SPLIT_BYTES = 1 << 20
 BATCH_ROWS = 2_000
 
-FEATURE_SCHEMA = "digest binary, n_words long, n_features long, buckets array<int>, counts array<long>, totals array<long>"
+FEATURE_SCHEMA = "digest binary, n_words long, n_features long, buckets array<int>, counts array<long>, totals array<array<long>>"
 #: Bytes of words stay, A-Z become a-z, all others become blanks: 0-9, a-z and every byte of a character above ASCII.
 _WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
@@ -64,7 +66,7 @@ def bucket_counts(data: bytes, buckets: int, max_run: int = 1, split: int = SPLI
 
 def _features(buckets: int, max_run: int):
     names = [f.split()[0] for f in FEATURE_SCHEMA.split(", ")]
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(buckets, np.int64)
@@ -84,7 +86,7 @@ def _features(buckets: int, max_run: int):
             if rows:
                 yield cut(rows)
         # A task's sums are a row of its own, without a digest.
-        yield cut([(None, None, None, None, None, totals)])
+        yield cut([(None, None, None, None, None, [totals[i : i + BLOCK] for i in range(0, buckets, BLOCK)])])
 
     return run
 
@@ -99,10 +101,11 @@ def _counted(texts: DataFrame, buckets: int, max_run: int, name: str) -> DataFra
 
 def _totals(counted: DataFrame, buckets: int) -> np.ndarray:
     """Features of all texts by bucket: at most `buckets` numbers come to the driver."""
-    pairs = counted.where("digest IS NULL").select(F.posexplode("totals").alias("bucket", "n")).where("n > 0")
+    blocks = counted.where("digest IS NULL").select(F.posexplode("totals").alias("block", "sums"))
     out = np.zeros(buckets, np.int64)
-    for r in pairs.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r["bucket"]] = r["n"]
+    for r in blocks.groupBy("block").agg(F.array(*(F.sum(F.get("sums", i)) for i in range(min(BLOCK, buckets)))).alias("sums")).collect():
+        at = r["block"] * BLOCK
+        out[at : at + BLOCK] = r["sums"][: buckets - at]
     return out
 
 
