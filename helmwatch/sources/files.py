@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _system(spark: SparkSession, path: str):
@@ -56,3 +56,11 @@ def shared_place(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="helmwatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to a new shared place and read back: what is built on it neither repeats its work nor
+    depends on the executors that did it."""
+    path = shared_place(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
