@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helmwatch.functions import scalars as S
+from helmwatch.operators import order_statistics as O
 
 
 def confusion(df: DataFrame, truth: Column, predicted: Column, *keys: str) -> DataFrame:
@@ -93,12 +94,9 @@ def poisson_bootstrap(assets: DataFrame, key: str, numerator: str, denominator:
 
 
 def fold_excluded_quantile(df: DataFrame, value: str, fold: str, p: float, folds: int, *keys: str) -> DataFrame:
-    """For every fold the higher quantile of the other folds' values, and the fold's share at or below it."""
-    other = df.where(F.col(value).isNotNull()).select(*keys, fold, value, F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held"))
-    outside = other.where(F.col(fold) != F.col("held"))
-    w = Window.partitionBy(*keys, "held")
-    ranked = outside.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    q = ranked.where(F.col("_r") == F.ceil(F.lit(float(p)) * (F.col("_n") - 1)) + 1).select(*keys, F.col("held").alias(fold), F.col(value).alias("quantile"))
+    """For every fold the higher quantile of the other folds' values, and the fold's share at or below it. All
+    complements come from one aggregation of the values by fold."""
+    q = O.complement_quantiles(df, value, fold, folds, (p,), *keys, higher=True).select(*keys, fold, F.get("q", 0).alias("quantile"))
     return df.join(q, [*keys, fold]).groupBy(*keys, fold).agg(F.max("quantile").alias("quantile"), F.avg((F.col(value) <= F.col("quantile")).cast("double")).alias("coverage"))
 
 
@@ -111,11 +109,12 @@ def interval_scores(df: DataFrame, residual: Column, half_width: Column, alpha:
 
 
 def rank_p(df: DataFrame, value: str, calibration: Column, *keys: str) -> DataFrame:
-    """p = (1 + calibration values at or above) / (n + 1); a calibration row leaves itself out of both counts."""
-    w = Window.partitionBy(*keys)
+    """p = (1 + calibration values at or above) / (n + 1); a calibration row leaves itself out of both counts. Ranks
+    are those of distinct values, by value ranges."""
     own = calibration.cast("int")
-    above = F.sum(own).over(w.orderBy(F.desc(value)).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - own
-    return df.withColumn("p", (1 + above) / (F.sum(own).over(w) - own + 1))
+    ranked = O.ordered_sums(df.withColumn("_own", own), value, {"own": F.coalesce("_own", F.lit(0))}, *keys)
+    above = F.col("_rank.n") - F.col("_rank.upto") + F.col("_rank.own") - own
+    return O.with_ranks(df, ranked, value, "own", *keys).withColumn("p", (1 + above) / (F.col("_rank.n") - own + 1)).drop("_rank")
 
 
 def gate(metrics: DataFrame, value: str, limit: Column, at_most: bool, *keys: str) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 
 def ordered_sums(df: DataFrame, value: str, measures: dict[str, Column], *keys: str, buckets: int = 64) -> DataFrame:
-    """(keys, value, and for every measure m: m, m_upto, m_n): the measure's sum at a value, at it or below, and of the
-    whole key. Missing values do not count; a key without any other has no row."""
+    """(keys, value, value_range, and for every measure m: m, m_upto, m_n): the measure's sum at a value, at it or below,
+    and of the whole key. Ranges are numbered in the order of their values. Missing values do not count; a key without any other has no row."""
     side = math.isqrt(max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) - 1) + 1
     names = list(measures)
     sums = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*(F.sum(c).alias(m) for m, c in measures.items()))
@@ -34,7 +34,7 @@ def ordered_sums(df: DataFrame, value: str, measures: dict[str, Column], *keys:
     within = Window.partitionBy(*keys, "_range").orderBy(value)
     run = dealt.select(*keys, "_range", value, *names, *(F.sum(m).over(within).alias(f"{m}_in") for m in names)).alias("d")
     joined = run.join(before.alias("p"), [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in (*keys, "_range")])
-    return joined.select(*(F.col(f"d.{k}").alias(k) for k in (*keys, value)), *(c for m in names for c in (F.col(f"d.{m}").alias(m), (F.col(f"p.{m}_before") + F.col(f"d.{m}_in")).alias(f"{m}_upto"), F.col(f"p.{m}_n").alias(f"{m}_n"))))
+    return joined.select(*(F.col(f"d.{k}").alias(k) for k in (*keys, value)), F.col("d._range").alias("value_range"), *(c for m in names for c in (F.col(f"d.{m}").alias(m), (F.col(f"p.{m}_before") + F.col(f"d.{m}_in")).alias(f"{m}_upto"), F.col(f"p.{m}_n").alias(f"{m}_n"))))
 
 
 def at_rank(rank: Column, value: str, own: Column, upto: Column) -> Column:
@@ -100,3 +100,25 @@ def weighted_quantiles(df: DataFrame, value: str, mass: Column, ps: tuple[float,
     ordered = ordered_sums(df, value, {"mass": mass}, *keys)
     reach = lambda p: F.lit(float(p)) * F.col("mass_n") - 1e-9
     return ordered.groupBy(*keys).agg(F.max("mass_n").alias("mass"), F.array(*(F.min(F.when(F.col("mass_upto") >= reach(p), F.col(value))) for p in ps)).alias("q"))
+
+
+def running_extreme(ordered: DataFrame, value: str, of: Column, *keys: str, least_above: bool = False) -> DataFrame:
+    """ordered_sums with the column extreme: the greatest `of` at a value or below, or the least at it or above. Within
+    ranges and over ranges, as the sums are."""
+    best = F.min if least_above else F.max
+    rows = ordered.withColumn("_of", of)
+    of_range = rows.groupBy(*keys, "value_range").agg(best("_of").alias("_best"))
+    frame = Window.partitionBy(*keys).orderBy(F.desc("value_range") if least_above else F.asc("value_range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = of_range.select(*keys, "value_range", best("_best").over(frame).alias("_before"))
+    within = Window.partitionBy(*keys, "value_range").orderBy(F.desc(value) if least_above else F.asc(value)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_in", best("_of").over(within))
+    joined = rows.alias("d").join(before.alias("p"), [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in (*keys, "value_range")])
+    pick = F.least if least_above else F.greatest
+    return joined.select(*(F.col(f"d.{c}").alias(c) for c in ordered.columns), pick(F.col("d._in"), F.coalesce(F.col("p._before"), F.col("d._in"))).alias("extreme"))
+
+
+def with_ranks(df: DataFrame, ordered: DataFrame, value: str, measure: str, *keys: str) -> DataFrame:
+    """df with the struct _rank (own, upto, n and, if there, extreme) of its rows' values; null for missing values."""
+    extreme = [F.col("extreme")] if "extreme" in ordered.columns else []
+    ranks = ordered.select(F.struct(*keys, F.col(value).alias("_v")).alias("_at"), F.struct(F.col(measure).alias("own"), F.col(f"{measure}_upto").alias("upto"), F.col(f"{measure}_n").alias("n"), *extreme).alias("_rank"))
+    return df.join(ranks, [*(F.col(k).eqNullSafe(F.col(f"_at.{k}")) for k in keys), F.col(value) == F.col("_at._v")], "left").drop("_at")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helmwatch.functions import scalars as S
+from helmwatch.operators import order_statistics as O
 
 
 def channel_audit(df: DataFrame, channels: tuple[str, ...], fit: Column, key: str = "case_key") -> DataFrame:
@@ -40,23 +41,36 @@ def moments(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
+def _on(left: str, right: str, keys: tuple[str, ...]) -> list[Column]:
+    return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys] or [F.lit(True)]
+
+
+def _quartiles(df: DataFrame, v: Column, keys: tuple[str, ...], *more: Column) -> DataFrame:
+    """(keys, q, finite and the further aggregates): quartiles by value ranges; null where a key has no value."""
+    plain = df.select(*keys, v.alias("_v"))
+    rest = df.groupBy(*keys).agg(F.count(v).alias("finite"), *more)
+    q = O.linear_quantiles(plain, "_v", (0.25, 0.5, 0.75), *keys)
+    return rest.alias("r").join(q.alias("q"), _on("r", "q", keys), "left").select("r.*", F.col("q.q").alias("q"))
+
+
 def robust_parameters(df: DataFrame, value: str, *keys: str, tiny: float = 1e-12) -> DataFrame:
     """Median and quartiles; the scale is the quartile range, else the population deviation, else 1."""
     v = S.number(F.col(value))
-    q = df.groupBy(*keys).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_pop(v).alias("sd"), F.count(v).alias("n"))
+    q = _quartiles(df, v, keys, F.stddev_pop(v).alias("_sd"))
     iqr = F.get("q", 2) - F.get("q", 0)
-    scale = F.when(iqr > tiny, iqr).when(F.col("sd") > tiny, F.col("sd")).otherwise(1.0)
-    return q.select(*keys, "n", F.get("q", 1).alias("center"), F.get("q", 0).alias("q25"), F.get("q", 2).alias("q75"), scale.alias("scale"))
+    scale = F.when(iqr > tiny, iqr).when(F.col("_sd") > tiny, F.col("_sd")).otherwise(1.0)
+    return q.select(*keys, F.col("finite").alias("n"), F.get("q", 1).alias("center"), F.get("q", 0).alias("q25"), F.get("q", 2).alias("q75"), scale.alias("scale"))
 
 
 def fit_ladder(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Center and scale by a ladder: quartile range, 1.4826 times the median deviation, sample deviation, 1; with the
     rung taken. Two aggregations: deviations need the medians first."""
     v = S.number(F.col(value))
-    first = df.groupBy(*keys).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_samp(v).alias("sd"), F.count(v).alias("finite"), F.count("*").alias("rows"))
-    off = df.join(F.broadcast(first.select(*keys, F.get("q", 1).alias("_m"))) if not keys else first.select(*keys, F.get("q", 1).alias("_m")), list(keys))
-    mad = off.groupBy(*keys).agg(F.percentile(F.abs(v - F.col("_m")), F.lit(0.5)).alias("mad"))
-    out = first.join(mad, list(keys))
+    first = _quartiles(df, v, keys, F.stddev_samp(v).alias("sd"), F.count("*").alias("rows"))
+    middle = first.select(*keys, F.get("q", 1).alias("_m"))
+    off = df.select(*keys, v.alias("_v")).alias("d").join(middle.alias("m"), _on("d", "m", keys)).select(*(F.col(f"d.{k}").alias(k) for k in keys), F.abs(F.col("_v") - F.col("_m")).alias("_off"))
+    mad = O.linear_quantiles(off, "_off", (0.5,), *keys).select(*keys, F.get("q", 0).alias("mad"))
+    out = first.alias("f").join(mad.alias("m"), _on("f", "m", keys), "left").select("f.*", "m.mad")
     iqr, m = F.get("q", 2) - F.get("q", 0), F.get("q", 1)
     tol = 100 * 2.220446049250313e-16 * F.greatest(F.lit(1.0), F.abs(m))
     ladder = [("iqr", iqr), ("mad", 1.4826 * F.col("mad")), ("sd", F.col("sd"))]
@@ -67,9 +81,12 @@ def fit_ladder(df: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def robust_transform(df: DataFrame, value: str, parameters: DataFrame, *keys: str) -> DataFrame:
-    """value_scaled and value_missing of every row; a missing value takes the center, which becomes 0."""
-    joined = df.join(parameters.select(*keys, "center", "scale"), list(keys), "left")
-    return joined.withColumn(f"{value}_scaled", S.robust_value(F.col(value), F.col("center"), F.col("scale"))).withColumn(f"{value}_missing", S.number(F.col(value)).isNull().cast("int")).drop("center", "scale")
+    """value_scaled and value_missing of every row; a missing value takes the center, which becomes 0. Other columns
+    stay, whatever their names."""
+    fitted = parameters.select(F.struct(*keys).alias("_key"), F.struct("center", "scale").alias("_fitted"))
+    joined = df.join(fitted, [F.col(k) == F.col(f"_key.{k}") for k in keys], "left")
+    scaled = S.robust_value(F.col(value), F.col("_fitted.center"), F.col("_fitted.scale"))
+    return joined.withColumns({f"{value}_scaled": scaled, f"{value}_missing": S.number(F.col(value)).isNull().cast("int")}).drop("_key", "_fitted")
 
 
 def ordered_counts(df: DataFrame, value: str, *keys: str, buckets: int = 64) -> DataFrame:
@@ -104,13 +121,14 @@ def higher_quantile(df: DataFrame, value: str, p: float, *keys: str) -> DataFram
     return ordered_counts(df, value, *keys).groupBy(*keys).agg(order_statistic(rank, value).alias("quantile"), F.max("n").alias("n")).where("n > 0")
 
 
-def equal_block_quantile(df: DataFrame, value: str, block: str, p: float, *keys: str) -> DataFrame:
-    """The least value at which blocks of equal mass have p of all mass."""
-    rows = df.where(F.col(value).isNotNull())
-    mass = 1.0 / F.count("*").over(Window.partitionBy(*keys, block))
-    blocks = rows.groupBy(*keys).agg(F.countDistinct(block).alias("_b"))
-    run = rows.withColumn("_m", mass).withColumn("_c", F.sum("_m").over(Window.partitionBy(*keys).orderBy(value)))
-    return run.join(blocks, list(keys)).where(F.col("_c") >= F.lit(float(p)) * F.col("_b") - 1e-9).groupBy(*keys).agg(F.min(value).alias("quantile"), F.max("_b").alias("blocks"))
+def equal_block_quantile(df: DataFrame, value: str, block: str, p: float, *keys: str, min_rows: int = 1, min_blocks: int = 1) -> DataFrame:
+    """The least value at which blocks of equal mass have p of all mass. Blocks with fewer than min_rows values do not
+    count; keys with fewer than min_blocks such blocks have no row."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, block, value)
+    kept = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, block))).where(F.col("_n") >= min_rows)
+    blocks = kept.groupBy(*keys).agg(F.countDistinct(block).alias("blocks")).where(F.col("blocks") >= min_blocks)
+    q = O.weighted_quantiles(kept, value, 1.0 / F.col("_n"), (p,), *keys)
+    return q.alias("q").join(blocks.alias("b"), _on("q", "b", keys)).select(*(F.col(f"q.{k}").alias(k) for k in keys), F.get("q.q", 0).alias("quantile"), "b.blocks")
 
 
 def population_stability(df: DataFrame, value: str, train: Column, bins: int = 10, eps: float = 1e-6) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helmwatch.operators import order_statistics as O
+
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join with a column side: both, left_only or right_only; multiple: a key is not unique on its side."""
@@ -58,25 +60,24 @@ def hash_folds(assets: DataFrame, asset: str, farm: str, seed: int = 42, outer_f
 
 
 def holm(df: DataFrame, p: str, *keys: str) -> DataFrame:
-    """holm: step-down adjusted p-values within keys; a missing p stays missing and does not count."""
-    w = Window.partitionBy(*keys, F.col(p).isNull())
-    order = w.orderBy(p)
-    raw = (F.count("*").over(w) - F.row_number().over(order) + 1) * F.col(p)
-    return df.withColumn("_h", raw).withColumn("holm", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.max("_h").over(order.rowsBetween(Window.unboundedPreceding, 0))))).drop("_h")
+    """holm: step-down adjusted p-values within keys; a missing p stays missing and does not count. Equal p-values have
+    one adjusted value, so ranks and the running maximum are those of distinct values, by value ranges."""
+    ranked = O.ordered_sums(df, p, {"rows": F.lit(1)}, *keys)
+    steps = O.running_extreme(ranked, p, (F.col("rows_n") - F.col("rows_upto") + F.col("rows")) * F.col(p), *keys)
+    return O.with_ranks(df, steps, p, "rows", *keys).withColumn("holm", F.least(F.lit(1.0), F.col("_rank.extreme")) * F.when(F.col(p).isNotNull(), 1)).drop("_rank")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, *keys: str) -> DataFrame:
     """bh: step-up adjusted p-values within keys; a missing p stays missing and does not count."""
-    w = Window.partitionBy(*keys, F.col(p).isNull())
-    out = df.withColumn("_k", F.row_number().over(w.orderBy(p))).withColumn("_b", F.col(p) * F.count("*").over(w) / F.col("_k"))
-    back = w.orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("bh", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_b").over(back)))).drop("_b", "_k")
+    ranked = O.ordered_sums(df, p, {"rows": F.lit(1)}, *keys)
+    steps = O.running_extreme(ranked, p, F.col(p) * F.col("rows_n") / F.col("rows_upto"), *keys, least_above=True)
+    return O.with_ranks(df, steps, p, "rows", *keys).withColumn("bh", F.least(F.lit(1.0), F.col("_rank.extreme")) * F.when(F.col(p).isNotNull(), 1)).drop("_rank")
 
 
 def empirical_p(observed: DataFrame, null: DataFrame, value: str, *keys: str) -> DataFrame:
-    """p = (1 + null values at or above) / (n + 1) for each observed row, by ranking both together: no pair is made."""
-    both = observed.withColumn("_o", F.lit(1)).unionByName(null.withColumn("_o", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys)
-    at_or_above = F.sum(1 - F.col("_o")).over(w.orderBy(F.desc(value)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    out = both.withColumn("_a", at_or_above).withColumn("_n", F.sum(1 - F.col("_o")).over(w))
-    return out.where("_o = 1").withColumn("p", (1 + F.col("_a")) / (F.col("_n") + 1)).drop("_o", "_a", "_n")
+    """p = (1 + null values at or above) / (n + 1) for each observed row, by the ranks of both together: no pair is
+    made, and no task holds all values of a key. Without null values p is 1."""
+    both = observed.select(*keys, value, F.lit(0).alias("_null")).unionByName(null.select(*keys, value, F.lit(1).alias("_null")))
+    ranked = O.ordered_sums(both, value, {"null": F.col("_null")}, *keys)
+    r = F.col("_rank")
+    return O.with_ranks(observed, ranked, value, "null", *keys).withColumn("p", (1 + r["n"] - r["upto"] + r["own"]) / (r["n"] + 1)).drop("_rank")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helmwatch.functions import scalars as S
+from helmwatch.operators import order_statistics as O
 from helmwatch.operators import quality as A
 from helmwatch.sources.tables import CHANNELS, SCADA_SQL, scada, table
 
@@ -127,7 +128,8 @@ def ag15_higher_quantile(spark, sf_dir):
 
 
 def ag16_q90(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.9)), 5).alias("q90"), F.round(F.percentile("value", F.lit(0.5)), 5).alias("median"))
+    q = O.linear_quantiles(table(spark, sf_dir, "events"), "value", (0.9, 0.5), "event_type")
+    return q.select("event_type", F.round(F.get("q", 0), 5).alias("q90"), F.round(F.get("q", 1), 5).alias("median"))
 
 
 def ag17_pivot(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helmwatch.functions import scalars as S
 from helmwatch.operators import evaluation as E
+from helmwatch.operators import order_statistics as O
 from helmwatch.operators import relations as R
 from helmwatch.operators import sequence as Q
 from helmwatch.plans.evaluation_queries import _intervals, _res_sql, _residuals, _rows, _rows_sql
@@ -23,7 +24,8 @@ def ag4_farm_rollup(spark, sf_dir):
 
 def ag7_medians(spark, sf_dir):
     s = scada(spark, sf_dir).where(fit())
-    return s.groupBy("case_key").agg(*(F.round(F.percentile(c, F.lit(0.5)), 5).alias(c) for c in CHANNELS))
+    q = O.linear_quantiles(s.unpivot("case_key", list(CHANNELS), "channel", "value"), "value", (0.5,), "case_key", "channel")
+    return q.groupBy("case_key").agg(*(F.round(F.max(F.when(F.col("channel") == c, F.get("q", 0))), 5).alias(c) for c in CHANNELS))
 
 
 def ag10_feature_gate(spark, sf_dir):

@@ -139,3 +139,27 @@ def test_walk_is_the_same_over_any_batches(spark, chain):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert got == want and want
+
+
+def test_adjusted_p_values_with_ties_over_many_ranges(spark):
+    from helmwatch.operators import relations as R
+
+    rng = np.random.default_rng(2)
+    p = [float(x) for x in np.round(rng.random(3000) ** 3, 3)]
+    df = spark.createDataFrame([(i, "hot", x, 7) for i, x in enumerate(p)] + [(9001, "hot", None, 7), (9002, None, 0.2, 7)], "i int, k string, p double, rows int").repartition(6)
+    got = {r["i"]: (r["holm"], r["bh"]) for r in R.benjamini_hochberg(R.holm(df, "p", "k"), "p", "k").collect()}
+    order = np.argsort(p, kind="stable")
+    s, m = np.array(p)[order], len(p)
+    holm = np.minimum(1, np.maximum.accumulate((m - np.arange(m)) * s))
+    bh = np.minimum(1, np.minimum.accumulate((s * m / np.arange(1, m + 1))[::-1])[::-1])
+    assert all(np.isclose(got[int(i)][0], h) and np.isclose(got[int(i)][1], b) for i, h, b in zip(order, holm, bh, strict=True))
+    assert got[9001] == (None, None) and got[9002] == (0.2, 0.2)
+
+
+def test_transform_keeps_columns_with_the_parameters_names(spark):
+    from helmwatch.operators import quality as A
+
+    df = spark.createDataFrame([("a", 1.0, 5, "x"), ("a", 3.0, 6, "y"), ("a", None, 7, "z")], "k string, v double, center int, scale string")
+    out = A.robust_transform(df, "v", A.robust_parameters(df, "v", "k"), "k")
+    assert out.columns == ["k", "v", "center", "scale", "v_scaled", "v_missing"]
+    assert sorted((r["center"], r["scale"], r["v_scaled"], r["v_missing"]) for r in out.collect()) == [(5, "x", -1.0, 0), (6, "y", 1.0, 0), (7, "z", 0.0, 1)]
