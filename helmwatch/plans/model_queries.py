@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helmwatch.operators import bearing as B
+from helmwatch.operators import crossfit as X
 from helmwatch.operators import quality as A
 from helmwatch.operators import ridge as G
 from helmwatch.operators import sequence as Q
 from helmwatch.plans.quality_queries import FIT_SQL, fit
 from helmwatch.plans.sequence_queries import FOLDS_SQL, folded
+from helmwatch.sources.files import kept
 from helmwatch.sources.tables import table
 
 #: Parts as bearings: balls, ball and pitch diameter, contact angle.
@@ -56,6 +58,49 @@ def ml10_ml14_uncertainty(spark, sf_dir):
     return out.where("residual IS NOT NULL").select("case_key", "ts", F.round("residual", 4).alias("residual"), F.round("aleatoric", 4).alias("aleatoric"), F.round("total", 4).alias("total"), F.round(F.abs("residual") / F.nullif(F.col("total"), F.lit(0.0)), 4).alias("score"))
 
 
+_TARGETS = ("purchase", "signup", "view")
+_MIN = 15
+
+
+def _training(spark: SparkSession, sf_dir: str, *drivers: str) -> DataFrame:
+    rows = Q.embargo_bits(folded(spark, sf_dir), width=6)
+    rows = rows.select("case_key", "ts", "row_id", "fold_id", X.training_bits(fit(), F.col("embargo_bits"), 5).alias("train_bits"), F.array(*drivers).alias("drivers"), F.array(*_TARGETS).alias("targets"))
+    return kept(rows, "training-rows")
+
+
+def _fitted(spark: SparkSession, sf_dir: str):
+    """One driver, linear: rows with their design, states, masks and all solutions."""
+    rows, states = X.scaled_design(_training(spark, sf_dir, "click"), X.Design(("click",), nonlinear=False), 5, kept=kept)
+    rows = kept(rows, "designed-rows")
+    masks = kept(X.observation_masks(rows, 5), "masks")
+    return rows, states, masks, kept(X.solve_grams(X.grams(rows, masks, 1), min_rows=_MIN), "solutions")
+
+
+def ml1_design(spark, sf_dir):
+    """Two drivers with indicators, squares and their product: center and scale of every term, fold by fold."""
+    design = X.Design(("click", "view"), ("click", "view"))
+    states = X.scaled_design(_training(spark, sf_dir, "click", "view"), design, 5, kept=kept)[1]
+    long = states.select("case_key", F.posexplode("term_state").alias("k", "_t")).select("case_key", "k", F.posexplode("_t").alias("i", "_t"))
+    names = F.array(*map(F.lit, design.names()))
+    return long.select("case_key", "k", F.get(names, F.col("i")).alias("term"), (F.round("_t.center", 5) + 0.0).alias("center"), F.round("_t.scale", 5).alias("scale"))
+
+
+def ml3_masks(spark, sf_dir):
+    return _fitted(spark, sf_dir)[2]
+
+
+def ml5_clipped(spark, sf_dir):
+    rows, _, _, solved = _fitted(spark, sf_dir)
+    e = X.penalty_errors(rows, solved)
+    return e.select("case_key", "observations", "selected", F.posexplode("errors").alias("penalty", "error")).withColumn("error", F.round("error", 6))
+
+
+def ml6_masked_r2(spark, sf_dir):
+    rows, states, _, solved = _fitted(spark, sf_dir)
+    r2 = X.held_out_r2(rows, solved, X.penalty_errors(rows, solved), states, _MIN)
+    return r2.withColumn("r2", F.round("r2", 6))
+
+
 def b3_orders(spark, sf_dir):
     g = _geometry(spark, sf_dir)
     return g.select("bearing", *(F.round(c, 6).alias(k) for k, c in B.characteristic_orders(F.col("n"), F.col("d"), F.col("p"), F.col("a")).items()))
@@ -99,7 +144,32 @@ def ag29_clopper_pearson(spark, sf_dir):
     return o.join(limits, ["k", "n"]).select("o_custkey", "k", "n", F.round("c.lower", 6).alias("lower"), F.round("c.upper", 6).alias("upper"))
 
 
+_scale = lambda iqr, sd: f"CASE WHEN {iqr} > 1e-12 THEN {iqr} WHEN {sd} > 1e-7 THEN {sd} END"
+_TR_SQL = f"""{FOLDS_SQL}, ks(k) AS (VALUES (0), (1), (2), (3), (4)), em AS (SELECT f.*, k, max((fold_id = k)::INT) OVER (PARTITION BY case_key, segment_id, k ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS m FROM folds f, ks),
+ fitted AS (SELECT * FROM folds WHERE train_test = 'train' AND status_type_id IN (0, 2)),
+ tr AS (SELECT case_key, ts, row_id, k, click, view, purchase, signup FROM em WHERE m = 0 AND train_test = 'train' AND status_type_id IN (0, 2) UNION ALL SELECT case_key, ts, row_id, 5, click, view, purchase, signup FROM fitted),
+ md AS (SELECT case_key, k, median(click) AS mc, median(view) AS mv FROM tr GROUP BY ALL),
+ fl AS (SELECT tr.*, mc, mv, coalesce(click, mc) AS c, coalesce(view, mv) AS v FROM tr JOIN md USING (case_key, k)),
+ ds AS (SELECT case_key, k, any_value(mc) AS mc, any_value(mv) AS mv, coalesce({_scale("quantile_cont(c, 0.75) - quantile_cont(c, 0.25)", "stddev_pop(c)")}, 1) AS sc, coalesce({_scale("quantile_cont(v, 0.75) - quantile_cont(v, 0.25)", "stddev_pop(v)")}, 1) AS sv FROM fl GROUP BY ALL),
+ zz AS (SELECT fl.*, (c - ds.mc) / sc AS zc, (v - ds.mv) / sv AS zv FROM fl JOIN ds USING (case_key, k))"""
+_CF_SQL = f"""{_TR_SQL}, tm AS (SELECT case_key, k, median(zc) AS tc, {_scale("quantile_cont(zc, 0.75) - quantile_cont(zc, 0.25)", "stddev_pop(zc)")} AS ts_ FROM zz GROUP BY ALL),
+ yl AS (SELECT case_key, row_id, k, zc, t.target, CASE t.target WHEN 0 THEN purchase WHEN 1 THEN signup ELSE view END AS y FROM zz, (VALUES (0), (1), (2)) t(target)),
+ ys AS (SELECT case_key, k, target, median(y) AS yc, {_scale("quantile_cont(y, 0.75) - quantile_cont(y, 0.25)", "stddev_pop(y)")} AS sy, count(y) AS observed FROM yl GROUP BY ALL),
+ xy AS (SELECT yl.case_key, yl.row_id, yl.k, yl.target, CASE WHEN ts_ IS NULL THEN 0 ELSE (zc - tc) / ts_ END AS x, (y - yc) / sy AS y FROM yl JOIN tm ON tm.case_key = yl.case_key AND tm.k = yl.k JOIN ys ON ys.case_key = yl.case_key AND ys.k = yl.k AND ys.target = yl.target WHERE y IS NOT NULL AND sy IS NOT NULL),
+ mo AS (SELECT case_key, k, target, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(y, x) * count(*) AS sxy, var_pop(x) * count(*) AS sxx FROM xy GROUP BY ALL HAVING count(*) >= {_MIN}),
+ va AS (SELECT f.case_key, f.row_id, f.fold_id AS k, t.target, CASE WHEN ts_ IS NULL THEN 0 ELSE ((coalesce(click, mc) - mc) / sc - tc) / ts_ END AS x, (CASE t.target WHEN 0 THEN purchase WHEN 1 THEN signup ELSE view END - yc) / sy AS y, sy
+   FROM fitted f CROSS JOIN (VALUES (0), (1), (2)) t(target) JOIN ds ON ds.case_key = f.case_key AND ds.k = f.fold_id JOIN tm ON tm.case_key = f.case_key AND tm.k = f.fold_id JOIN ys ON ys.case_key = f.case_key AND ys.k = f.fold_id AND ys.target = t.target),
+ er AS (SELECT va.case_key, va.target, penalty, sy, va.y, va.y - my - sxy / (sxx + lam) * (va.x - mx) AS off, my FROM va JOIN mo USING (case_key, k, target), (VALUES {", ".join(f"({j}, {v!r}::DOUBLE)" for j, v in enumerate(G.PENALTIES))}) l(penalty, lam) WHERE va.y IS NOT NULL),
+ pe AS (SELECT case_key, penalty, count(*) AS observations, avg(greatest(-10, least(10, off)) ** 2) AS error FROM er GROUP BY ALL),
+ se AS (SELECT case_key, max(penalty) AS selected FROM (SELECT *, min(error) OVER (PARTITION BY case_key) AS least FROM pe) WHERE error <= least * (1 + 1e-12) + 1e-12 GROUP BY 1)"""
+
 QUERIES = {
+    "ml1_pr18_pr19_design": (ml1_design, f"""WITH {_TR_SQL}, te AS (SELECT case_key, k, t.term, CASE t.term WHEN 'linear::click' THEN zc WHEN 'linear::view' THEN zv WHEN 'missing::click' THEN (click IS NULL)::INT WHEN 'missing::view' THEN (view IS NULL)::INT WHEN 'quadratic::click' THEN zc * zc WHEN 'quadratic::view' THEN zv * zv ELSE zc * zv END AS x
+        FROM zz, (VALUES ('linear::click'), ('linear::view'), ('missing::click'), ('missing::view'), ('quadratic::click'), ('quadratic::view'), ('interaction::click*view')) t(term))
+      SELECT case_key, k, term, round(median(x), 5) + 0.0 AS center, round({_scale("quantile_cont(x, 0.75) - quantile_cont(x, 0.25)", "stddev_pop(x)")}, 5) AS scale FROM te GROUP BY ALL"""),
+    "ml3_shared_masks": (ml3_masks, f"""WITH {_CF_SQL}, rl AS (SELECT case_key, k, target, count(*) AS observed, string_agg(row_id, ',' ORDER BY row_id) AS rows FROM xy GROUP BY ALL) SELECT case_key, k, target, min(target) OVER (PARTITION BY case_key, k, rows) AS mask_id, observed FROM rl"""),
+    "ml5_ml8_clipped_penalties": (ml5_clipped, f"WITH {_CF_SQL} SELECT case_key, observations, selected, penalty, round(error, 6) AS error FROM pe JOIN se USING (case_key)"),
+    "ml6_masked_r2": (ml6_masked_r2, f"""WITH {_CF_SQL} SELECT case_key, target, count(*) AS n, round(CASE WHEN count(*) >= {_MIN} AND sum((y - my) ** 2 * sy * sy) > 1e-12 THEN 1 - sum(off ** 2 * sy * sy) / sum((y - my) ** 2 * sy * sy) END, 6) AS r2 FROM er JOIN se ON se.case_key = er.case_key AND se.selected = er.penalty GROUP BY ALL""".replace("SELECT case_key, target, count(*) AS n", "SELECT er.case_key, target, count(*) AS n")),
     "ml5_ml6_penalties": (ml5_ml6_penalties, f"""WITH {FOLDS_SQL}, x AS (SELECT f.*, k.k AS fold, max((fold_id = k.k)::INT) OVER (PARTITION BY case_key, segment_id, k.k ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS m FROM folds f, (SELECT unnest([0,1,2,3,4]) AS k) k),
       y AS (SELECT * FROM x WHERE {FIT_SQL} AND click IS NOT NULL AND purchase IS NOT NULL), t AS (SELECT case_key, fold, avg(click) AS mx, avg(purchase) AS my, var_pop(click) * count(*) AS sxx, covar_pop(purchase, click) * count(*) AS sxy FROM y WHERE m = 0 GROUP BY ALL),
       e AS (SELECT y.case_key, p AS penalty, power(purchase - my - sxy / (sxx + p) * (click - mx), 2) AS e FROM y JOIN t ON t.case_key = y.case_key AND t.fold = y.fold AND y.fold_id = y.fold, (SELECT unnest({list(G.PENALTIES)}::DOUBLE[]) AS p))
