@@ -93,6 +93,21 @@ def poisson_bootstrap(assets: DataFrame, key: str, numerator: str, denominator:
     return drawn.withColumn("w", weight).groupBy("replicate").agg((F.sum(F.col("w") * F.col(numerator)) / F.nullif(F.sum(F.col("w") * F.col(denominator)), F.lit(0))).alias("ratio"))
 
 
+def cluster_bootstrap(clusters: DataFrame, key: str, sums: tuple[str, ...], replicates: int, seed: int) -> DataFrame:
+    """(replicate and the sums): every replicate draws as many clusters as there are, with replacement. Draw j of a
+    replicate is the cluster at the place given by the hash of seed, replicate and j, modulo their number, in the order
+    of their keys; so replicates repeat anywhere. Draws are counted by replicate and place before they meet the
+    clusters' sums; the clusters are not copied."""
+    spark = clusters.sparkSession
+    places = clusters.select((F.row_number().over(Window.orderBy(key)) - 1).alias("_place"), *sums)  # one row a cluster
+    n = places.count()
+    draw, replicate = F.col("id") % F.lit(max(n, 1)), F.floor(F.col("id") / F.lit(max(n, 1)))
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), draw.cast("string")), 256)
+    drawn = spark.range(replicates * n).select(replicate.alias("replicate"), (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % F.lit(max(n, 1))).alias("_place"))
+    weights = drawn.groupBy("replicate", "_place").agg(F.count("*").alias("_w"))
+    return weights.join(places, "_place").groupBy("replicate").agg(*(F.sum(F.col("_w") * F.col(c)).alias(c) for c in sums))
+
+
 def fold_excluded_quantile(df: DataFrame, value: str, fold: str, p: float, folds: int, *keys: str) -> DataFrame:
     """For every fold the higher quantile of the other folds' values, and the fold's share at or below it. All
     complements come from one aggregation of the values by fold."""

@@ -17,11 +17,26 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys, "full_outer").withColumn("side", side).withColumn("multiple", multiple).drop("_l", "_r")
 
 
-def in_intervals(rows: DataFrame, intervals: DataFrame, key: str = "case_key", ts: str = "ts") -> DataFrame:
-    """in_event: whether a row's time lies in an interval (start, end) of its key. Each row stays one row."""
-    spans = intervals.groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    hit = F.exists("_spans", lambda s: (F.col(ts) >= s["start"]) & (F.col(ts) <= s["end"]))
-    return rows.join(spans, key, "left").withColumn("in_event", F.coalesce(hit, F.lit(False))).drop("_spans")
+def merged_spans(intervals: DataFrame, key: str) -> DataFrame:
+    """(key, start, end): intervals that overlap or touch as one, so that no two spans of a key share a time."""
+    w = Window.partitionBy(key).orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = intervals.where(F.col("start") <= F.col("end")).withColumn("_new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    return begins.withColumn("_span", F.sum("_new").over(w)).groupBy(key, "_span").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_span")
+
+
+def in_intervals(rows: DataFrame, intervals: DataFrame, key: str = "case_key", ts: str = "ts", bucket_seconds: int = 86_400) -> DataFrame:
+    """in_event: whether a row's time lies in an interval (start, end) of its key. Each row stays one row.
+
+    Spans of merged intervals are dealt to buckets of time and met there by key and bucket; a row can lie in one span
+    only, so the join keeps rows. A key may have any number of intervals: a bucket sees its own alone."""
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    bucket = lambda c: F.floor(F.timestamp_diff("SECOND", epoch, c.cast("timestamp_ntz")) / bucket_seconds)
+    spans = merged_spans(intervals.select(key, "start", "end"), key)
+    index = spans.select(F.col(key).alias("_key"), "start", "end", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))).alias("_at")).select(F.struct("_key", "_at", "start", "end").alias("_span"))
+    inside = (F.col(ts) >= F.col("_span.start")) & (F.col(ts) <= F.col("_span.end"))
+    joined = rows.join(index, (F.col(key) == F.col("_span._key")) & (bucket(F.col(ts)) == F.col("_span._at")) & inside, "left")
+    return joined.withColumn("in_event", F.col("_span").isNotNull()).drop("_span")
 
 
 def others(assets: DataFrame, key: str, most: int = 10_000) -> DataFrame:

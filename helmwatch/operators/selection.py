@@ -15,18 +15,27 @@ MODELABILITY = (0.0, 0.1, 0.3)
 ALPHAS = (0.02, 0.05, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50, 0.60)
 
 
+def refused(wrong: Column, message: str) -> Column:
+    """A condition for a filter: true for every row, but a row that is wrong fails the query. Unlike a check in a
+    column it can not be pruned with the column."""
+    return F.when(wrong, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+
+
 def left_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join that keeps every left row once: a key that occurs twice on the right fails the query."""
+    """Left join that keeps every left row once: a key of the left side that occurs twice on the right fails the query,
+    whatever is read of its result."""
     rest = [c for c in right.columns if c not in keys]
+    message = "a key of the right side is not unique"
     one = right.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in rest))
-    checked = one.select(*keys, *(F.when(F.col("_n") > 1, F.raise_error("a key of the right side is not unique").cast(right.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in rest))
-    return left.join(checked, keys, "left")
+    checked = one.where(refused(F.col("_n") > 1, message))
+    # The second filter reads a column of the right side, so that the join stays when no other column of it is read.
+    return left.join(checked, keys, "left").where(refused(F.coalesce("_n", F.lit(1)) > 1, message)).drop("_n")
 
 
 def with_assignment(rows: DataFrame, assignment: DataFrame, key: str, column: str) -> DataFrame:
     """rows with their key's assignment; a row whose key has none fails the query."""
     joined = rows.join(assignment.select(key, column), key, "left")
-    return joined.withColumn(column, F.when(F.col(column).isNull(), F.raise_error("a key has no assignment").cast(assignment.schema[column].dataType)).otherwise(F.col(column)))
+    return joined.where(refused(F.col(column).isNull(), "a key has no assignment"))
 
 
 def masked_means(df: DataFrame, mask: Column, columns: tuple[str, ...], *keys: str) -> DataFrame:

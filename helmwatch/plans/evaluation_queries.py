@@ -175,6 +175,14 @@ def ml38_bootstrap(spark, sf_dir):
     return b.agg(F.count("ratio").alias("finite"), F.round(F.percentile("ratio", F.lit(0.025)), 6).alias("lower"), F.round(F.percentile("ratio", F.lit(0.975)), 6).alias("upper"))
 
 
+def ml38_multinomial(spark, sf_dir):
+    """Limits of precision and F-beta over 10,000 draws of n of n assets."""
+    b = E.cluster_bootstrap(ag23_sufficient(spark, sf_dir), "asset", ("tp", "fp", "fn"), 10_000, 17)
+    b = b.select((F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0))).alias("precision"), S.f_beta(F.col("tp"), F.col("fp"), F.col("fn")).alias("f_beta"))
+    limits = [F.round(F.percentile(m, F.lit(p)), 6).alias(f"{m}_{n}") for m in ("precision", "f_beta") for n, p in (("lower", 0.025), ("middle", 0.5), ("upper", 0.975))]
+    return b.agg(F.count("precision").alias("finite"), *limits)
+
+
 def _residuals(spark, sf_dir):
     """Residuals of extended price on quantity, per return flag, by ridge lines."""
     li = table(spark, sf_dir, "lineitem")
@@ -271,6 +279,10 @@ QUERIES = {
     "ag23_sufficient": (ag23_sufficient, f"WITH {_metric_sql} SELECT asset, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, count(*) AS configurations FROM m GROUP BY 1"),
     "ml38_bootstrap": (ml38_bootstrap, f"""WITH {_metric_sql}, a AS (SELECT asset, sum(tp) AS num, sum(tp + fp) AS den FROM m GROUP BY 1), d AS (SELECT num, den, r.r, ('0x' || sha256(asset || '|' || r.r)[1:8])::BIGINT / 4294967296.0::DOUBLE AS u FROM a, range(200) r(r)),
       b AS (SELECT r, sum(w * num) / nullif(sum(w * den), 0) AS ratio FROM (SELECT *, {_poisson} AS w FROM d) GROUP BY 1) SELECT count(ratio) AS finite, round(quantile_cont(ratio, 0.025), 6) AS lower, round(quantile_cont(ratio, 0.975), 6) AS upper FROM b"""),
+    "ml38_multinomial": (ml38_multinomial, f"""WITH {_metric_sql}, a AS (SELECT asset, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM m GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY asset) - 1 AS place, count(*) OVER () AS n FROM a),
+      d AS (SELECT r.r, ('0x' || sha256('17|' || r.r || '|' || j.place)[1:12])::BIGINT % j.n AS place FROM p j, range(10000) r(r)), b AS (SELECT r, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM d JOIN p USING (place) GROUP BY 1),
+      q AS (SELECT tp / nullif(tp + fp, 0) AS precision, {_fb("tp", "fp", "fn")} AS f_beta FROM b)
+      SELECT count(precision) AS finite, {", ".join(f"round(quantile_cont({m}, {v}), 6) AS {m}_{n}" for m in ("precision", "f_beta") for n, v in (("lower", 0.025), ("middle", 0.5), ("upper", 0.975)))} FROM q"""),
     "ml4_ml6_ridge": (ml4_ridge, f"WITH {_ridge_sql} SELECT l_returnflag, n, round(slope, 4) AS slope, round(my - slope * mx, 3) AS intercept, round(1 - (syy - 2 * slope * sxy + slope * slope * sxx) / syy, 6) AS r2 FROM f"),
     "ml11_leverage": (ml11_leverage, "WITH p AS (SELECT s_nationkey, count(*) AS n, avg(s_acctbal) AS m, var_pop(s_acctbal) * count(*) AS sxx FROM supplier GROUP BY 1) SELECT s_suppkey, round(1 / n + (s_acctbal - m) ^ 2 / (sxx + 1), 6) AS leverage FROM supplier JOIN p USING (s_nationkey)"),
     "ml16_ml17_ml19_blocks": (ml16_ml19_blocks, f"""WITH {_res_sql}, b AS (SELECT l_returnflag, block, max(score) AS m, count(*) AS n, avg((score <= 2)::INT) AS c FROM r GROUP BY ALL)

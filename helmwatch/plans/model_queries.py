@@ -10,6 +10,7 @@ from helmwatch.operators import crossfit as X
 from helmwatch.operators import quality as A
 from helmwatch.operators import ridge as G
 from helmwatch.operators import sequence as Q
+from helmwatch.operators import spectral as P
 from helmwatch.plans.quality_queries import FIT_SQL, fit
 from helmwatch.plans.sequence_queries import FOLDS_SQL, folded
 from helmwatch.sources.files import kept
@@ -101,6 +102,31 @@ def ml6_masked_r2(spark, sf_dir):
     return r2.withColumn("r2", F.round("r2", 6))
 
 
+def _spectral(spark, sf_dir):
+    """A constant and one driver, three responses in deviations of the fit rows."""
+    rows = Q.embargo_bits(folded(spark, sf_dir), width=6).withColumn("train_bits", X.training_bits(fit(), F.col("embargo_bits"), 5))
+    on = rows.where(fit())
+    center = on.groupBy("case_key").agg(F.median("click").alias("_m"), *(c for t in _TARGETS for c in (F.avg(t).alias(f"{t}_mean"), F.stddev_pop(t).alias(f"{t}_sd"))))
+    filled = on.join(center.select("case_key", "_m"), "case_key").groupBy("case_key").agg(F.avg(F.coalesce("click", "_m")).alias("_mean"), F.stddev_pop(F.coalesce("click", "_m")).alias("_sd"))
+    joined = rows.join(center, "case_key").join(filled, "case_key")
+    z = P.standardised(F.col("click"), F.col("_m"), F.col("_mean"), F.col("_sd"))
+    y = F.array(*((F.col(t) - F.col(f"{t}_mean")) / F.col(f"{t}_sd") for t in _TARGETS))
+    rows = kept(joined.select("case_key", "ts", "fold_id", "train_bits", F.array(F.lit(1.0), z).alias("phi"), y.alias("responses")), "spectral-rows")
+    return rows, kept(P.solve_path(P.fold_grams(rows, 2, 3, 5)), "spectral-path")
+
+
+def ml49_path(spark, sf_dir):
+    rows, solved = _spectral(spark, sf_dir)
+    c = P.choose_penalty(rows, solved, 3)
+    return c.select("case_key", "penalty", F.posexplode(F.arrays_zip("r2", "sd")).alias("response", "_v")).select("case_key", "penalty", "response", F.round("_v.r2", 6).alias("r2"), F.round("_v.sd", 6).alias("sd"))
+
+
+def ml49_scores(spark, sf_dir):
+    rows, solved = _spectral(spark, sf_dir)
+    out = P.path_scores(rows, solved, P.choose_penalty(rows, solved, 3), 5)
+    return out.select("case_key", "ts", F.round("leverage", 8).alias("leverage"), F.posexplode("scores").alias("response", "score")).where("score IS NOT NULL").withColumn("score", F.round("score", 5))
+
+
 def b3_orders(spark, sf_dir):
     g = _geometry(spark, sf_dir)
     return g.select("bearing", *(F.round(c, 6).alias(k) for k, c in B.characteristic_orders(F.col("n"), F.col("d"), F.col("p"), F.col("a")).items()))
@@ -144,6 +170,17 @@ def ag29_clopper_pearson(spark, sf_dir):
     return o.join(limits, ["k", "n"]).select("o_custkey", "k", "n", F.round("c.lower", 6).alias("lower"), F.round("c.upper", 6).alias("upper"))
 
 
+_SP_SQL = f"""{FOLDS_SQL}, ks(k) AS (VALUES (0), (1), (2), (3), (4)), em AS (SELECT f.*, k, max((fold_id = k)::INT) OVER (PARTITION BY case_key, segment_id, k ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS m FROM folds f, ks),
+ on_ AS (SELECT * FROM folds WHERE train_test = 'train' AND status_type_id IN (0, 2)), ce AS (SELECT case_key, median(click) AS m, avg(purchase) AS m0, stddev_pop(purchase) AS s0, avg(signup) AS m1, stddev_pop(signup) AS s1, avg(view) AS m2, stddev_pop(view) AS s2 FROM on_ GROUP BY 1),
+ fi AS (SELECT case_key, avg(coalesce(click, m)) AS mz, stddev_pop(coalesce(click, m)) AS sz FROM on_ JOIN ce USING (case_key) GROUP BY 1),
+ al AS (SELECT f.case_key, f.ts, f.fold_id, train_test = 'train' AND status_type_id IN (0, 2) AS fit, greatest(-8, least(8, (coalesce(click, m) - mz) / sz)) AS z, t.response, CASE response WHEN 0 THEN (purchase - m0) / s0 WHEN 1 THEN (signup - m1) / s1 ELSE (view - m2) / s2 END AS y FROM folds f JOIN ce USING (case_key) JOIN fi USING (case_key), (VALUES (0), (1), (2)) t(response)),
+ tr AS (SELECT al.*, em.k FROM al JOIN em ON em.case_key = al.case_key AND em.ts = al.ts WHERE em.m = 0 AND al.fit UNION ALL SELECT al.*, 5 FROM al WHERE fit),
+ gm AS (SELECT case_key, k, response, count(*)::DOUBLE AS a, sum(z) AS b, sum(z * z) AS c, sum(coalesce(y, 0)) AS u, sum(z * coalesce(y, 0)) AS v FROM tr GROUP BY ALL),
+ pa(j, l) AS (VALUES {", ".join(f"({j}, {v!r}::DOUBLE)" for j, v in enumerate(P.PATH))}),
+ co AS (SELECT case_key, k, response, j, ((c + l) * u - b * v) / ((a + l) * (c + l) - b * b) AS c0, ((a + l) * v - b * u) / ((a + l) * (c + l) - b * b) AS c1, a, b, c, l FROM gm, pa),
+ he AS (SELECT al.case_key, al.response, j, al.y, al.y - c0 - c1 * z AS off FROM al JOIN co ON co.case_key = al.case_key AND co.response = al.response AND co.k = al.fold_id WHERE fit AND al.y IS NOT NULL),
+ rr AS (SELECT case_key, response, j, 1 - sum(off * off) / (var_pop(y) * count(*)) AS r2, greatest(stddev_pop(off), 1e-6) AS sd FROM he GROUP BY ALL),
+ ch AS (SELECT case_key, j AS penalty FROM (SELECT case_key, j, median(r2) AS md FROM rr GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY case_key ORDER BY md DESC, j) = 1)"""
 _scale = lambda iqr, sd: f"CASE WHEN {iqr} > 1e-12 THEN {iqr} WHEN {sd} > 1e-7 THEN {sd} END"
 _TR_SQL = f"""{FOLDS_SQL}, ks(k) AS (VALUES (0), (1), (2), (3), (4)), em AS (SELECT f.*, k, max((fold_id = k)::INT) OVER (PARTITION BY case_key, segment_id, k ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS m FROM folds f, ks),
  fitted AS (SELECT * FROM folds WHERE train_test = 'train' AND status_type_id IN (0, 2)),
@@ -164,6 +201,10 @@ _CF_SQL = f"""{_TR_SQL}, tm AS (SELECT case_key, k, median(zc) AS tc, {_scale("q
  se AS (SELECT case_key, max(penalty) AS selected FROM (SELECT *, min(error) OVER (PARTITION BY case_key) AS least FROM pe) WHERE error <= least * (1 + 1e-12) + 1e-12 GROUP BY 1)"""
 
 QUERIES = {
+    "ml49_spectral_path": (ml49_path, f"WITH {_SP_SQL} SELECT case_key, penalty, response, round(r2, 6) AS r2, round(sd, 6) AS sd FROM rr JOIN ch USING (case_key) WHERE j = penalty"),
+    "ml49_spectral_scores": (ml49_scores, f"""WITH {_SP_SQL}, iv AS (SELECT co.*, sd, (c + l) / ((a + l) * (c + l) - b * b) AS p, -b / ((a + l) * (c + l) - b * b) AS q, (a + l) / ((a + l) * (c + l) - b * b) AS r FROM co JOIN ch USING (case_key) JOIN rr USING (case_key, response, j) WHERE j = penalty AND k = 5),
+      hh AS (SELECT al.case_key, al.ts, al.response, al.y - c0 - c1 * z AS off, sd, (p + q * z) * (p + q * z) * a + 2 * (p + q * z) * (q + r * z) * b + (q + r * z) * (q + r * z) * c AS h FROM al JOIN iv ON iv.case_key = al.case_key AND iv.response = al.response WHERE al.y IS NOT NULL)
+      SELECT case_key, ts, response, round(h, 8) AS leverage, round(abs(off) / (sd * sqrt(1 + h)), 5) AS score FROM hh"""),
     "ml1_pr18_pr19_design": (ml1_design, f"""WITH {_TR_SQL}, te AS (SELECT case_key, k, t.term, CASE t.term WHEN 'linear::click' THEN zc WHEN 'linear::view' THEN zv WHEN 'missing::click' THEN (click IS NULL)::INT WHEN 'missing::view' THEN (view IS NULL)::INT WHEN 'quadratic::click' THEN zc * zc WHEN 'quadratic::view' THEN zv * zv ELSE zc * zv END AS x
         FROM zz, (VALUES ('linear::click'), ('linear::view'), ('missing::click'), ('missing::view'), ('quadratic::click'), ('quadratic::view'), ('interaction::click*view')) t(term))
       SELECT case_key, k, term, round(median(x), 5) + 0.0 AS center, round({_scale("quantile_cont(x, 0.75) - quantile_cont(x, 0.25)", "stddev_pop(x)")}, 5) AS scale FROM te GROUP BY ALL"""),

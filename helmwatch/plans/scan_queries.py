@@ -31,11 +31,13 @@ def sc3_metadata(spark, sf_dir):
 
 
 def sc4_unique_file(spark, sf_dir):
-    """Of three files the one that shows the required columns."""
+    """Of the files of all regions the one that shows the required columns."""
     root = files.shared_place(spark, "candidates")
-    for k, r in enumerate(table(spark, sf_dir, "region").orderBy("r_regionkey").limit(3).collect()):
+    paths = []
+    for k, r in enumerate(table(spark, sf_dir, "region").orderBy("r_regionkey").collect()):
         files.write_text(spark, f"{root}/{k}.csv", f"{'asset,score' if k == 1 else 'note,text'}\n{r['r_regionkey']},{r['r_name']}\n")
-    path = C.select_unique(spark, [f"{root}/{k}.csv" for k in range(3)], ("asset", "score"))
+        paths.append(f"{root}/{k}.csv")
+    path = C.select_unique(spark, paths, ("asset", "score"))
     return spark.read.option("header", "true").csv(path).select(F.col("asset").cast("int").alias("asset"), "score")
 
 
@@ -61,6 +63,15 @@ def sc7_row_identity(spark, sf_dir):
     return spark.createDataFrame(out, "case_key string, numbering string")
 
 
+def sc7_split_rows(spark, sf_dir):
+    """Row numbers of order lines in files, one a status, read in splits."""
+    path = files.shared_place(spark, "numbered")
+    o = table(spark, sf_dir, "orders").select("o_orderstatus", F.concat_ws(";", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"), "o_orderkey")
+    o.repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "o_orderkey").select("o_orderstatus", "value").write.partitionBy("o_orderstatus").text(path)
+    lines = C.numbered_lines(spark, path)
+    return lines.select(F.regexp_extract("file", "o_orderstatus=(.)", 1).alias("o_orderstatus"), "line_number", F.split_part("value", F.lit(";"), F.lit(1)).cast("long").alias("o_orderkey"))
+
+
 def sc8_mapping(spark, sf_dir):
     """Events by farm, one frame keyed by its name and one by its rows, as one mapping with every key once."""
     w = C.Window.partitionBy("case_key").orderBy("ts")
@@ -72,7 +83,7 @@ def sc8_mapping(spark, sf_dir):
 
 def sc10_record_names(spark, sf_dir):
     """Records of parts by name; byte-identical copies are one, different ones conflict."""
-    p = table(spark, sf_dir, "part").where("p_partkey <= 60")
+    p = table(spark, sf_dir, "part")
     path = F.format_string("d%d/%s-%02d-%d.csv", F.col("p_partkey") % 2, F.element_at(F.array(*map(F.lit, "HIOBC")), (F.col("p_partkey") % 5 + 1).cast("int")), (F.floor(F.col("p_partkey") / 2) % 15).cast("int"), F.lit(0))
     return C.record_names(p.select(path.alias("path"), F.when(F.col("p_partkey") % 3 == 0, "x").otherwise("y").alias("sha256"))).select("record_id", "path", "conflict")
 
@@ -118,8 +129,9 @@ QUERIES = {
     "sc4_unique_file": (sc4_unique_file, "SELECT r_regionkey AS asset, r_name AS score FROM region WHERE r_regionkey = 1"),
     "sc5_sc6_discovery": (sc5_sc6_discovery, """SELECT 'Wind Farm ' || f AS farm, k AS kind, length(t) AS size_bytes, sha256(t) AS sha256 FROM (SELECT f, k, CASE k WHEN 'event' THEN 'event of ' ELSE 'features of ' END || f || chr(10) AS t FROM (SELECT unnest(['A', 'B', 'C']) AS f), (SELECT unnest(['event', 'feature']) AS k))"""),
     "sc7_row_identity": (sc7_row_identity, f"WITH {SCADA_SQL} SELECT DISTINCT case_key, CASE case_key WHEN 'Wind Farm A' THEN 'zero' WHEN 'Wind Farm B' THEN 'one' ELSE 'id' END AS numbering FROM scada"),
+    "sc7_split_rows": (sc7_split_rows, "SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS line_number, o_orderkey FROM orders"),
     "sc8_keyed_mapping": (sc8_mapping, f"WITH {SCADA_SQL} SELECT case_key AS event_key, {_w} - 1 AS source_row_index, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp FROM scada"),
-    "sc10_record_names": (sc10_record_names, """WITH p AS (SELECT 'HIOBC'[p_partkey % 5 + 1] AS c, (p_partkey // 2) % 15 AS k, p_partkey % 2 AS d, CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE 'y' END AS h FROM part WHERE p_partkey <= 60)
+    "sc10_record_names": (sc10_record_names, """WITH p AS (SELECT 'HIOBC'[p_partkey % 5 + 1] AS c, (p_partkey // 2) % 15 AS k, p_partkey % 2 AS d, CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE 'y' END AS h FROM part)
       SELECT c || '-' || k || '-0' AS record_id, min('d' || d || '/' || c || '-' || lpad(k::VARCHAR, 2, '0') || '-0.csv') AS path, min(h) <> max(h) AS conflict FROM p GROUP BY c, k"""),
     "sc11_latest_table": (sc11_latest, "SELECT r_regionkey, 'b ' || r_name AS r_name FROM region"),
     "k1_k2_write_read": (k1_k2_write, "SELECT o_orderstatus, count(*) AS orders, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY 1"),

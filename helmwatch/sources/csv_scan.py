@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helmwatch.operators.selection import refused
 from helmwatch.sources import files
 
 # What a file may be encoded in and separated by, in order of preference.
@@ -59,16 +60,29 @@ def timestamp(c: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_number, value): the lines of text files, numbered from 0 within each file. Large files are read in
+    splits; a split's lines are counted, and its first number is the count of the file's splits before it. No window
+    runs over a file's lines, only over its splits."""
+    place = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_place", place)
+    # A task reads the lines of a split one after the other, so their places follow each other.
+    splits = lines.groupBy("file", "_block").agg(F.min("_place").alias("_least"), F.count("*").alias("_lines"))
+    before = F.sum("_lines").over(Window.partitionBy("file").orderBy("_block")) - F.col("_lines")
+    first = splits.select("file", "_block", "_least", before.alias("_before"))
+    return lines.join(first, ["file", "_block"]).select("file", (F.col("_before") + F.col("_place") - F.col("_least")).alias("line_number"), "value")
+
+
 def metadata_table(spark: SparkSession, path: str, required: tuple[str, ...], max_skip: int = 19) -> DataFrame:
-    """A small table behind up to max_skip lines of preamble; rows and columns without values are dropped."""
-    lines = [r[0] or "" for r in spark.read.text(path).limit(max_skip + 1).collect()]
-    for skip, line in enumerate(lines):
+    """A small table behind up to max_skip lines of preamble; rows and columns without values are dropped. Rows are
+    those behind the header's line, whatever they hold."""
+    top = [r[0] or "" for r in spark.read.text(path).limit(max_skip + 1).collect()]
+    for skip, line in enumerate(top):
         for sep in SEPARATORS:
             names = [canonical(c.strip().strip('"')) for c in line.split(sep)]
             if all(r in names for r in required):
-                numbered = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-                rows = numbered.where(F.col("value") != line).select(F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": sep}).alias("r"), "n").where(~F.col("value").isin(*lines[:skip])).select("r.*")
-                rows = rows.na.drop("all")
+                behind = numbered_lines(spark, path).where(F.col("line_number") > skip)
+                rows = behind.select(F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": sep}).alias("r")).select("r.*").na.drop("all")
                 kept = rows.agg(*(F.count(c).alias(c) for c in rows.columns)).first()
                 return rows.select(*(c for c in rows.columns if kept[c]))
     raise ValueError(f"{path}: no header with {required}")
@@ -130,8 +144,8 @@ def keyed_mapping(frames: dict[str, DataFrame], expected: DataFrame, keys: tuple
     rest = [c for c in whole.columns if c not in keys]
     grouped = whole.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in rest))
     joined = expected.select(*keys).join(grouped, list(keys), "full_outer")
-    wrong = F.when(F.col("_n").isNull(), "a key has no row in the mapping").when(F.col("_n") > 1, "a key occurs twice in the mapping")
-    return joined.select(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("string")).otherwise(F.col(keys[0]).cast("string")).alias(keys[0]), *keys[1:], *rest)
+    checked = joined.where(refused(F.col("_n").isNull(), "a key has no row in the mapping")).where(refused(F.col("_n") > 1, "a key occurs twice in the mapping"))
+    return checked.select(F.col(keys[0]).cast("string").alias(keys[0]), *keys[1:], *rest)
 
 
 def row_identity(raw: DataFrame, manifest: DataFrame, order: str, key: str | None = None) -> str:

@@ -1,8 +1,10 @@
 """Scans, sinks and the streaming walk."""
 
 import json
-import time
+import os
+from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,19 +53,63 @@ def test_sinks(spark, tmp_path):
     assert r"a\_b" in K.latex_table(df)
 
 
-def test_streaming_walk(spark, tmp_path):
-    source = tmp_path / "in"
-    schema = "case_key string, ts timestamp, value double, alarm boolean, actionable boolean"
-    stamp = "2024-01-01 00:{:02d}:00"
-    rows = [("c", stamp.format(m), v, a, True) for m, v, a in ((0, 0.0, True), (10, 0.0, True), (20, 1.0, False), (40, 0.0, True))]
-    frame = spark.createDataFrame([(k, None, v, a, x, t) for k, t, v, a, x in rows], schema + ", t string").withColumn("ts", F.to_timestamp("t")).drop("t")
-    frame.coalesce(1).write.parquet(str(source))
-    out = criticality_stream(spark.readStream.schema(schema).parquet(str(source)))
-    query = out.writeStream.format("memory").queryName("walk").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.awaitTermination(120)
-    time.sleep(0.1)
-    got = spark.table("walk").orderBy("ts").collect()
-    assert [(r["criticality"], r["zero_run"]) for r in got] == [(1, 1), (2, 2), (1, 0), (1, 1)]
+def test_streaming_walk_is_that_of_a_batch(spark, tmp_path):
+    """Rows of three cases, shuffled within the delay over many files, with copies, gaps and a row that is too late."""
+    from helmwatch.operators import sequence as Q
+
+    rng = np.random.default_rng(6)
+    start, rows = datetime(2024, 1, 1), []
+    for case in "abc":
+        minute = 0
+        for _ in range(60):
+            minute += 10 if rng.random() < 0.93 else 30
+            rows.append((minute + rng.uniform(0, 55), (case, start + timedelta(minutes=minute), float(rng.integers(0, 2)), bool(rng.random() < 0.6), bool(rng.random() < 0.9))))
+    # What arrives when: up to 55 minutes late, and 60 are waited for.
+    arrived = [r for _, r in sorted(rows, key=lambda r: r[0])]
+    arrived.insert(20, arrived[18])
+    source, schema = tmp_path / "in", "case_key string, ts timestamp, value double, alarm boolean, actionable boolean"
+    source.mkdir()
+    for k in range(0, len(arrived), 12):
+        part = spark.createDataFrame(arrived[k : k + 12], schema)
+        part.coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+    flush = [(c, start + timedelta(days=9), 1.0, False, False) for c in "abc"]
+    spark.createDataFrame(flush, schema).coalesce(1).write.parquet(str(tmp_path / "part900"))
+    spark.createDataFrame([("a", start + timedelta(minutes=5), 0.0, True, True)], schema).coalesce(1).write.parquet(str(tmp_path / "part901"))
+    for k, folder in enumerate(sorted(tmp_path.glob("part*"), key=lambda f: int(f.name[4:]))):
+        file = next(folder.glob("*.parquet"))
+        place = file.rename(source / f"{k:04d}.parquet")
+        os.utime(place, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(str(source))
+    query = criticality_stream(stream, 600, "60 minutes").writeStream.format("memory").queryName("walk").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.awaitTermination(300)
+    got = {(r["case_key"], r["ts"]): (r["criticality"], r["zero_run"]) for r in spark.table("walk").collect() if r["ts"] < start + timedelta(days=8)}
+    batch = Q.strict_segments(spark.createDataFrame([r for _, r in rows], schema), 10)
+    walked = {(r["case_key"], r["ts"]): r["criticality"] for r in Q.criticality_walk(batch, F.col("alarm"), F.col("actionable")).collect()}
+    assert {k: c for k, (c, _) in got.items()} == walked and len(got) == 180
+    zeros, before = {}, {}
+    for case, ts, value, _, _ in sorted((r for _, r in rows), key=lambda r: (r[0], r[1])):
+        same = before.get(case) == ts - timedelta(minutes=10)
+        zeros[case, ts] = (zeros[case, before[case]] if same else 0) + 1 if value == 0 else 0
+        before[case] = ts
+    assert {k: z for k, (_, z) in got.items()} == zeros
+
+
+def test_metadata_rows_like_the_preamble_stay(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("a;1\nname;value\na;1\nb;2\nname;value\n")
+    got = [tuple(r) for r in C.metadata_table(spark, str(tmp_path / "m.csv"), ("name", "value")).collect()]
+    assert sorted(got) == [("a", "1"), ("b", "2"), ("name", "value")]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    for name, n in (("x", 4000), ("y", 1), ("z", 777)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}-{i}\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = C.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 4778 and all(r["value"].split("-")[1] == str(r["line_number"]) for r in got)
 
 
 def test_one_of_several_files_and_the_newest_of_a_name(spark, tmp_path):

@@ -203,3 +203,73 @@ def test_ordered_counts_of_few_keys_with_ties_and_missing_keys(spark):
     high = {r["k"]: (r["quantile"], r["n"]) for r in A.higher_quantile(df, "v", 0.9, "k").collect()}
     own = sorted(x for j, x in rows if j == "a" and x is not None)
     assert high["a"] == (own[450], 500) and set(high) == {"a", "b", None}
+
+
+def test_keys_that_repeat_are_refused_whatever_is_read(spark):
+    from helmwatch.operators import selection as X
+
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    twice = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "k int, w int")
+    for right in (twice, twice.select("k")):
+        for read in (lambda d: d.count(), lambda d: d.select("v").collect(), lambda d: d.collect()):
+            with pytest.raises(Exception, match="not unique"):
+                read(X.left_one_to_one(left, right, ["k"]))
+    once = twice.where("w > 5")
+    assert sorted(tuple(r) for r in X.left_one_to_one(left, once, ["k"]).collect()) == [(1, "a", 6), (2, "b", 7)]
+    with pytest.raises(Exception, match="no assignment"):
+        X.with_assignment(left, spark.createDataFrame([(1, "t")], "k int, part string"), "k", "part").select("v").count()
+
+
+def test_intervals_of_a_key_without_bound(spark):
+    from helmwatch.operators import relations as R
+
+    base = "to_timestamp_ntz('2024-01-01 00:00:00')"
+    # A key with 100,000 intervals of a minute, every other one of them; overlapping and touching ones merge.
+    many = spark.range(100_000).selectExpr("'hot' AS case_key", f"timestampadd(MINUTE, CAST(id * 2 AS INT), {base}) AS start", f"timestampadd(SECOND, CAST(id * 120 + 59 AS INT), {base}) AS end")
+    some = spark.sql(f"SELECT 'x' AS case_key, {base} AS start, timestampadd(DAY, 3, {base}) AS end UNION ALL SELECT 'x', timestampadd(DAY, 1, {base}), timestampadd(DAY, 5, {base}) UNION ALL SELECT 'x', timestampadd(DAY, 9, {base}), timestampadd(DAY, 8, {base})")
+    rows = spark.range(20_000).selectExpr("'hot' AS case_key", f"timestampadd(SECOND, CAST(id * 90 AS INT), {base}) AS ts", "id AS _span").unionByName(spark.range(12).selectExpr("'x' AS case_key", f"timestampadd(DAY, CAST(id AS INT), {base}) AS ts", "id AS _span").withColumnRenamed("_span", "_span"))
+    out = R.in_intervals(rows.withColumnRenamed("_span", "n"), many.unionByName(some))
+    assert out.count() == 20_012 and out.columns == ["case_key", "ts", "n", "in_event"]
+    assert all(r["in_event"] == (r["n"] * 90 % 120 < 60) for r in out.where("case_key = 'hot'").collect())
+    assert sorted(r["n"] for r in out.where("case_key = 'x' AND in_event").collect()) == [0, 1, 2, 3, 4, 5]
+    assert R.merged_spans(some, "case_key").count() == 1
+
+
+def test_spectral_path_is_that_of_the_singular_values(spark):
+    from helmwatch.operators import crossfit as X
+    from helmwatch.operators import spectral as P
+
+    rng = np.random.default_rng(9)
+    n, p, m, folds = 200, 5, 3, 4
+    phi = np.column_stack([np.ones(n), rng.normal(size=(n, p - 1))])
+    y = phi @ rng.normal(size=(p, m)) + rng.normal(size=(n, m))
+    y[rng.random((n, m)) < 0.1] = np.nan
+    fold = np.arange(n) // 10 % folds
+    rows = [("c", int(fold[i]), True, 1 << int(fold[i]), phi[i].tolist(), [None if np.isnan(v) else float(v) for v in y[i]]) for i in range(n)]
+    df = spark.createDataFrame(rows, "case_key string, fold_id int, fit boolean, embargo_bits int, phi array<double>, responses array<double>")
+    df = df.withColumn("train_bits", X.training_bits(F.col("fit"), F.col("embargo_bits"), folds)).drop("fit", "embargo_bits")
+    solved = P.solve_path(P.fold_grams(df, p, m, folds))
+    chosen = P.choose_penalty(df, solved, m).first()
+    r2 = []
+    for penalty in P.PATH:
+        off = np.empty((n, m))
+        for k in range(folds):
+            u, s, vt = np.linalg.svd(phi[fold != k], full_matrices=False)
+            b = vt.T @ np.diag(s / (s**2 + penalty)) @ u.T @ np.nan_to_num(y[fold != k])
+            off[fold == k] = y[fold == k] - phi[fold == k] @ b
+        r2.append([1 - np.nansum(off[:, j] ** 2) / (np.nanvar(y[:, j]) * np.isfinite(y[:, j]).sum()) for j in range(m)])
+    best = int(np.argmax(np.median(r2, axis=1)))
+    assert chosen["penalty"] == best and np.allclose(chosen["r2"], r2[best])
+    u, s, vt = np.linalg.svd(phi, full_matrices=False)
+    h = ((phi @ vt.T) ** 2 @ (s**2 / (s**2 + P.PATH[best]) ** 2)).tolist()
+    got = P.path_scores(df.withColumn("i", F.monotonically_increasing_id()), solved, P.choose_penalty(df, solved, m), folds).orderBy("i").collect()
+    assert np.allclose([r["leverage"] for r in got], h)
+
+
+def test_bootstrap_draws_as_many_clusters_as_there_are(spark):
+    from helmwatch.operators import evaluation as E
+
+    df = spark.createDataFrame([(i, 1, i) for i in range(11)], "k int, one int, v int")
+    got = E.cluster_bootstrap(df, "k", ("one", "v"), 500, 3).collect()
+    assert len(got) == 500 and all(r["one"] == 11 for r in got)
+    assert abs(np.mean([r["v"] for r in got]) - 55) < 2 and E.cluster_bootstrap(df.limit(0), "k", ("v",), 5, 3).count() == 0
