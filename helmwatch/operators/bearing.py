@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -24,27 +25,105 @@ def order_usable(order: Column, revolutions: Column, min_bins: float = 2.0) -> t
     return bins, bins >= min_bins
 
 
-def forbidden_centres(orders: DataFrame, harmonics: int = 3, low: float = 1.25, high: float = 8.0) -> DataFrame:
-    """Centres that a null order must keep away from: each order's harmonics and their first shaft sidebands."""
-    grid = orders.select("name", F.explode(F.sequence(F.lit(1), F.lit(harmonics))).alias("k"), "order_value").select("name", F.explode(F.array(*(F.col("k") * F.col("order_value") + s for s in (-1.0, 0.0, 1.0)))).alias("centre"))
-    return grid.where((F.col("centre") >= low) & (F.col("centre") <= high))
-
-
-def null_orders(spark: SparkSession, forbidden: list[float], seed: str, count: int = 199, points: int = 50_000, low: float = 1.25, high: float = 8.0, guard: float = 0.04) -> DataFrame:
-    """count orders of an even grid that keep guard away from the forbidden centres and whole numbers, drawn in the
-    order of a seeded hash."""
-    value = F.lit(low) + F.col("id") * ((high - low) / (points - 1))
-    near = F.exists(F.array(*(F.lit(float(c)) for c in [*forbidden, *range(1, int(high) + 1)])), lambda c: F.abs(c - F.col("order_value")) < guard)
-    h = F.sha2(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string")), 256)
-    return spark.range(points).withColumn("order_value", value).where(~near).orderBy(h, "id").limit(count).select(F.col("id").alias("grid_id"), "order_value")
-
-
-def resolution_search(spark: SparkSession, orders: list[float], low: int = 26, high: int = 200, min_bins: float = 2.62) -> DataFrame:
-    """The fewest revolutions at which every order keeps min_bins from whole numbers."""
-    ok = F.lit(True)
-    for o in orders:
-        ok = ok & (F.abs(F.lit(o) - F.greatest(F.round(F.lit(o)), F.lit(1.0))) * F.col("id") >= min_bins)
-    return spark.range(low, high + 1).where(ok).agg(F.min("id").alias("revolutions"))
+def whole_distance(order: Column) -> Column:
+    """Distance from the nearest whole order of the shaft, 1 at least."""
+    return F.abs(order - F.greatest(F.lit(1.0), F.rint(order)))
+
+
+def forbidden_centres(orders: DataFrame, key: str = "bearing", harmonics: int = 3, low: float = 1.25, high: float = 8.0) -> DataFrame:
+    """(key, centres) from orders (key, name, order_value): what a null order must keep away from, between low and
+    high: each bearing's orders, the harmonics of all but ftf, and their first shaft sidebands."""
+    k = F.explode(F.sequence(F.lit(1), F.when(F.col("name") == "ftf", F.lit(1)).otherwise(F.lit(harmonics))))
+    offsets = F.when(F.col("name") == "ftf", F.array(F.lit(0.0))).otherwise(F.array(*map(F.lit, (-1.0, 0.0, 1.0))))
+    grid = orders.select(key, "name", "order_value", k.alias("k")).select(key, (F.col("k") * F.col("order_value")).alias("at"), F.explode(offsets).alias("by"))
+    inside = (F.col("at") + F.col("by")).between(low, high)
+    return grid.groupBy(key).agg(F.sort_array(F.collect_set(F.when(inside, F.col("at") + F.col("by")))).alias("centres"))
+
+
+def matched_nulls(orders: DataFrame, centres: DataFrame, seed: str, count: int = 199, points: int = 50_000, width: float = 0.015, low: float = 1.25, high: float = 8.0, guard: float = 0.04, key: str = "bearing") -> DataFrame:
+    """(key, name, pool, grid_id, order_value): for every order of a bearing count null orders of an even grid, drawn
+    without replacement by the order of a seeded hash; pool is how many there were, and fewer than count give none.
+
+    A null order keeps more than guard away from the bearing's forbidden centres and lies as far from a whole order as
+    its target does, give or take width. That leaves two short windows around each whole order; only their grid points
+    are made, and held against the bearing's own centres, so the work grows with the windows, not with the grid."""
+    step = (high - low) / (points - 1)
+    target = orders.where("name <> 'ftf'").withColumn("zeta", whole_distance(F.col("order_value")))
+    windows = F.explode(F.sequence(F.lit(1), F.lit(math.ceil(high) + 1)))
+    sides = target.select(key, "name", "zeta", windows.alias("k")).select(key, "name", "zeta", F.explode(F.array(F.col("k") - F.col("zeta"), F.col("k") + F.col("zeta"))).alias("at"))
+    first = F.greatest(F.ceil((F.col("at") - width - low) / step) - 1, F.lit(0)).cast("long")
+    last = F.least(F.floor((F.col("at") + width - low) / step) + 1, F.lit(points - 1)).cast("long")
+    ids = sides.where(first <= last).select(key, "name", "zeta", F.explode(F.sequence(first, last)).alias("grid_id")).distinct()
+    value = F.lit(low) + F.col("grid_id") * step
+    free = ids.withColumn("order_value", value).where(F.abs(whole_distance(F.col("order_value")) - F.col("zeta")) <= width).join(centres, key)
+    free = free.where(~F.exists("centres", lambda c: F.abs(c - F.col("order_value")) <= guard)).drop("centres", "zeta")
+    draw = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"), "name", F.col("grid_id").cast("string")).cast("binary"))
+    of = Window.partitionBy(key, "name")
+    ranked = free.withColumn("pool", F.count("*").over(of)).withColumn("_r", F.row_number().over(of.orderBy(draw, "grid_id")))
+    return ranked.where((F.col("_r") <= count) & (F.col("pool") >= count)).select(key, "name", "pool", "grid_id", "order_value")
+
+
+def resolution_search(orders: DataFrame, low: int = 26, high: int = 200, min_bins: float = 2.62, key: str = "bearing") -> DataFrame:
+    """(key, revolutions): the fewest revolutions between low and high at which every order of the bearing but ftf
+    keeps min_bins from whole orders; null where none suffice."""
+    least = orders.where("name <> 'ftf'").groupBy(key).agg(F.min(whole_distance(F.col("order_value"))).alias("_zeta"))
+    need = F.greatest(F.lit(low), F.ceil(F.lit(min_bins) / F.nullif(F.col("_zeta"), F.lit(0.0)))).cast("long")
+    return least.select(key, F.when((F.col("_zeta") > 0) & (need <= high), need).alias("revolutions"))
+
+
+def envelope_spectra(signals: DataFrame, id_col: str, signal_col: str, rate: float, band: tuple[float, float]) -> DataFrame:
+    """(id_col, resolution, spectrum): the squared-envelope spectrum of a band, from frequency 0 in steps of
+    resolution. Signals of one length are transformed together. Signals that are null, shorter than 8 samples or hold
+    missing or non-finite samples have no row."""
+    v = F.col(signal_col).cast("array<double>")
+    whole = (F.size(v) >= 8) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for n, part in frame.groupby(frame["signal"].map(len)):
+                x = np.stack(part["signal"].to_numpy())
+                f = np.fft.fftfreq(n, 1 / rate)
+                analytic = np.fft.ifft(np.where((f >= band[0]) & (f <= band[1]), 2 * np.fft.fft(x - x.mean(axis=1, keepdims=True)), 0))
+                envelope = np.abs(analytic) ** 2
+                amplitude = np.abs(np.fft.rfft((envelope - envelope.mean(axis=1, keepdims=True)) * np.hanning(n))) * 2 / n
+                yield pd.DataFrame({"id": part["id"], "resolution": rate / n, "spectrum": list(amplitude)})
+
+    rows = signals.select(F.col(id_col).alias("id"), v.alias("signal")).where(v.isNotNull() & whole)
+    return rows.mapInPandas(run, f"id {signals.schema[id_col].dataType.simpleString()}, resolution double, spectrum array<double>").withColumnRenamed("id", id_col)
+
+
+def _window(low: Column, high: Column, resolution: Column, spectrum: Column) -> Column:
+    """The amplitudes of a frequency window, by the places of its ends on the even axis."""
+    first = F.greatest(F.ceil(low / resolution - 1e-9), F.lit(0)).cast("int")
+    last = F.least(F.floor(high / resolution + 1e-9), F.size(spectrum) - 1).cast("int")
+    return F.when(last >= first, F.slice(spectrum, first + 1, last - first + 1))
+
+
+def order_features(spectra: DataFrame, orders: DataFrame, keys: list[str], shaft_hz: float, harmonics: int = 3, tolerance: float = 0.03, inner: float = 3.0, outer: float = 10.0) -> DataFrame:
+    """One row per spectrum (keys) and order (keys, name, order_value): score, the peak over the floor at the order;
+    harmonics, the mean of that over its harmonics that have both; sidebands, the peaks one shaft order beside it over
+    its own; peak and floor. The peak is the greatest amplitude within tolerance shaft orders, or one and a half bins;
+    the floor is the median between inner and outer tolerances on both sides. Windows come by the places of their ends,
+    for all orders, harmonics and sidebands of a spectrum in one pass."""
+    joined = spectra.join(orders.where("name <> 'ftf'"), keys)
+    width = F.greatest(1.5 * F.col("resolution"), F.lit(tolerance * shaft_hz))
+    cut = lambda low, high: _window(low, high, F.col("resolution"), F.col("spectrum"))
+
+    def peak(at: Column) -> Column:
+        return F.array_max(cut(at - width, at + width))
+
+    def floor(at: Column) -> Column:
+        sides = F.array_sort(F.concat(F.coalesce(cut(at - outer * width, at - inner * width), F.array().cast("array<double>")), F.coalesce(cut(at + inner * width, at + outer * width), F.array().cast("array<double>"))))
+        n = F.size(sides)
+        return F.when(n > 0, (F.get(sides, F.floor((n - 1) / 2).cast("int")) + F.get(sides, F.floor(n / 2).cast("int"))) / 2)
+
+    at = F.col("order_value") * shaft_hz
+    ratio = lambda f: peak(f) / (floor(f) + 1e-12)
+    each = F.filter(F.array(*(ratio(at * h) for h in range(1, harmonics + 1))), lambda v: v.isNotNull())
+    beside = F.coalesce(peak(at - shaft_hz), F.lit(0.0)) + F.coalesce(peak(at + shaft_hz), F.lit(0.0))
+    return joined.select(
+        *keys, "name", peak(at).alias("peak"), floor(at).alias("floor"), ratio(at).alias("score"), F.when(F.size(each) > 0, F.aggregate(each, F.lit(0.0), lambda s, v: s + v) / F.size(each)).alias("harmonics"), (beside / (peak(at) + 1e-12)).alias("sidebands"),
+    )
 
 
 def _spectrum(x: np.ndarray, rate: float, band: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:

@@ -27,10 +27,11 @@ def _geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _design(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
     """Rows with folds and embargo, robustly scaled drivers and their basis. Scalers are those of the case's fit rows."""
-    rows = Q.embargo_bits(folded(spark, sf_dir), width=6)
-    for c in ("click", "view"):
-        rows = A.robust_transform(rows, c, A.robust_parameters(rows.where(fit()), c, "case_key"), "case_key")
-    return rows, G.basis([F.col("click_scaled"), F.col("view_scaled")])
+    rows = kept(Q.embargo_bits(folded(spark, sf_dir), width=6), "embargoed-rows")
+    scalers = {c: A.robust_parameters(rows.where(fit()), c, "case_key") for c in ("click", "view")}
+    for c, parameters in scalers.items():
+        rows = A.robust_transform(rows, c, parameters, "case_key")
+    return kept(rows, "scaled-rows"), G.basis([F.col("click_scaled"), F.col("view_scaled")])
 
 
 def ml5_ml6_penalties(spark, sf_dir):
@@ -51,9 +52,12 @@ def ml10_ml14_uncertainty(spark, sf_dir):
     """Held-out residuals, the log-variance model, leverage support and the total scale of every observed row."""
     rows, terms = _design(spark, sf_dir)
     mean = G.predict(rows, G.crossfit(rows.where(fit()), terms, F.col("purchase"), min_rows=30), terms).withColumn("residual", F.col("purchase") - F.col("prediction")).drop("leverage")
+    mean = kept(mean, "mean-residuals")
     scaled = mean.join(A.robust_parameters(mean.where(fit()), "residual", "case_key").select("case_key", F.col("scale").alias("reference")), "case_key")
+    scaled = kept(scaled, "scaled-residuals")
     target = G.log_variance_target(F.col("residual"), F.col("reference"))
     spread = G.predict(scaled.drop("prediction"), G.crossfit(scaled.where(fit()), terms, target, min_rows=30), terms)
+    spread = kept(spread, "log-variances")
     support = A.robust_parameters(spread.where(fit()), "leverage", "case_key").select("case_key", F.col("center").alias("_c"), F.col("scale").alias("_s"))
     out = spread.join(support, "case_key").withColumn("aleatoric", G.aleatoric_scale(F.col("prediction"))).withColumn("total", G.total_scale(F.col("aleatoric"), (F.col("leverage") - F.col("_c")) / F.col("_s")))
     return out.where("residual IS NOT NULL").select("case_key", "ts", F.round("residual", 4).alias("residual"), F.round("aleatoric", 4).alias("aleatoric"), F.round("total", 4).alias("total"), F.round(F.abs("residual") / F.nullif(F.col("total"), F.lit(0.0)), 4).alias("score"))
@@ -140,12 +144,29 @@ def b4_usability(spark, sf_dir):
     return long.select("bearing", "name", F.round(bins, 4).alias("bins"), ok.alias("usable"))
 
 
+def _orders(spark, sf_dir) -> DataFrame:
+    g = _geometry(spark, sf_dir)
+    o = B.characteristic_orders(F.col("n"), F.col("d"), F.col("p"), F.col("a"))
+    return g.select("bearing", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.round(c, 9).alias("order_value")) for k, c in o.items()))).alias("o")).select("bearing", "o.*")
+
+
 def b5_b6_nulls(spark, sf_dir):
-    return B.null_orders(spark, [3.049825, 4.950175, 1.986103], "case-1").select("grid_id", F.round("order_value", 6).alias("order_value"))
+    """One set of nulls for every order of every part, as its size, pool and sums."""
+    o = _orders(spark, sf_dir)
+    nulls = B.matched_nulls(o, B.forbidden_centres(o), "case-1", 49, 5_001)
+    return nulls.groupBy("bearing", "name").agg(F.max("pool").alias("pool"), F.count("*").alias("nulls"), F.sum("grid_id").alias("grid_ids"), F.round(F.min("order_value"), 6).alias("least"), F.round(F.max("order_value"), 6).alias("greatest"))
 
 
 def b17_resolution(spark, sf_dir):
-    return B.resolution_search(spark, [3.049825, 4.950175])
+    return B.resolution_search(_orders(spark, sf_dir))
+
+
+def b7_b10_features(spark, sf_dir):
+    """Features of the vectors as signals of 64 samples a second, each at the orders of the part of its number."""
+    v = table(spark, sf_dir, "embeddings")
+    spectra = B.envelope_spectra(v, "vec_id", "embedding", 64.0, (8.0, 28.0)).withColumnRenamed("vec_id", "bearing")
+    out = B.order_features(spectra, _orders(spark, sf_dir), ["bearing"], 4.0)
+    return out.select(F.col("bearing").alias("vec_id"), "name", *(F.round(c, 5).alias(c) for c in ("peak", "floor", "score", "harmonics", "sidebands")))
 
 
 def b8_b9_spectra(spark, sf_dir):
@@ -154,15 +175,6 @@ def b8_b9_spectra(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", f("embedding").alias("f")).select("vec_id", F.round("f.bpfo", 3).alias("bpfo"), F.round("f.bpfi", 3).alias("bpfi"))
 
 
-def b11_b13_simulation(spark, sf_dir):
-    """Simulated trials of a design, each with its strongest order."""
-    d = spark.range(24).select(F.col("id").alias("trial_id"), (F.col("id") * 7919 + 20260819).alias("seed"), F.when(F.col("id") % 3 != 0, F.when(F.col("id") % 3 == 1, 3.05).otherwise(4.95)).alias("order_value"), F.lit(6.0).alias("snr_db"))
-    f = B.envelope_peaks(4096.0, [(600.0, 1200.0)], {"bpfo": 3.05, "bpfi": 4.95}, 30.0)
-    p = B.simulate(d).select("trial_id", f("signal").alias("f")).select("trial_id", "f.*")
-    pick = F.when((F.col("bpfo") < 4) & (F.col("bpfi") < 4), "none").when(F.col("bpfo") > F.col("bpfi"), "bpfo").when(F.col("bpfi") > F.col("bpfo"), "bpfi").otherwise("INDETERMINATE")
-    return p.join(d, "trial_id").select("trial_id", "order_value", pick.alias("predicted"))
-
-
 def ag29_clopper_pearson(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("k"), F.count("*").alias("n"))
     # The limits depend on the two counts alone, and few pairs of counts occur.
@@ -170,6 +182,8 @@ def ag29_clopper_pearson(spark, sf_dir):
     return o.join(limits, ["k", "n"]).select("o_custkey", "k", "n", F.round("c.lower", 6).alias("lower"), F.round("c.upper", 6).alias("upper"))
 
 
+_ORDERS_SQL = f"""{_GEO_SQL}, ob AS (SELECT bearing, unnest(['ftf', 'bpfo', 'bpfi', 'bsf']) AS name, unnest([0.5 * (1 - c), n / 2 * (1 - c), n / 2 * (1 + c), p / (2 * d) * (1 - c * c)]) AS o FROM c),
+ os AS (SELECT bearing, name, round(o, 9) AS v, abs(round(o, 9) - greatest(1, round_even(round(o, 9), 0))) AS zeta FROM ob)"""
 _SP_SQL = f"""{FOLDS_SQL}, ks(k) AS (VALUES (0), (1), (2), (3), (4)), em AS (SELECT f.*, k, max((fold_id = k)::INT) OVER (PARTITION BY case_key, segment_id, k ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS m FROM folds f, ks),
  on_ AS (SELECT * FROM folds WHERE train_test = 'train' AND status_type_id IN (0, 2)), ce AS (SELECT case_key, median(click) AS m, avg(purchase) AS m0, stddev_pop(purchase) AS s0, avg(signup) AS m1, stddev_pop(signup) AS s1, avg(view) AS m2, stddev_pop(view) AS s2 FROM on_ GROUP BY 1),
  fi AS (SELECT case_key, avg(coalesce(click, m)) AS mz, stddev_pop(coalesce(click, m)) AS sz FROM on_ JOIN ce USING (case_key) GROUP BY 1),
@@ -220,10 +234,21 @@ QUERIES = {
     "b3_orders": (b3_orders, f"WITH {_GEO_SQL} SELECT bearing, round(0.5 * (1 - c), 6) AS ftf, round(n / 2 * (1 - c), 6) AS bpfo, round(n / 2 * (1 + c), 6) AS bpfi, round(p / (2 * d) * (1 - c * c), 6) AS bsf FROM c"),
     "b4_usability": (b4_usability, f"""WITH {_GEO_SQL}, o AS (SELECT bearing, 'bpfo' AS name, n / 2 * (1 - c) AS v FROM c UNION ALL SELECT bearing, 'bpfi', n / 2 * (1 + c) FROM c UNION ALL SELECT bearing, 'bsf', p / (2 * d) * (1 - c * c) FROM c)
       SELECT bearing, name, round(abs(v - greatest(round(v), 1)) * 54, 4) AS bins, abs(v - greatest(round(v), 1)) * 54 >= 2.62 AS usable FROM o"""),
-    "b5_b6_null_orders": (b5_b6_nulls, """WITH g AS (SELECT i AS grid_id, 1.25::DOUBLE + i * ((8.0::DOUBLE - 1.25::DOUBLE) / 49999) AS v FROM range(50000) t(i)) SELECT grid_id, round(v, 6) AS order_value FROM g
-      WHERE len(list_filter([3.049825, 4.950175, 1.986103, 1, 2, 3, 4, 5, 6, 7, 8]::DOUBLE[], lambda c: abs(c - v) < 0.04::DOUBLE)) = 0 ORDER BY sha256('case-1|' || grid_id), grid_id LIMIT 199"""),
-    "b17_resolution": (b17_resolution, "SELECT min(i) AS revolutions FROM range(26, 201) t(i) WHERE abs(3.049825::DOUBLE - 3) * i >= 2.62::DOUBLE AND abs(4.950175::DOUBLE - 5) * i >= 2.62::DOUBLE"),
-    "b7_b10_spectra": (b8_b9_spectra, None),
-    "b11_b13_simulation": (b11_b13_simulation, None),
+    "b5_b6_null_orders": (b5_b6_nulls, f"""WITH {_ORDERS_SQL}, ct AS (SELECT bearing, k * v + s AS c FROM os, range(1, 4) t(k), (VALUES (-1.0::DOUBLE), (0.0), (1.0)) x(s) WHERE name <> 'ftf' OR (k = 1 AND s = 0)), cl AS (SELECT bearing, list(c) FILTER (c BETWEEN 1.25 AND 8) AS cs FROM ct GROUP BY 1),
+      gr AS (SELECT i AS grid_id, 1.25::DOUBLE + i * (6.75::DOUBLE / 5000) AS g FROM range(5001) t(i)), gz AS (SELECT *, abs(g - greatest(1, round_even(g, 0))) AS z FROM gr),
+      fr AS (SELECT os.bearing, name, grid_id, g FROM os JOIN gz ON z BETWEEN zeta - 0.015::DOUBLE AND zeta + 0.015::DOUBLE AND abs(z - zeta) <= 0.015::DOUBLE JOIN cl ON cl.bearing = os.bearing WHERE name <> 'ftf' AND len(list_filter(cs, lambda c: abs(c - g) <= 0.04::DOUBLE)) = 0),
+      rk AS (SELECT *, count(*) OVER (PARTITION BY bearing, name) AS pool, row_number() OVER (PARTITION BY bearing, name ORDER BY md5('case-1|' || bearing || '|' || name || '|' || grid_id), grid_id) AS r FROM fr)
+      SELECT bearing, name, max(pool) AS pool, count(*) AS nulls, sum(grid_id)::BIGINT AS grid_ids, round(min(g), 6) AS least, round(max(g), 6) AS greatest FROM rk WHERE r <= 49 AND pool >= 49 GROUP BY ALL"""),
+    "b17_resolution": (b17_resolution, f"WITH {_ORDERS_SQL}, r AS (SELECT bearing, greatest(26, ceil(2.62::DOUBLE / nullif(min(zeta), 0)))::BIGINT AS n, min(zeta) AS z FROM os WHERE name <> 'ftf' GROUP BY 1) SELECT bearing, CASE WHEN z > 0 AND n <= 200 THEN n END AS revolutions FROM r"),
+    "b7_b10_order_features": (b7_b10_features, f"""WITH {_ORDERS_SQL}, e AS (SELECT vec_id, embedding, list_avg(embedding::DOUBLE[]) AS m FROM embeddings), tt AS (SELECT i FROM range(64) t(i)),
+      xs AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE - m AS x FROM e, tt), bi AS (SELECT vec_id, k, sum(x * cos(2 * pi() * k * i / 64)) AS re, -sum(x * sin(2 * pi() * k * i / 64)) AS im FROM xs, range(8, 29) b(k) GROUP BY ALL),
+      an AS (SELECT vec_id, i, (sum(re * cos(2 * pi() * k * i / 64) - im * sin(2 * pi() * k * i / 64)) / 32) ** 2 + (sum(re * sin(2 * pi() * k * i / 64) + im * cos(2 * pi() * k * i / 64)) / 32) ** 2 AS env FROM bi, tt GROUP BY ALL),
+      wn AS (SELECT vec_id, i, (env - avg(env) OVER (PARTITION BY vec_id)) * (0.5 - 0.5 * cos(2 * pi() * i / 63)) AS w FROM an),
+      sp AS (SELECT vec_id, k, sqrt(sum(w * cos(2 * pi() * k * i / 64)) ** 2 + sum(w * sin(2 * pi() * k * i / 64)) ** 2) / 32 AS a FROM wn, range(33) b(k) GROUP BY ALL),
+      wd AS (SELECT bearing AS vec_id, name, h, s, 4 * v * h + 4 * s AS f FROM os, range(1, 4) t(h), (VALUES (-1), (0), (1)) x(s) WHERE name <> 'ftf' AND bearing IN (SELECT vec_id FROM embeddings) AND (h = 1 OR s = 0)),
+      ft AS (SELECT wd.vec_id, name, h, s, max(a) FILTER (abs(k - f) <= 1.5 + 1e-9) AS peak, median(a) FILTER (abs(k - f) BETWEEN 4.5 - 1e-9 AND 15 + 1e-9) AS floor FROM wd JOIN sp USING (vec_id) GROUP BY ALL)
+      SELECT vec_id, name, round(max(peak) FILTER (h = 1 AND s = 0), 5) AS peak, round(max(floor) FILTER (h = 1 AND s = 0), 5) AS floor, round(max(peak / (floor + 1e-12)) FILTER (h = 1 AND s = 0), 5) AS score, round(avg(peak / (floor + 1e-12)) FILTER (s = 0), 5) AS harmonics,
+        round(coalesce(sum(peak) FILTER (s <> 0), 0) / (max(peak) FILTER (h = 1 AND s = 0) + 1e-12), 5) AS sidebands FROM ft GROUP BY ALL"""),
+    "b8_envelope_peaks": (b8_b9_spectra, None),
     "ag29_clopper_pearson": (ag29_clopper_pearson, None),
 }

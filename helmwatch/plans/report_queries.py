@@ -115,6 +115,14 @@ def pr25_phases(spark, sf_dir):
     return j.select("case_key", S.detection_phase(F.col("is_anomaly"), F.col("first_alarm"), F.col("start"), F.col("end")).alias("phase"), S.pathology(F.lit(1e-7), F.lit(2.0) * F.col("maximum_criticality"), F.lit(0.0)).alias("pathology"))
 
 
+def pr26_pathology(spark, sf_dir):
+    """Parts by what is wrong with the scale, width and greatest width that stand in their columns."""
+    p = table(spark, sf_dir, "part")
+    width = F.col("p_retailprice") * 800
+    kind = S.pathology(F.col("p_size") / 2.5e7, width, width * F.col("p_size") * 20_000)
+    return p.groupBy(kind.alias("pathology"), (F.col("p_size") % 5).alias("size_class")).agg(F.count("*").alias("parts"))
+
+
 _long = "(" + " UNION ALL ".join(f"SELECT case_key, ts, train_test, status_type_id, '{c}' AS channel, {c} AS v FROM scada" for c in CHANNELS) + ")"
 
 QUERIES = {
@@ -141,6 +149,8 @@ QUERIES = {
       SELECT case_key, donor_window, max(c)::BIGINT AS maximum_criticality, count(*) AS rows FROM c GROUP BY ALL"""),
     "t5_t6_ties": (t5_t6_ties, """WITH o AS (SELECT o_orderpriority, o_orderstatus, round(avg(o_totalprice), -4) AS e FROM orders GROUP BY ALL), b AS (SELECT *, min(e) OVER (PARTITION BY o_orderpriority) AS m FROM o)
       SELECT o_orderpriority, max(o_orderstatus) FILTER (e <= m + 1e-12) AS penalty, CASE WHEN max(e) FILTER (o_orderstatus = 'F') > max(e) FILTER (o_orderstatus = 'O') THEN 'F' WHEN max(e) FILTER (o_orderstatus = 'O') > max(e) FILTER (o_orderstatus = 'F') THEN 'O' ELSE 'INDETERMINATE' END AS larger FROM b GROUP BY 1"""),
+    "pr26_pathology": (pr26_pathology, """WITH p AS (SELECT p_size % 5 AS size_class, p_size / 2.5e7 <= 1e-6 AS tiny, p_retailprice * 800 > 1e6 AS wide, p_retailprice * 800 * p_size * 20000 > 1e12 AS tail FROM part)
+      SELECT CASE WHEN tiny AND NOT wide THEN 'near_zero_target_scale' WHEN wide AND NOT tiny THEN 'predictive_scale_explosion' WHEN tiny OR wide OR tail THEN 'combined_or_tail_effect' ELSE 'not_pathological' END AS pathology, size_class, count(*) AS parts FROM p GROUP BY ALL"""),
     "pr25_pr26_phases": (pr25_phases, f"""WITH {_rows_sql}, f AS (SELECT case_key, min(ts) FILTER (criticality >= 2) AS a, max(criticality) AS m FROM x GROUP BY 1), i AS (SELECT case_key, min(s) AS s, max(e) AS e FROM iv GROUP BY 1)
       SELECT f.case_key, CASE WHEN s IS NULL THEN CASE WHEN a IS NULL THEN 'correct_normal' ELSE 'false_alarm' END WHEN a IS NULL OR a > e THEN 'missed' WHEN a < s THEN 'pre_onset' ELSE 'within_event' END AS phase, 'near_zero_target_scale' AS pathology FROM f LEFT JOIN i USING (case_key)"""),
 }

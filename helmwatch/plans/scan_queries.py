@@ -42,11 +42,12 @@ def sc4_unique_file(spark, sf_dir):
 
 
 def sc5_sc6_discovery(spark, sf_dir):
-    """Files of three farms: their farm, kind, size and hash."""
+    """Files of three farms, one a nation and one a region: their farm, kind, size and hash."""
     root = files.shared_place(spark, "discovery")
-    for k, farm in enumerate(FARMS):
-        files.write_text(spark, f"{root}/Wind Farm {farm}/{k + 7}.csv", f"event of {farm}\n")
-        files.write_text(spark, f"{root}/Wind Farm {farm}/feature_description.csv", f"features of {farm}\n")
+    for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect():
+        files.write_text(spark, f"{root}/Wind Farm {FARMS[r['n_regionkey'] % 3]}/{r['n_nationkey']}.csv", f"event of {r['n_name']}\n")
+    for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect():
+        files.write_text(spark, f"{root}/Wind Farm {FARMS[r['r_regionkey'] % 3]}/{r['r_name']}/feature_description.csv", f"features of {r['r_name']}\n")
     return C.discover(spark, root).select("farm", "kind", "size_bytes", "sha256")
 
 
@@ -127,7 +128,8 @@ QUERIES = {
     "sc1_sc2_sc9_scan": (sc1_sc2_scan, f"WITH {SCADA_SQL} SELECT case_key AS asset_id, ts AS time_stamp, train_test, status_type_id, ';' AS separator FROM scada"),
     "sc3_metadata": (sc3_metadata, "SELECT n_name AS sensor_name, 'region ' || n_regionkey AS feature_description FROM nation"),
     "sc4_unique_file": (sc4_unique_file, "SELECT r_regionkey AS asset, r_name AS score FROM region WHERE r_regionkey = 1"),
-    "sc5_sc6_discovery": (sc5_sc6_discovery, """SELECT 'Wind Farm ' || f AS farm, k AS kind, length(t) AS size_bytes, sha256(t) AS sha256 FROM (SELECT f, k, CASE k WHEN 'event' THEN 'event of ' ELSE 'features of ' END || f || chr(10) AS t FROM (SELECT unnest(['A', 'B', 'C']) AS f), (SELECT unnest(['event', 'feature']) AS k))"""),
+    "sc5_sc6_discovery": (sc5_sc6_discovery, """WITH t AS (SELECT n_regionkey AS k, 'event' AS kind, 'event of ' || n_name || chr(10) AS t FROM nation UNION ALL SELECT r_regionkey, 'feature', 'features of ' || r_name || chr(10) FROM region)
+      SELECT 'Wind Farm ' || ['A', 'B', 'C'][k % 3 + 1] AS farm, kind, length(t) AS size_bytes, sha256(t) AS sha256 FROM t"""),
     "sc7_row_identity": (sc7_row_identity, f"WITH {SCADA_SQL} SELECT DISTINCT case_key, CASE case_key WHEN 'Wind Farm A' THEN 'zero' WHEN 'Wind Farm B' THEN 'one' ELSE 'id' END AS numbering FROM scada"),
     "sc7_split_rows": (sc7_split_rows, "SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS line_number, o_orderkey FROM orders"),
     "sc8_keyed_mapping": (sc8_mapping, f"WITH {SCADA_SQL} SELECT case_key AS event_key, {_w} - 1 AS source_row_index, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp FROM scada"),

@@ -166,7 +166,8 @@ def test_orders_of_a_bearing(spark):
     got = df.select(*B.characteristic_orders(*map(F.col, df.columns)).values()).first()
     assert tuple(got) == pytest.approx((0.381228, 3.049825, 4.950175, 1.986103), abs=1e-6)
     assert [r[0] for r in spark.createDataFrame([(25.0,), (54.0,)], "r double").select(B.order_usable(F.lit(3.049825), F.col("r"))[0]).collect()] == pytest.approx([1.2456, 2.6905], abs=1e-3)
-    assert B.resolution_search(spark, [3.049825, 4.950175]).first()[0] == 53  # 2.62 / 0.049825, rounded up
+    orders = spark.createDataFrame([(1, "bpfo", 3.049825), (1, "bpfi", 4.950175), (1, "ftf", 0.4)], "bearing int, name string, order_value double")
+    assert B.resolution_search(orders).first()["revolutions"] == 53  # 2.62 / 0.049825, rounded up
 
 
 def test_simulated_fault_shows_at_its_order(spark):

@@ -46,4 +46,22 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(spark, name):
     df = catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
-    assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
+    assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
+
+
+def test_exact_limits_leave_their_tails(spark):
+    """At the lower limit so many successes or more have probability 0.025, at the upper so many or fewer."""
+    found = catalog.QUERIES["ag29_clopper_pearson"](spark, "/root/testdata/sf0.01").select("k", "n", "lower", "upper").distinct().collect()
+    tail = lambda n, ks, p: sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in ks)
+    assert len(found) > 20
+    for k, n, lower, upper in found:
+        assert lower == 0 if k == 0 else abs(tail(n, range(k, n + 1), lower) - 0.025) < 1e-4
+        assert upper == 1 if k == n else abs(tail(n, range(k + 1), upper) - 0.025) < 1e-4
+
+
+def test_uncertainty_of_held_out_rows(spark):
+    """Scores are residuals in units of the total scale, which is at least the aleatoric one."""
+    rows = catalog.QUERIES["ml9_ml15_uncertainty"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) > 500
+    for r in rows:
+        assert r["total"] >= r["aleatoric"] - 1e-4 and (r["total"] < 1 or abs(r["score"] - abs(r["residual"]) / r["total"]) < 1e-2)
