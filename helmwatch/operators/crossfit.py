@@ -70,12 +70,12 @@ def _bit(k: int) -> Column:
     return F.shiftright("train_bits", k).bitwiseAND(1)
 
 
-def location_scale(long: DataFrame, value: str, folds: int, *keys: str, fill: bool = False) -> DataFrame:
+def location_scale(long: DataFrame, value: str, folds: int, *keys: str, fill: bool = False, kept=lambda df, name: df) -> DataFrame:
     """(keys, found): an array over the folds and the whole of (center, scale, active, n) of the rows that train for
     each: median and quartile range, the population deviation where that vanishes, inactive with scale 1 where both do.
-    n counts observed values. fill: missing values count as the median."""
+    n counts observed values. fill: missing values count as the median. kept: how what is used twice is stored."""
     every = range(folds + 1)
-    ordered = O.ordered_sums(long, value, {f"t{k}": _bit(k) for k in every}, *keys)
+    ordered = kept(O.ordered_sums(long, value, {f"t{k}": _bit(k) for k in every}, *keys), "ordered-values")
     own = lambda k: (F.col(f"t{k}"), F.col(f"t{k}_upto"), F.col(f"t{k}_n"))
     middle = ordered.groupBy(*keys).agg(F.array(*(O.linear(0.5, value, *own(k)) for k in every)).alias("_m"), F.array(*(F.max(f"t{k}_n") for k in every)).alias("_obs"))
     v = F.col(value)
@@ -123,7 +123,7 @@ def scaled_design(rows: DataFrame, design: Design, folds: int, key: str = "case_
     are used twice are stored."""
     d = len(design.drivers)
     long = rows.select(key, "train_bits", F.posexplode("drivers").alias("driver", "v"))
-    drivers = _packed(location_scale(long, "v", folds, key, "driver", fill=True), key, "driver", d, folds, "driver_state")
+    drivers = _packed(location_scale(long, "v", folds, key, "driver", fill=True, kept=kept), key, "driver", d, folds, "driver_state")
     joined = rows.join(kept(drivers, "driver-states"), key)
 
     def terms(k: int) -> Column:
@@ -144,7 +144,7 @@ def scaled_design(rows: DataFrame, design: Design, folds: int, key: str = "case_
     term_state = kept(terms_of.select(key, F.transform(F.sequence(F.lit(0), F.lit(folds)), lambda k: F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.try_element_at("_t", k * p + i))).alias("term_state")), "term-states")
     y = rows.select(key, "train_bits", F.posexplode("targets").alias("target", "v"))
     t = rows.agg(F.max(F.size("targets"))).first()[0] or 0
-    targets = kept(_packed(location_scale(y, "v", folds, key, "target"), key, "target", t, folds, "target_state"), "target-states")
+    targets = kept(_packed(location_scale(y, "v", folds, key, "target", kept=kept), key, "target", t, folds, "target_state"), "target-states")
     states = drivers.join(term_state, key).join(targets, key)
     scaled = lambda x, s: F.when(s["scale"].isNotNull(), (x - s["center"]) / s["scale"]).otherwise(0.0)
     full = raw.join(term_state, key).join(targets, key)
