@@ -8,17 +8,38 @@ No text crosses the network.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helmwatch.llm.common import BROADCAST_KEYS, attach, lower_ascii, read_table, text_or_empty, without, written
+from helmwatch.llm.common import attach, lower_ascii, read_table, text_or_empty, without, written
 
 PREFIX_CHARS = 64
+#: The filter of shared prefixes has 2^FILTER_BITS bits, 16 MB, in rows of 2^ROW_BITS bits.
+FILTER_BITS = 27
+ROW_BITS = 15
+
+
+def _bit(step: str) -> Column:
+    return F.col(step).bitwiseAND((1 << FILTER_BITS) - 1)
+
+
+def _filter(steps: DataFrame) -> DataFrame:
+    """(_row, _bits): a Bloom filter of one hash over _step, whose size does not follow the table's."""
+    in_row = _bit("_step").bitwiseAND((1 << ROW_BITS) - 1)
+    return steps.groupBy(F.shiftright(_bit("_step"), ROW_BITS).alias("_row")).agg(F.bitmap_construct_agg(in_row).alias("_bits"))
+
+
+def _hit(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """rows with _alike: whether the filter may hold their _step. What it holds it always finds."""
+    in_row = _bit("_step").bitwiseAND((1 << ROW_BITS) - 1).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(in_row, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_row", F.shiftright(_bit("_step"), ROW_BITS)).join(F.broadcast(bits), "_row", "left")
+    return found.withColumn("_alike", F.coalesce(F.getbit(byte, in_row.bitwiseAND(7)) == 1, F.lit(False))).drop("_row", "_bits")
 
 
 def _digests(docs: DataFrame, id_col: str, text_col: str, all_digests: bool) -> DataFrame:
-    """(_id, _digest, _alike) per row: _alike tells whether another row has the same length and prefix; without it
-    there is no digest unless all_digests."""
+    """(_id, _digest, _alike) per row: _alike holds where another row has the same length and prefix, and for
+    some lone rows; without it there is no digest unless all_digests."""
     text = text_or_empty(text_col)
     length = F.octet_length(text)
     rows = docs.select(
@@ -29,13 +50,9 @@ def _digests(docs: DataFrame, id_col: str, text_col: str, all_digests: bool) ->
     )
     counted = rows.groupBy("_len", "_step").agg(F.count("*").alias("_n"))
     lengths = counted.groupBy("_len").agg(F.sum("_n").alias("_rows")).where("_rows > 1").select("_len")
-    steps = attach(counted, "_len", lengths).where("_n > 1").select("_step").distinct()
-    steps = written(steps.withColumn("_alike", F.lit(True)), "shared-prefixes")
-    # The keys of surviving groups go to the texts while they are few; beyond that all texts are hashed in place.
-    if steps.count() <= BROADCAST_KEYS:
-        rows = rows.join(F.broadcast(steps), "_step", "left").withColumn("_alike", F.coalesce("_alike", F.lit(False)))
-    else:
-        rows = rows.withColumn("_alike", F.lit(True))
+    steps = attach(counted, "_len", lengths).where("_n > 1").select("_step")
+    # The filter goes to the texts; where it takes a lone text for one of a group, that costs a hash and no more.
+    rows = _hit(rows, written(_filter(steps), "shared-prefixes"))
     digest = F.col("_whole") if all_digests else F.when(F.col("_alike"), F.col("_whole"))
     return written(rows.select("_id", digest.alias("_digest"), "_alike"), "digests")
 

@@ -24,9 +24,11 @@ ROWS = [
 
 
 @pytest.mark.parametrize(("keep", "best"), [("max", max), ("min", min)])
-@pytest.mark.parametrize("few", [True, False])
-def test_groups_match_brute_force(spark, monkeypatch, keep, best, few):
-    monkeypatch.setattr(e, "BROADCAST_KEYS", 1 << 20 if few else 0)
+@pytest.mark.parametrize(("bits", "row_bits"), [(27, 15), (2, 15), (6, 3)])
+def test_groups_match_brute_force(spark, monkeypatch, keep, best, bits, row_bits):
+    """Small filters take lone texts for members of groups; the result is the same."""
+    monkeypatch.setattr(e, "FILTER_BITS", bits)
+    monkeypatch.setattr(e, "ROW_BITS", row_bits)
     docs = spark.createDataFrame([(i, t, 0, "k", True, 5, 1) for i, t in ROWS], "doc_id long, text string, _id int, keep_id string, kept boolean, group_size int, _alike int")
     got = sorted(tuple(r) for r in e.duplicate_groups(docs, keep=keep).collect())
     assert got == brute(ROWS, best)
@@ -36,6 +38,13 @@ def test_groups_match_brute_force(spark, monkeypatch, keep, best, few):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, _ in ROWS if i in stay)
 
 
+def test_filter_finds_all_it_holds(spark):
+    steps = spark.range(4000).selectExpr("xxhash64(id) AS _step")
+    found = e._hit(steps.selectExpr("_step", "true AS held").union(spark.range(4000, 8000).selectExpr("xxhash64(id)", "false")), e._filter(steps))
+    hits = {(r["held"], r["_alike"]): r["count"] for r in found.groupBy("held", "_alike").count().collect()}
+    assert hits.pop((True, True)) == 4000 and hits.pop((False, False)) > 3990 and set(hits) <= {(False, True)}
+
+
 def test_query_matches_sql(spark):
     got = sorted(tuple(r) for r in e.op6_exact_dedup(spark, "/root/testdata/sf0.01").collect())
     duckdb.sql("create or replace view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
