@@ -15,16 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helmwatch.llm.common import read_table
+from helmwatch.llm.common import read_table, text_or_empty
 from helmwatch.llm.textscan import chunks, utf8
 
 WIDTH = 6
 FILTERS = 16
 BLOCK = 256
-#: The sample: at most so many labelled rows, of each at most PARTS evenly spaced parts of PART_CHARS characters.
+#: The sample: at most so many labelled rows, of each the whole text.
 SAMPLE_ROWS = 3000
-PARTS = 6
-PART_CHARS = 700
 #: At least so many passes over the sample and, for small samples, about so many gradient steps.
 EPOCHS = 8
 STEPS = 400
@@ -101,6 +99,21 @@ def _scores(net: Network, tables: list[np.ndarray], data: np.ndarray, offsets: n
     return 1 / (1 + np.exp(-(features @ net.head + net.offset)))
 
 
+def _winners(kernel: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest response of each filter in each block and where it is, some blocks at a time."""
+    best = np.empty((len(blocks), FILTERS), kernel.dtype)
+    where = np.empty((len(blocks), FILTERS), np.int64)
+    for a in range(0, len(blocks), SPAN_BYTES // BLOCK):
+        span = blocks[a : a + SPAN_BYTES // BLOCK]
+        response = kernel[0][span[:, :BLOCK]]
+        for j in range(1, WIDTH):
+            response += kernel[j][span[:, j : j + BLOCK]]
+        at = response.argmax(1)
+        where[a : a + len(span)] = at
+        best[a : a + len(span)] = np.take_along_axis(response, at[:, None, :], 1)[:, 0]
+    return best, where
+
+
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     """Fit by stochastic gradient steps; through a maximum the gradient reaches only the window that won."""
     if not len(labels) or labels.min() == labels.max():
@@ -125,11 +138,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
             batch = order[at : at + BATCH]
             blocks = np.concatenate([own[i] for i in batch])
             n = np.array([len(own[i]) for i in batch])
-            response = params["kernel"][0][blocks[:, :BLOCK]]
-            for j in range(1, WIDTH):
-                response += params["kernel"][j][blocks[:, j : j + BLOCK]]
-            where = response.argmax(1)
-            best = np.take_along_axis(response, where[:, None, :], 1)[:, 0]
+            best, where = _winners(params["kernel"], blocks)
             # Chunks: which block of the two won.
             m = np.maximum(n - 1, 1)
             left = np.concatenate([np.arange(f, f + k) for f, k in zip(np.cumsum(n) - n, m, strict=True)])
@@ -173,20 +182,23 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Network:
-    """Fit on at most sample_rows labelled rows for which held_out does not hold, drawn by a hash of their ids."""
+    """Fit on the whole texts of at most sample_rows labelled ids, drawn by a hash of their ids; held_out is SQL over
+    labels and leaves rows out.
+
+    Labels that repeat count once; an id with two labels trains with both. Of rows that share an id the smallest text
+    trains. Null texts count as empty; labels without a row, null ids and null labels are left out. Without labels, or
+    with labels of one kind, the network is a constant.
+    """
     drawn = (
-        labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_label"))
-        .where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & ~F.expr(held_out.replace(id_col, "_id")))
+        labels.where(~F.expr(held_out)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_label"))
+        .where("_id IS NOT NULL AND _label IS NOT NULL").distinct()
         .orderBy(F.xxhash64("_id"), "_id", "_label")
         .limit(sample_rows)
-    )
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    step = F.greatest((F.char_length("_text") - PART_CHARS) / (PARTS - 1), F.lit(0.0))
-    parts = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring(F.col("_text"), (F.floor(i * step) + 1).cast("int"), F.lit(PART_CHARS))), "")
-    sample = docs.select(F.col(id_col).alias("_doc"), text.alias("_text")).join(F.broadcast(drawn), F.col("_doc") == F.col("_id"))
-    rows = sample.select("_id", "_label", F.when(F.char_length("_text") <= PARTS * PART_CHARS, F.col("_text")).otherwise(parts).alias("_part")).collect()
-    rows.sort(key=lambda r: (r["_id"], r["_label"], r["_part"]))
-    return fit([r["_part"].encode() for r in rows], np.array([r["_label"] for r in rows]))
+    )
+    sample = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text")).join(F.broadcast(drawn), F.col("_doc") == F.col("_id"))
+    rows = sample.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).collect()
+    rows.sort(key=lambda r: (r["_id"], r["_label"]))
+    return fit([r["_text"].encode() for r in rows], np.array([r["_label"] for r in rows]))
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +222,8 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
 
 
 def keep(docs: DataFrame, network: Network, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs with a score of threshold or more, with all their columns, in one pass without a shuffle."""
+    """The rows of docs with a score of threshold or more, with all their columns, in one pass without a shuffle.
+    Null texts count as empty; repeated rows stay or go together; an empty table stays empty."""
     held = docs.sparkSession.sparkContext.broadcast(network)
     at = docs.columns.index(text_col)
 

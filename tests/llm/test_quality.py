@@ -47,3 +47,35 @@ def test_nothing_to_learn_from(spark, docs):
     net = quality.fit_on_labels(docs, none, quality.HELD_OUT)
     assert {r["score"] for r in quality.score(docs, net).collect()} == {0.5}
     assert quality.score(docs.where("false"), net).count() == 0
+
+
+def test_winners_of_spans_equal_those_of_all_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    kernel = rng.normal(size=(quality.WIDTH, 256, quality.FILTERS)).astype(np.float32)
+    blocks = rng.integers(0, 256, (23, quality.BLOCK + quality.WIDTH - 1), dtype=np.uint8)
+    monkeypatch.setattr(quality, "SPAN_BYTES", 5 * quality.BLOCK)
+    best, where = quality._winners(kernel, blocks)
+    for b in (0, 4, 5, 22):
+        dense = np.array([sum(kernel[j, blocks[b, i + j]] for j in range(quality.WIDTH)) for i in range(quality.BLOCK)])
+        assert np.allclose(best[b], dense.max(0), atol=1e-5) and (where[b] == dense.argmax(0)).all()
+
+
+def test_training_reads_whole_texts(spark):
+    """What tells the labels apart lies behind 20,000 characters, between the parts that a sample of places would take."""
+    filler = "plain words in a row " * 1000
+    rows = [(i, filler + ("@@##@@##" if i % 2 else "") + filler) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    net = quality.fit_on_labels(docs, labels, quality.HELD_OUT)
+    assert all((r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in quality.score(docs, net).collect())
+
+
+def test_repeated_rows_train_once(spark, docs):
+    """A labelled id with many rows trains by its smallest text; repeated rows are all scored, and alike."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    once = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text {i}") for i in range(20)], "doc_id long, text string")
+    again = once.union(once).union(once.selectExpr("doc_id", "concat('z', text)"))
+    a, b = quality.fit_on_labels(once, labels, "false"), quality.fit_on_labels(again, labels.union(labels), "false")
+    assert np.array_equal(a.kernel, b.kernel) and a.offset == b.offset
+    got = quality.score(once.union(once), a).groupBy("doc_id").agg({"score": "count", "*": "count"}).collect()
+    assert len(got) == 20 and {r["count(score)"] for r in got} == {2}
