@@ -149,9 +149,10 @@ def detection_phase(is_anomaly: Column, first_alarm: Column, start: Column, end:
     )
 
 
-def pathology(scale: Column, width: Column, max_width: Column) -> Column:
-    tiny, wide = scale <= 1e-6, width > 1e6
-    return F.when(tiny & ~wide, "near_zero_target_scale").when(wide & ~tiny, "predictive_scale_explosion").when(tiny | wide | (max_width > 1e12), "combined_or_tail_effect").otherwise("not_pathological")
+def pathology(scale: Column, mean_width: Column, total_scale: Column, wide: float = 1e6, tiny: float = 1e-6) -> Column:
+    """Why a channel's mean width, in units of its scale, is above wide: a scale near zero, else a predictive scale
+    (a high quantile of it) that alone makes half the width, else neither."""
+    return F.when(~F.coalesce(mean_width > wide, F.lit(False)), "not_pathological").when(scale < tiny, "near_zero_target_scale").when(total_scale / scale > 0.5 * wide, "predictive_scale_explosion").otherwise("combined_or_tail_effect")
 
 
 def boolean(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from helmwatch.operators import conformal as C
 from helmwatch.operators import health as H
 from helmwatch.operators import order_statistics as O
+from helmwatch.plans import diagnostic_queries as dq
 from helmwatch.plans import health_queries as q
 from tests.test_oracles import plain
 
@@ -39,6 +40,50 @@ def test_query_equals_sql(spark, duck, chain, monkeypatch, name):
     assert rows == expected and rows
 
 
+@pytest.fixture(scope="module")
+def audit(chain):
+    return dq.Audit(chain)
+
+
+@pytest.mark.parametrize("name", sorted(dq.QUERIES))
+def test_audit_equals_sql(spark, duck, audit, monkeypatch, name):
+    monkeypatch.setattr(dq, "_audit", lambda *_: audit)
+    got, want = dq.QUERIES[name][0](spark, SF_DIR), duck.sql(dq.QUERIES[name][1])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    rows = Counter(tuple(plain(r[c]) for c in columns) for r in got.collect())
+    assert rows == Counter(tuple(plain(dict(zip(want.columns, r, strict=True))[c]) for c in columns) for r in want.fetchall()) and rows
+
+
+def test_audit_reproduces_the_metrics(audit):
+    """What the rows give under the selected configuration is what the walk over all configurations gave."""
+    metrics = {(r["case_key"], r["configuration_id"]): r for r in audit.chain.metrics.collect()}
+    for r in audit.cases.collect():
+        m = metrics[r["case_key"], r["configuration_id"]]
+        assert (r["prediction_rows"], r["actionable_rows"], r["raw_alarm_rows"]) == (m["rows"], m["actionable_rows"], m["tp"] + m["fp"])
+        assert r["mean_width"] == pytest.approx(m["mean_width"]) and r["mean_score"] == pytest.approx(m["mean_interval_score"])
+    assert {r["cause"] for r in audit.targets.collect()} > {"not_pathological"}
+
+
+def test_longest_run_breaks_at_gaps_segments_and_idle_rows(spark):
+    from helmwatch.operators import diagnostics as D
+
+    rows = [("a", m, s, act, alarm) for m, s, act, alarm in [(0, 0, True, True), (10, 0, True, True), (30, 0, True, True), (40, 1, True, True), (50, 1, True, True), (60, 1, True, True), (70, 1, False, True), (80, 1, True, True), (90, 1, True, False)]]
+    rows += [("b", 0, 0, True, False)]
+    df = spark.createDataFrame(rows, "case_key string, m int, segment_id int, actionable boolean, alarm boolean").selectExpr("*", "timestampadd(MINUTE, m, timestamp_ntz'2024-01-01 00:00:00') AS ts")
+    assert {r[0]: r[1] for r in D.longest_alarm_run(df, 10).collect()} == {"a": 3, "b": 0}
+
+
+def test_audit_without_cases(spark, audit):
+    from helmwatch.operators import diagnostics as D
+
+    none = audit.cases.where("false")
+    assert [r["anomaly_cases"] for r in D.phase_summary(none).collect()] == [0, 0, 0] and D.farm_summary(none).count() == 0
+    assert D.width_concentration(none).first()["normal_cases"] == 0 and D.target_decomposition(audit.chain.fit, audit.chain.cases, none, q.GRID).count() == 0
+    last = D.decision(none, audit.targets.where("false")).first()
+    assert last["care"] is None and not last["new_experiment"] and not last["coverage_publishable"]
+
+
 @pytest.fixture(scope="module")
 def values(spark):
     rng = np.random.default_rng(5)
