@@ -116,9 +116,9 @@ def pr25_phases(spark, sf_dir):
 
 
 def pr26_pathology(spark, sf_dir):
-    """Parts by what is wrong with the scale, width and greatest width that stand in their columns."""
+    """Parts by the cause of their width; scale, mean width and predictive scale stand in their columns."""
     p = table(spark, sf_dir, "part")
-    width = F.col("p_retailprice") * 800
+    width = F.col("p_retailprice") * 1100
     kind = S.pathology(F.col("p_size") / 2.5e7, width, F.col("p_partkey") % 7 * 0.13)
     return p.groupBy(kind.alias("pathology"), (F.col("p_size") % 5).alias("size_class")).agg(F.count("*").alias("parts"))
 
@@ -149,7 +149,7 @@ QUERIES = {
       SELECT case_key, donor_window, max(c)::BIGINT AS maximum_criticality, count(*) AS rows FROM c GROUP BY ALL"""),
     "t5_t6_ties": (t5_t6_ties, """WITH o AS (SELECT o_orderpriority, o_orderstatus, round(avg(o_totalprice), -4) AS e FROM orders GROUP BY ALL), b AS (SELECT *, min(e) OVER (PARTITION BY o_orderpriority) AS m FROM o)
       SELECT o_orderpriority, max(o_orderstatus) FILTER (e <= m + 1e-12) AS penalty, CASE WHEN max(e) FILTER (o_orderstatus = 'F') > max(e) FILTER (o_orderstatus = 'O') THEN 'F' WHEN max(e) FILTER (o_orderstatus = 'O') > max(e) FILTER (o_orderstatus = 'F') THEN 'O' ELSE 'INDETERMINATE' END AS larger FROM b GROUP BY 1"""),
-    "pr26_pathology": (pr26_pathology, """WITH p AS (SELECT p_size % 5 AS size_class, p_size / 2.5e7::DOUBLE AS scale, p_retailprice * 800 > 1e6 AS wide, (p_partkey % 7) * 0.13::DOUBLE AS total FROM part)
+    "pr26_pathology": (pr26_pathology, """WITH p AS (SELECT p_size % 5 AS size_class, p_size / 2.5e7::DOUBLE AS scale, p_retailprice::DOUBLE * 1100 > 1e6 AS wide, (p_partkey % 7) * 0.13::DOUBLE AS total FROM part)
       SELECT CASE WHEN NOT wide THEN 'not_pathological' WHEN scale < 1e-6::DOUBLE THEN 'near_zero_target_scale' WHEN total / scale > 5e5::DOUBLE THEN 'predictive_scale_explosion' ELSE 'combined_or_tail_effect' END AS pathology, size_class, count(*) AS parts FROM p GROUP BY ALL"""),
     "pr25_pr26_phases": (pr25_phases, f"""WITH {_rows_sql}, f AS (SELECT case_key, min(ts) FILTER (criticality >= 2) AS a, max(criticality) AS m FROM x GROUP BY 1), i AS (SELECT case_key, min(s) AS s, max(e) AS e FROM iv GROUP BY 1)
       SELECT f.case_key, CASE WHEN s IS NULL THEN CASE WHEN a IS NULL THEN 'correct_normal' ELSE 'false_alarm' END WHEN a IS NULL OR a > e THEN 'missed' WHEN a < s THEN 'pre_onset' ELSE 'within_event' END AS phase FROM f LEFT JOIN i USING (case_key)"""),
