@@ -3,8 +3,10 @@
 The model is a smoothed trigram model over words and one end token per document. Its automaton has a state for every
 pair of words seen in training, one for every word seen and a root. A state's arcs are the n-grams seen after its
 words; a token without an arc there takes the failure arc, from a pair to its last word and from a word to the root,
-whose arcs are the smoothed unigrams. A failure arc weighs PRIOR / (n + PRIOR) for a state seen n times, and what lies
-behind it also adds to the arcs that are there. One left-to-right traversal of a text carries the state and adds up
+whose arcs are the smoothed unigrams. A failure arc weighs prior / (n + prior) for a state seen n times, and what lies
+behind it also adds to the arcs that are there. The two priors, of states of one word and of two, are those of a grid
+under which the training texts are likeliest when each is scored by a model without it: a text lies whole in one block,
+so its own n-grams are taken off the totals there. Held-out texts have no part in the choice. One left-to-right traversal of a text carries the state and adds up
 log-probabilities. The first token of a text starts from the end's state, without a word before.
 
 The n-gram counts grow with the corpus and are never gathered in one place. Documents are cut into blocks, each with
@@ -31,8 +33,11 @@ from helmwatch.llm.textscan import chunks, mix, utf8, words
 
 BLOCK_BYTES = 16 << 20
 DISCOUNT = 0.75
-#: What the failure arcs of one-word and two-word states weigh, as a number of occurrences.
-PRIORS = (50.0, 1.0)
+#: What the failure arcs of one-word and two-word states may weigh, as a number of occurrences.
+WORD_PRIORS = (10.0, 50.0, 250.0, 1250.0)
+PAIR_PRIORS = (0.25, 1.0, 4.0, 16.0)
+#: Tokens that are scored at once.
+SLICE_TOKENS = 1 << 18
 BASE_PRIOR = 0.1
 END = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0xD1342543DE82EF95)
@@ -41,7 +46,8 @@ _TRIPLE = np.uint64(0xAF251AF3B0F025B5)
 BLOCK_SCHEMA = "bid long, ids binary, train binary, lengths binary, stream binary, vocab binary"
 ASK_SCHEMA = "bucket long, bid long, kind int, keys binary, counts binary"
 TOLD_SCHEMA = "bid long, kind int, bucket long, totals binary, tokens long, types long"
-SCORE_SCHEMA = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORE_SCHEMA = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, scores array<double>, inner array<double>"
+SCORE_SCHEMA_HEAD = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score")
 CODEC = "zstd"
 
 
@@ -181,7 +187,37 @@ def _tell(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_table(TOLD_SCHEMA, out)])
 
 
-def _scorer(tokens: int, types: int):
+def _by_settings(root: np.ndarray, seen: tuple[np.ndarray, ...], starts: np.ndarray, priors: tuple[tuple, tuple]) -> np.ndarray:
+    """Log-probabilities of texts, a row a setting of the priors. root: each token's unigram probability; seen: how often
+    its pair, the word before, its triple and the pair before were seen, the last two 0 for a text's first token."""
+    pair, word, triple, before = seen
+    out = []
+    for a in priors[0]:
+        two = (pair + a * root) / (word + a)
+        out += [np.add.reduceat(np.log10((triple + b * two) / (before + b)), starts) for b in priors[1]]
+    return np.array(out)
+
+
+def _shifted(counts: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+    """What the token before has, and first for a text's first token."""
+    out = np.empty_like(counts)
+    out[1:] = counts[:-1]
+    out[starts] = first
+    return out
+
+
+def _own(text: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """How often each token's n-gram occurs in its own text."""
+    _, at, n = np.unique(text * (np.int64(grams.max()) + 1) + grams, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _scorer(tokens: int, types: int, priors: tuple[tuple, tuple]):
+    def root(count: np.ndarray, total: np.ndarray | int) -> np.ndarray:
+        """The root's arcs: discounted unigrams; what the discount frees is the unknown word's."""
+        total = np.maximum(total, 0)
+        return np.where(total > 0, np.where(count > 0, count - DISCOUNT, DISCOUNT * types) / np.maximum(total, 1), 1.0)
+
     def score(blocks: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for row in blocks.to_pylist():
@@ -189,40 +225,60 @@ def _scorer(tokens: int, types: int):
             answers = sorted((r["kind"], r["bucket"], r["totals"]) for r in told.select(["kind", "bucket", "totals"]).to_pylist())
             count, pairs, triples = (g.spread(np.concatenate([np.zeros(0, np.int64), *(_unpack(t, np.int64) for k, _, t in answers if k == kind)])) for kind, g in enumerate(grams, 1))
             one, two, three = grams
-            # The root's arcs: discounted unigrams; what the discount frees is the unknown word's.
-            unknown = DISCOUNT * types / tokens if tokens else 1.0
-            root = np.where(count > 0, (count - DISCOUNT) / max(tokens, 1), unknown)
-            # A token's probability from the state of the word before it, then from that of the two words before it.
-            stream = one.place
-            reached = (pairs[two.place] + PRIORS[0] * root[stream]) / (count[two.state] + PRIORS[0])[two.place]
-            reached[inner] = (triples[three.place] + PRIORS[1] * reached[inner]) / (pairs[three.state] + PRIORS[1])[three.place]
-            known = count[stream] > 0
-            starts = np.cumsum(lengths) - lengths
-            base = np.log10((count + BASE_PRIOR) / (tokens + BASE_PRIOR * (types + 1)))
-            columns = (_unpack(row["ids"], np.int64), _unpack(row["train"], np.uint8) == 0, lengths, np.add.reduceat(known.astype(np.int64), starts), np.full(len(lengths), tokens), np.add.reduceat(base[stream], starts), np.add.reduceat(np.log10(reached), starts))
-            out.append(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in SCORE_SCHEMA.split(", ")]))
+            ends = count[np.searchsorted(one.keys, END)]
+            ids, trained = _unpack(row["ids"], np.int64), _unpack(row["train"], np.uint8) > 0
+            stops = np.concatenate([[0], np.cumsum(lengths)])
+            known, base, scores, without = [], [], [], np.zeros(len(priors[0]) * len(priors[1]))
+            for first, last in chunks(stops, SLICE_TOKENS):
+                a, b = stops[first], stops[last]
+                starts, text = stops[first:last] - a, np.repeat(np.arange(last - first), lengths[first:last])
+                word, pair, rest = one.place[a:b], two.place[a:b], inner[a:b]
+                triple = three.place[a - first : b - last]  # the first token of a text has none
+                c1, c2, c3 = count[word], pairs[pair], np.zeros(b - a, np.int64)
+                c3[rest] = triples[triple]
+                known.append(np.add.reduceat((c1 > 0).astype(np.int64), starts))
+                base.append(np.add.reduceat(np.log10((c1 + BASE_PRIOR) / (tokens + BASE_PRIOR * (types + 1))), starts))
+                scores.append(_by_settings(root(c1, tokens), (c2, _shifted(c1, starts, ends), c3, _shifted(c2, starts, 0)), starts, priors))
+                if trained[first:last].any():
+                    o1, o2, o3 = _own(text, word), _own(text, pair), np.zeros(b - a, np.int64)
+                    if len(triple):
+                        o3[rest] = _own(text[rest], triple)
+                    c1, c2, c3 = (np.maximum(c - o, 0) for c, o in ((c1, o1), (c2, o2), (c3, o3)))
+                    left = root(c1, (tokens - lengths[first:last])[text])
+                    alone = _by_settings(left, (c2, _shifted(c1, starts, max(ends - 1, 0)), c3, _shifted(c2, starts, 0)), starts, priors)
+                    without += alone[:, trained[first:last]].sum(1)
+            flat = np.concatenate(scores, axis=1).T
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1]), pa.int32()), pa.array(flat.ravel()))
+            chosen = pa.array([without.tolist()] + [None] * (len(ids) - 1), pa.list_(pa.float64()))
+            columns = (ids, ~trained, lengths, np.concatenate(known), np.full(len(lengths), tokens), np.concatenate(base))
+            out.append(pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), listed, chosen], names=[f.split()[0] for f in SCORE_SCHEMA.split(", ")]))
         names = [f.split() for f in SCORE_SCHEMA.split(", ")]
-        kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+        kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
         return pa.Table.from_batches(out, schema=pa.schema([(n, kinds[k]) for n, k in names]))
 
     return score
 
 
-def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs.
+def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text", priors: tuple[tuple, tuple] = (WORD_PRIORS, PAIR_PRIORS)) -> DataFrame:
+    """One row (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, word_prior, pair_prior) per row of docs.
 
     held_out is a SQL condition over docs; the model learns from the rows for which it does not hold (a null
     condition counts as not held out). A null text is empty: it has the end token alone. Repeated rows count as often
-    as they occur. Where nothing is left to learn from, every token has probability 1. An empty table gives an empty
-    result. id_col must be a non-null integer; other columns are ignored.
+    as they occur. priors holds the two lists to choose from; of settings equally good the first is taken. Where nothing
+    is left to learn from, every token has probability 1. An empty table gives an empty result. id_col must be a non-null integer; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (~F.coalesce(F.expr(held_out), F.lit(False))).alias("train"), F.col(text_col).cast("string").alias("text"))
     blocks = bucketed(rows.mapInArrow(_blocks, BLOCK_SCHEMA), "bid", "lm_blocks")
     bits = max(blocks.count() - 1, 1).bit_length() + 1
     told = written(blocks.mapInArrow(_asker(bits), ASK_SCHEMA).groupBy("bucket").applyInArrow(_tell, TOLD_SCHEMA), "lm-told")
     whole = told.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types"))).first()
-    scored = blocks.groupBy("bid").cogroup(told.groupBy("bid")).applyInArrow(_scorer(whole["tokens"], whole["types"]), SCORE_SCHEMA)
-    return scored.withColumnRenamed("id", id_col)
+    scored = blocks.groupBy("bid").cogroup(told.groupBy("bid")).applyInArrow(_scorer(whole["tokens"], whole["types"], priors), SCORE_SCHEMA)
+    scored = written(scored, "lm-scores")
+    settings = [(a, b) for a in priors[0] for b in priors[1]]
+    sums = scored.agg(*(F.coalesce(F.sum(F.col("inner")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(len(settings)))).first()
+    best = max(range(len(settings)), key=lambda k: (sums[k], -k))
+    word, pair = settings[best]
+    return scored.select(F.col("id").alias(id_col), *SCORE_SCHEMA_HEAD, F.col("scores")[best].alias("score"), F.lit(word).alias("word_prior"), F.lit(pair).alias("pair_prior"))
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -26,3 +27,27 @@ def documents(spark):
 @pytest.fixture(scope="session")
 def docs(spark, documents):
     return spark.createDataFrame([(i, t, "en", f"src{i % 5}" if i % 7 else None, len(t or "")) for i, t in documents], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.fixture
+def in_workers():
+    """Call it with a module: its functions then go to the workers with the module's present constants. Without it the
+    workers import the module anew and know nothing of what a test has set."""
+    modules = []
+
+    def send(module):
+        cloudpickle.register_pickle_by_value(module)
+        modules.append(module)
+
+    yield send
+    for module in modules:
+        cloudpickle.unregister_pickle_by_value(module)
+
+
+@pytest.fixture
+def small_batches(spark):
+    """Tables reach the workers ten rows at a time, so that blocks can be cut within a partition."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "10")
+    yield
+    spark.conf.unset(name)

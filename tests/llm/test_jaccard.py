@@ -45,7 +45,8 @@ def test_documents_match_brute_force(spark, documents):
     assert run(spark, documents) == brute(documents)
 
 
-def test_larger_table_matches_brute_force(spark, monkeypatch):
+def test_larger_table_matches_brute_force(spark, monkeypatch, in_workers, small_batches):
+    in_workers(jaccard)
     monkeypatch.setattr(jaccard, "BUCKET_ROWS", 4000)
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 50_000)
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]

@@ -43,10 +43,24 @@ def test_hard_cases(spark):
     assert run(spark, hard()) == brute(hard())
 
 
-def test_documents(spark, documents, monkeypatch):
-    monkeypatch.setattr(s, "BLOCK_BYTES", 100_000)
-    monkeypatch.setattr(s, "CHUNK", 20_000)
+def test_documents(spark, documents, monkeypatch, in_workers):
+    """In many blocks and chunks, with the sizes set in the workers too."""
+    in_workers(s)
+    monkeypatch.setattr(s, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(s, "CHUNK", 5_000)
+    cut = []
+    bucketed = s.bucketed
+    monkeypatch.setattr(s, "bucketed", lambda *a: cut.append(bucketed(*a)) or cut[-1])
     assert run(spark, documents) == brute(documents)
+    assert cut[0].count() > 8
+
+
+def test_rows_of_one_id_leave_each_other_alone(spark):
+    text = "".join(np.random.default_rng(1).choice(list("abcd"), 120))
+    rows = [(5, text), (5, text), (5, "x" + text), (6, text[10:90])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in s.remove_repeats(table).collect())
+    assert got == [(5, 120, 0, 0), (5, 120, 0, 0), (5, 121, 0, 0), (6, 80, 80, 1)]
 
 
 @settings(max_examples=100, deadline=None)
