@@ -34,7 +34,7 @@ from helmwatch.llm.textscan import chunks, mix, utf8, words
 BLOCK_BYTES = 16 << 20
 DISCOUNT = 0.75
 #: What the failure arcs of one-word and two-word states may weigh, as a number of occurrences.
-WORD_PRIORS = (10.0, 50.0, 250.0, 1250.0)
+WORD_PRIORS = (10.0, 100.0, 1000.0, 10000.0)
 PAIR_PRIORS = (0.25, 1.0, 4.0, 16.0)
 #: Tokens that are scored at once.
 SLICE_TOKENS = 1 << 18
