@@ -100,20 +100,20 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Grams:
-    """Distinct n-grams of a block of one order. place: each token's n-gram; state: each n-gram's words but the last, as
-    an n-gram of the order below; order: the n-grams by their hashes, as they are asked and told."""
+    """Distinct n-grams of a block of one order. place: each token's n-gram; keys: their hashes; order: the n-grams by
+    their hashes, as they are asked and told."""
 
     place: np.ndarray
-    state: np.ndarray
     keys: np.ndarray
 
     def __post_init__(self) -> None:
         self.order = np.argsort(self.keys)
 
     def spread(self, told: np.ndarray) -> np.ndarray:
-        """Totals in order of the hashes, put in order of the n-grams."""
+        """Totals in order of the hashes, put in order of the n-grams. The hashes are not needed after that and go."""
         out = np.empty_like(told)
         out[self.order] = told
+        del self.order, self.keys
         return out
 
 
@@ -122,7 +122,7 @@ def _longer(place: np.ndarray, lower: np.ndarray, keys: np.ndarray, vocab: np.nd
     n = np.int64(len(vocab))
     codes, at = np.unique(lower.astype(np.int64) * n + place, return_inverse=True)
     state = codes // n
-    return Grams(at.astype(np.int32), state.astype(np.int32), mix(keys[state] * factor + vocab[codes % n]))
+    return Grams(at.astype(np.int32), mix(keys[state] * factor + vocab[codes % n]))
 
 
 def _grams(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Grams]]:
@@ -134,7 +134,7 @@ def _grams(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Grams]]:
     inner[np.cumsum(lengths) - lengths] = False
     before = np.empty_like(stream)
     before[0], before[1:] = np.searchsorted(vocab, END), stream[:-1]
-    one = Grams(stream, np.zeros(len(vocab), np.int32), vocab)
+    one = Grams(stream, vocab)
     two = _longer(stream, before, vocab, vocab, _PAIR)
     three = _longer(stream[inner], two.place[np.flatnonzero(inner) - 1], two.keys, vocab, _TRIPLE)
     return lengths, train, inner, [one, two, three]
@@ -223,9 +223,11 @@ def _scorer(tokens: int, types: int, priors: tuple[tuple, tuple]):
         for row in blocks.to_pylist():
             lengths, _, inner, grams = _grams(row)
             answers = sorted((r["kind"], r["bucket"], r["totals"]) for r in told.select(["kind", "bucket", "totals"]).to_pylist())
-            count, pairs, triples = (g.spread(np.concatenate([np.zeros(0, np.int64), *(_unpack(t, np.int64) for k, _, t in answers if k == kind)])) for kind, g in enumerate(grams, 1))
             one, two, three = grams
-            ends = count[np.searchsorted(one.keys, END)]
+            end = np.searchsorted(one.keys, END)
+            count, pairs, triples = (g.spread(np.concatenate([np.zeros(0, np.int64), *(_unpack(t, np.int64) for k, _, t in answers if k == kind)])) for kind, g in enumerate(grams, 1))
+            ends = count[end]
+            del answers
             ids, trained = _unpack(row["ids"], np.int64), _unpack(row["train"], np.uint8) > 0
             stops = np.concatenate([[0], np.cumsum(lengths)])
             known, base, scores, without = [], [], [], np.zeros(len(priors[0]) * len(priors[1]))
