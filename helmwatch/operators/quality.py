@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from helmwatch.functions import scalars as S
 from helmwatch.operators import order_statistics as O
 
+#: Shares to which the values of a key are dealt.
+DEALS = 64
 
 def channel_audit(df: DataFrame, channels: tuple[str, ...], fit: Column, key: str = "case_key") -> DataFrame:
     """One row per case and channel over fit rows: counts, availability, zero share and the structural-zero flag."""
@@ -64,12 +66,15 @@ def robust_parameters(df: DataFrame, value: str, *keys: str, tiny: float = 1e-12
 
 def fit_ladder(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Center and scale by a ladder: quartile range, 1.4826 times the median deviation, sample deviation, 1; with the
-    rung taken. Two aggregations: deviations need the medians first."""
+    rung taken. Two aggregations: deviations need the medians first. They are taken of counted values, dealt by value
+    too, so that few keys do not bring all rows to few tasks."""
     v = S.number(F.col(value))
     first = _quartiles(df, v, keys, F.stddev_samp(v).alias("sd"), F.count("*").alias("rows"))
-    middle = first.select(*keys, F.get("q", 1).alias("_m"))
-    off = df.select(*keys, v.alias("_v")).alias("d").join(middle.alias("m"), _on("d", "m", keys)).select(*(F.col(f"d.{k}").alias(k) for k in keys), F.abs(F.col("_v") - F.col("_m")).alias("_off"))
-    mad = O.linear_quantiles(off, "_off", (0.5,), *keys).select(*keys, F.get("q", 0).alias("mad"))
+    middle = first.select(*keys, F.get("q", 1).alias("_m"), F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("_deal"))
+    counts = df.select(*keys, v.alias("_v")).where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_deal", F.pmod(F.xxhash64("_v"), F.lit(DEALS)).cast("int"))
+    off = counts.alias("d").join(middle.alias("m"), _on("d", "m", (*keys, "_deal"))).select(*(F.col(f"d.{k}").alias(k) for k in keys), F.abs(F.col("_v") - F.col("_m")).alias("_off"), "_n")
+    ordered = O.ordered_sums(off, "_off", {"rows": F.col("_n")}, *keys)
+    mad = ordered.groupBy(*keys).agg(O.linear(0.5, "_off", F.col("rows"), F.col("rows_upto"), F.col("rows_n")).alias("mad"))
     out = first.alias("f").join(mad.alias("m"), _on("f", "m", keys), "left").select("f.*", "m.mad")
     iqr, m = F.get("q", 2) - F.get("q", 0), F.get("q", 1)
     tol = 100 * 2.220446049250313e-16 * F.greatest(F.lit(1.0), F.abs(m))

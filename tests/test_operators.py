@@ -297,3 +297,32 @@ def test_null_orders_are_drawn_within_rows(spark):
         drawn = sorted((md5(f"s|{b}|{name}|{i}".encode()).hexdigest(), i) for i in free)[:5]
         want += [(b, name, len(free), i) for _, i in drawn if len(free) >= 5]
     assert got == sorted(want) and len({x[:2] for x in got}) >= 2
+
+
+def test_fit_ladder_shuffles_counts_not_rows(spark):
+    """Few keys with many rows: every exchange takes counted values; the rungs are those worked out by numpy."""
+    rng = np.random.default_rng(3)
+    found = {"a": rng.integers(0, 9, 3000) / 10.0, "b": np.append(np.zeros(2500), rng.integers(1, 9, 500)), None: np.array([1.0, 1.0, 1.0, 5.0])}
+    rows = [(k, float(x)) for k, xs in found.items() for x in xs] + [("a", None), ("c", None)]
+    held = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = A.fit_ladder(spark.createDataFrame(rows, "k string, v double"), "v", "k")
+        got = {r["k"]: r for r in out.collect()}
+        nodes, stack = [], [out._jdf.queryExecution().executedPlan()]
+        while stack:
+            nodes.append(stack.pop())
+            stack += [nodes[-1].children().apply(i) for i in range(nodes[-1].children().size())]
+        shuffled = [n.metrics().get("shuffleRecordsWritten").get().value() for n in nodes if n.nodeName() == "Exchange"]
+    finally:
+        for c, x in held.items():
+            spark.conf.set(c, x)
+    assert shuffled and max(shuffled) < len(rows) / 10
+    for k, xs in found.items():
+        q = np.quantile(xs, [0.25, 0.5, 0.75])
+        mad = np.median(np.abs(xs - q[1]))
+        name, scale = ("iqr", q[2] - q[0]) if q[2] > q[0] else ("mad", 1.4826 * mad) if mad > 0 else ("sd", xs.std(ddof=1))
+        assert got[k]["scale_statistic"] == name and got[k]["scale"] == pytest.approx(scale) and got[k]["center"] == q[1]
+        assert got[k]["missing_indicator"] == (k == "a")
+    assert got["c"]["center"] is None and got["c"]["scale_statistic"] == "unit"
